@@ -128,7 +128,7 @@ def domains(host: Column) -> Column:
     """The host and its parent domains, longest first."""
     return F.transform(
         F.split(host, r"\.", -1),
-        lambda part, i: F.call_function("substring_index", host, F.lit("."), F.size(F.split(host, r"\.", -1)) - i),
+        lambda part, i: F.call_function("substring_index", host, F.lit("."), i - F.size(F.split(host, r"\.", -1))),
     )
 
 
