@@ -26,6 +26,46 @@ SELECT page_id, host, path, rule,
 FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN listed USING (page_id)
 """
 
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+marked AS (
+  SELECT word.doc_id, j, x, coalesce(j - max(hit.i) OVER (PARTITION BY word.doc_id ORDER BY j) < 50, false) AS gone
+  FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.j = hit.i),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY j) FILTER (WHERE NOT gone), '') AS t
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_ITEM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9 = rf"""
+WITH d AS (SELECT doc_id, {_ITEM} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM} AS w FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM phrase),
+win AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes)),
+hit AS (SELECT doc_id, win.k, i, item FROM win JOIN phrase ON win.g = phrase.g AND win.k = phrase.k),
+words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
@@ -61,4 +101,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
 FROM m
 """
 
-SQL: dict[str, str] = {"op7_url_cascade": OP7, "op10_line_quality": OP10}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,23 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers once an application, so that it needn't be installed on them."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    bundle = Path(tempfile.mkdtemp(prefix="siltstone-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    spark.sparkContext.addPyFile(str(bundle))
+    _SHIPPED.add(app)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; it is removed when Python ends."""
     path = f"{shared_root(spark)}/siltstone/{uuid.uuid4().hex}-{name}"

@@ -56,7 +56,7 @@ class _Powers:
 _POWERS: dict[int, _Powers] = {}
 
 
-def _powers(base: int, n: int) -> _Powers:
+def powers(base: int, n: int) -> _Powers:
     p = _POWERS.setdefault(base, _Powers(base))
     p.need(n)
     return p
@@ -95,7 +95,7 @@ class Words:
         while lo < len(out):
             hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + _PIECE, "right")))
             a, b = int(self.starts[lo]), int(self.ends[hi - 1])
-            p = _powers(BYTE_BASE, b - a)
+            p = powers(BYTE_BASE, b - a)
             sums = np.empty(b - a + 1, _U)
             sums[0] = 0
             np.cumsum((self.buf[a:b].astype(_U) + _U(1)) * p.up[: b - a], out=sums[1:])
@@ -123,7 +123,7 @@ def rolling(h: np.ndarray, k: int, base: int = BASE_A) -> np.ndarray:
     n = len(h)
     if n < k:
         return np.empty(0, _U)
-    p = _powers(base, n + 1)
+    p = powers(base, n + 1)
     sums = np.empty(n + 1, _U)
     sums[0] = 0
     np.cumsum(h * p.up[:n], out=sums[1:])
