@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import oracles
 from .decontaminate import find_contamination
 from .line_quality import judge_documents
+from .packing import pack_documents
+from .simple8b import read_token_files, write_token_files
 from .substring import remove_repeats
 from .url_cascade import Rule, judge_urls
 
@@ -34,6 +36,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def tokenizer(name: str) -> str:
+    """The file of a public tokenizer; the vocabularies are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "spaced", end=0, size=2048)
+
+
+def op6_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), "bare", end=1)
+    return read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
@@ -54,6 +72,8 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_simple8b_tokens": op6_simple8b_tokens,
     "op7_url_cascade": op7_url_cascade,
     "op9_decontamination": op9_decontamination,
     "op10_line_quality": op10_line_quality,
