@@ -45,6 +45,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP2 = r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 _ITEM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP9 = rf"""
@@ -101,4 +110,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
 FROM m
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_warc": OP2, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import find_contamination
+from .licenses import scan_licenses
 from .line_quality import judge_documents
 from .packing import pack_documents
 from .simple8b import read_token_files, write_token_files
 from .substring import remove_repeats
 from .url_cascade import Rule, judge_urls
+from .warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer(name: str) -> str:
     """The file of a public tokenizer; the vocabularies are not part of this repository."""
     import public_tokenizers
@@ -57,6 +64,16 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("matches.license"))), ",").alias("licenses"),
+        F.to_json("matches").alias("matches"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -72,9 +89,11 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc": op2_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simple8b_tokens": op6_simple8b_tokens,
     "op7_url_cascade": op7_url_cascade,
+    "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_line_quality": op10_line_quality,
 }
