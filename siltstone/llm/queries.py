@@ -14,6 +14,7 @@ from .line_quality import judge_documents
 from .packing import pack_documents
 from .simple8b import read_token_files, write_token_files
 from .substring import remove_repeats
+from .toxicity import fold, score_documents, train
 from .url_cascade import Rule, judge_urls
 from .warc import read_archives, write_archives
 
@@ -43,6 +44,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score_documents(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def tokenizer(name: str) -> str:
     """The file of a public tokenizer; the vocabularies are not part of this repository."""
     import public_tokenizers
@@ -90,6 +97,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simple8b_tokens": op6_simple8b_tokens,
     "op7_url_cascade": op7_url_cascade,
