@@ -29,12 +29,13 @@ from .store import ship_code
 from .words import BYTE_BASE, mix, powers, sliced, text_bytes
 
 #: Labelled documents to train on at most (those with the smallest hashes of their ids), and bytes of one.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 4000, 12000, 64 << 10
-#: Words in a window; bytes of the common part and of the parts that differ.
-WINDOW, BASE_BYTES, OWN_BYTES = 16, 32768, 4096
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 4000, 8000, 32 << 10
+#: Words in a window; bytes of the common part and of the parts that differ, of which the calibration picks.
+WINDOW, BASE_BYTES, OWN_BYTES = 16, (16384, 32768), (512, 1024, 2048, 3072, 4096)
 #: A document is called toxic from this score on.
 THRESHOLD = 0.3
 _STEPS = (3, 5, 8)
+_SOME = 200  # training texts handled at a time
 
 
 def _codes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,9 +66,11 @@ def _windows(begin: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
 
 def _dictionary(texts: list[str], size: int, window: int, segment: int) -> bytes:
     """Trained on windows of the recoded texts, and made exactly ``size`` bytes long."""
-    codes, begin, first = _codes(*text_bytes(pa.array(texts, pa.large_string())))
-    raw = codes.tobytes()
-    samples = [raw[a : a + n] for a, n in _windows(begin, first, window)[0].tolist() if n >= 8]
+    samples: list[bytes] = []
+    for i in range(0, len(texts), _SOME):
+        codes, begin, first = _codes(*text_bytes(pa.array(texts[i : i + _SOME], pa.large_string())))
+        raw = codes.tobytes()
+        samples += [raw[a : a + n] for a, n in _windows(begin, first, window)[0].tolist() if n >= 8]
     try:
         data = zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to train on
@@ -115,8 +118,8 @@ class ToxicityModel:
 
         return np.stack([np.bincount(doc, weights=gain, minlength=n) / count, most / 8, *(share(gain >= s) for s in _STEPS), share(gain <= -5), 1 / np.sqrt(count)], 1)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Fit the logistic function (ridge of 1, Newton steps)."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Fit the logistic function (ridge of 1, Newton steps); returns the log loss."""
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         a = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
         w = np.zeros(a.shape[1])
@@ -125,6 +128,8 @@ class ToxicityModel:
             h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(len(w))
             w += np.linalg.solve(h, a.T @ (y - p) - w)
         self.weights = w
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
     def shift(self, share: float, true_share: float) -> None:
         """Move the scores from a sample with one share of toxic documents to a population with another."""
@@ -161,10 +166,17 @@ def train_model(toxic: list[str], ordinary: list[str], held: list[str], held_lab
     def unknown(texts: list[str]) -> list[str]:
         return [b" ".join(w for w in words(t) if w not in known).decode() for t in texts]
 
-    base = _dictionary(ordinary[cut : cut + 1600], BASE_BYTES, 32, 32)
-    model = ToxicityModel(base + _dictionary(unknown(toxic), OWN_BYTES, 16, 16), base + _dictionary(unknown(ordinary[:cut]), OWN_BYTES, 16, 16), float(prior))
-    model.calibrate(model.features(*text_bytes(pa.array(held, pa.large_string()))), y)
-    return model
+    new_toxic, new_ordinary = unknown(toxic), unknown(ordinary[:cut])
+    best: tuple[float, ToxicityModel] | None = None
+    for size in BASE_BYTES:
+        base = _dictionary(ordinary[cut : cut + 1600], size, 32, 32)
+        for own in OWN_BYTES:
+            model = ToxicityModel(base + _dictionary(new_toxic, own, 16, 16), base + _dictionary(new_ordinary, own, 16, 16), float(prior))
+            parts = [model.features(*text_bytes(pa.array(held[i : i + _SOME], pa.large_string()))) for i in range(0, len(held), _SOME)]
+            loss = model.calibrate(np.concatenate(parts), y)
+            if best is None or loss < best[0]:
+                best = (loss, model)
+    return best[1]
 
 
 def fold(doc_id: str = "doc_id") -> F.Column:
