@@ -11,6 +11,7 @@ from . import oracles
 from .decontaminate import find_contamination
 from .licenses import scan_licenses
 from .line_quality import judge_documents
+from .order_minhash import near_duplicates
 from .packing import pack_documents
 from .simple8b import read_token_files, write_token_files
 from .substring import remove_repeats
@@ -44,6 +45,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -97,6 +102,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
+    "op3_order_minhash": op3_order_minhash,
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simple8b_tokens": op6_simple8b_tokens,

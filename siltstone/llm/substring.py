@@ -132,7 +132,7 @@ def _batches(tables: Iterator[pa.RecordBatch], text: str, doc_id: str, limit: in
             writer.write_table(t.combine_chunks())
         blob = squeeze.compress(sink.getvalue())
         b = _Batch(blob, text)
-        whole = _whole_hashes(b)
+        whole = whole_hashes(b.words, b.h)
         yield pa.RecordBatch.from_pydict(
             {
                 "batch": pa.array([(task << 32) + n], pa.int64()),
@@ -144,12 +144,12 @@ def _batches(tables: Iterator[pa.RecordBatch], text: str, doc_id: str, limit: in
         n += 1
 
 
-def _whole_hashes(b: _Batch) -> list[bytes]:
+def whole_hashes(words: Words, hashes: np.ndarray) -> list[bytes]:
     """128 bits for the whole word sequence of each document."""
-    first, n = b.words.first, len(b.h)
+    first, n = words.first, len(hashes)
     out = []
     sums = []
-    for base, h in ((BASE_A, b.h), (BASE_B, mix(b.h ^ _U(BASE_B)))):
+    for base, h in ((BASE_A, hashes), (BASE_B, mix(hashes ^ _U(BASE_B)))):
         p = powers(base, n + 1)
         s = np.concatenate([[_U(0)], np.cumsum(h * p.up[:n])])
         sums.append(mix((s[first[1:]] - s[first[:-1]]) * p.down[np.minimum(first[:-1], n)] + np.diff(first).astype(_U)))
