@@ -279,7 +279,19 @@ def _candidates(rows: Iterator[pa.RecordBatch], text: str, window: int, block: i
             )
 
 
-def _kept(rows: Iterator[pa.RecordBatch], text: str, window: int, block: int, buckets: int, tasks: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _cut(b: _Batch, d: int, gone: np.ndarray) -> str:
+    """Text d without its runs of marked words, other characters unchanged."""
+    lo, hi = b.words.first[d], b.words.first[d + 1]
+    edge = np.diff(np.concatenate([[0], gone[lo:hi].astype(np.int8), [0]]))
+    out, base = [], int(b.offsets[d])
+    for x, y in zip(b.words.starts[lo + np.flatnonzero(edge == 1)].tolist(), b.words.ends[lo + np.flatnonzero(edge == -1) - 1].tolist(), strict=True):
+        out.append(b.buf[base:x].tobytes())
+        base = y
+    out.append(b.buf[base : b.offsets[d + 1]].tobytes())
+    return b"".join(out).decode()
+
+
+def _kept(rows: Iterator[pa.RecordBatch], text: str, window: int, block: int, buckets: int, tasks: int, schema: pa.Schema, rejoin: bool) -> Iterator[pa.RecordBatch]:
     for r in rows:
         for _, b, skip, x, row in _read(r, text, window, block, buckets):
             earlier = _unpacked(row["earlier"], _parts(x.a, tasks), len(x.a))
@@ -289,6 +301,9 @@ def _kept(rows: Iterator[pa.RecordBatch], text: str, window: int, block: int, bu
             n_gone = np.bincount(b.doc[gone], minlength=len(skip))
             texts, first = [], b.words.first
             for d in range(len(skip)):
+                if not rejoin:
+                    texts.append(_cut(b, d, gone) if n_gone[d] else b.rows.column(text)[d].as_py())
+                    continue
                 words = b.buf[b.offsets[d] : b.offsets[d + 1]].tobytes().split()
                 if n_gone[d]:
                     words = [w for w, g in zip(words, gone[first[d] : first[d + 1]].tolist(), strict=True) if not g]
@@ -298,14 +313,15 @@ def _kept(rows: Iterator[pa.RecordBatch], text: str, window: int, block: int, bu
             yield from t.select(schema.names).cast(schema).to_batches()
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "doc_id", batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "doc_id", batch_bytes: int = 4 << 20, rejoin: bool = True) -> DataFrame:
     """The documents without the words of repeated windows, one row each.
 
     A word goes if a window of ``window`` words that covers it also starts in a
     document with a smaller id; windows are judged on the input. The text becomes
     the kept words joined by one space; n_words (before) and n_removed are added,
-    replacing input columns of those names. A null or wordless text gives an
-    empty text. A null id counts as larger than all others. Rows with the same id
+    replacing input columns of those names. Without ``rejoin`` the runs of removed
+    words are cut out of the text and the rest stays as it is. A null or wordless
+    text gives an empty text (without ``rejoin``: stays as it is). A null id counts as larger than all others. Rows with the same id
     don't take from each other. Words are what ``bytes.split()`` makes of the
     UTF-8 text. All other columns are carried along.
     """
@@ -336,4 +352,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id
     full = marked.mapInArrow(lambda r: _candidates(r, text, window, block, buckets, tasks), PROBE)
     earlier = full.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows, ANSWER)
     earlier = earlier.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("earlier"))
-    return marked.join(earlier.hint("shuffle_hash"), "batch", "left").mapInArrow(lambda r: _kept(r, text, window, block, buckets, tasks, arrow), schema)
+    return marked.join(earlier.hint("shuffle_hash"), "batch", "left").mapInArrow(lambda r: _kept(r, text, window, block, buckets, tasks, arrow, rejoin), schema)
