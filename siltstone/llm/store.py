@@ -32,8 +32,20 @@ def shared_root(spark: SparkSession) -> str:
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch at most; the JVM and the Python worker each hold a few at a time.
+ARROW_BYTES = 8 << 20
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers once an application, so that it needn't be installed on them."""
+    """Make the session ready for our Python functions.
+
+    The package is sent to the workers once an application, so that it needn't be
+    installed on them, and the session's limit on the size of Arrow batches is
+    lowered to ``ARROW_BYTES`` if it is higher.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit, str(1 << 60)).rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set(limit, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

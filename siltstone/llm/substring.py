@@ -313,7 +313,7 @@ def _kept(rows: Iterator[pa.RecordBatch], text: str, window: int, block: int, bu
             yield from t.select(schema.names).cast(schema).to_batches()
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "doc_id", batch_bytes: int = 4 << 20, rejoin: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "doc_id", batch_bytes: int = 2 << 20, rejoin: bool = True) -> DataFrame:
     """The documents without the words of repeated windows, one row each.
 
     A word goes if a window of ``window`` words that covers it also starts in a
