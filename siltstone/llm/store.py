@@ -44,7 +44,7 @@ def ship_code(spark: SparkSession) -> None:
     lowered to ``ARROW_BYTES`` if it is higher.
     """
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(limit, str(1 << 60)).rstrip("bB")) > ARROW_BYTES:
+    if int(spark.conf.get(limit, str(64 << 20)).rstrip("bB")) > ARROW_BYTES:
         spark.conf.set(limit, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
