@@ -5,11 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import session
+
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[object, str]] = []
 
@@ -29,9 +29,6 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[key]
 
 
-_SHIPPED: set[str] = set()
-
-
 #: Bytes of an Arrow batch at most; the JVM and the Python worker each hold a few at a time.
 ARROW_BYTES = 8 << 20
 
@@ -46,16 +43,7 @@ def ship_code(spark: SparkSession) -> None:
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(limit, str(64 << 20)).rstrip("bB")) > ARROW_BYTES:
         spark.conf.set(limit, str(ARROW_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    bundle = Path(tempfile.mkdtemp(prefix="siltstone-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(bundle, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    spark.sparkContext.addPyFile(str(bundle))
-    _SHIPPED.add(app)
+    session.ship_code(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
