@@ -51,6 +51,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _parts(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the buckets that sorted hashes fall into."""
+    if not len(sorted_hashes):
+        return []
     b = _bucket(sorted_hashes, buckets)
     at = np.flatnonzero(np.diff(b, prepend=-1))
     return [(int(b[i]), int(i), int(j)) for i, j in zip(at, np.append(at[1:], len(b)), strict=True)]
