@@ -112,7 +112,7 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """patterns: one row each, all of one length. Returns the rows that occur, and their ranges of suffixes."""
-        who = np.arange(len(patterns))
+        who = np.flatnonzero((patterns < len(self.first) - 1).all(1))  # other symbols don't occur
         lo, hi = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64)
         for j in reversed(range(patterns.shape[1])):
             symbols = patterns[who, j]
