@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import scratch, written
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,20 +123,28 @@ def line_hash(line: Column) -> Column:
     )
 
 
+def _host(host: Column) -> Column:
+    return F.xxhash64(F.coalesce(host.cast("string"), F.lit("\0")))
+
+
+def _content(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def measured(docs: DataFrame, text: str = "text", host: str = "source", order: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """A written table: one row per document, with a stable ``_row``, its measures and its lines."""
     keep = [c for c in dict.fromkeys([*(carry or []), order])]
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         *keep,
-        F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\0"))).alias("_host"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_content"),
+        _host(F.col(host)).alias("_host"),
+        _content(F.col(text)).alias("_content"),
         text_measures(F.col(text)).alias("_m"),
     )
     plain = ["n_words", "word_chars", "n_symbols", "n_repeat_words"]
     return written(
         rows.select(
-            "_row", *keep, "_content", *[F.col(f"_m.{c}").alias(c) for c in plain], F.col("_m.by_line.n_dup_lines").alias("n_dup_lines"),
+            "_row", *keep, "_host", "_content", *[F.col(f"_m.{c}").alias(c) for c in plain], F.col("_m.by_line.n_dup_lines").alias("n_dup_lines"),
             F.transform(F.col("_m.by_line.lines"), lambda x: F.struct(F.xxhash64(F.col("_host"), x["hash"]).alias("line"), x["words"].alias("words"))).alias("_lines"),
         ),
         "line-measures",
@@ -179,7 +187,7 @@ def judge_documents(
     """
     table = measured(docs, text, host, order, carry)
     removed = removable_lines(table, order, max_docs).groupBy("_row").agg(F.sum("words").alias("n_removed_words"))
-    out = table.drop("_lines", "_content").join(removed, "_row", "left")
+    out = table.drop("_lines", "_content", "_host").join(removed, "_row", "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("bigint"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("depleted", (F.col("n_words") - F.col("n_removed_words")) < min_share * F.col("n_words"))
@@ -191,21 +199,20 @@ def clean_documents(docs: DataFrame, text: str = "text", host: str = "source", o
 
     A column ``n_chars`` is set to the length of the text that is left.
     """
-    spark = docs.sparkSession
-    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "quality-documents")
-    flat = rows.select("_row", *[F.col("_doc").getField(c).alias(f"_{i}_") for i, c in enumerate(docs.columns)])
     name = {c: f"_{i}_" for i, c in enumerate(docs.columns)}
-    table = measured(flat.select(F.col("_row").alias("_src"), *[F.col(name[c]).alias(c) for c in dict.fromkeys([text, host, order])]), text, host, order, carry=["_src"])
-    drop = written(removable_lines(table, order, max_docs), "removable-lines")
-    per_row = drop.groupBy("_row").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("_cut"))
-    judged = table.drop("_lines", "_content").join(per_row, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("bigint"))
-    ok = judged.where(
-        (F.col("n_words") >= 50)
-        & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
-        & ((F.col("n_words") - F.col("n_removed_words")) >= min_share * F.col("n_words"))
-    ).select(F.col("_src").alias("_row"), "_cut")
-    out = flat.join(ok, "_row")
-    host_hash = F.xxhash64(F.coalesce(F.col(name[host]).cast("string"), F.lit("\0")))
+    flat = docs.select(*[F.col(c).alias(name[c]) for c in docs.columns])
+    with scratch() as keep:
+        table = measured(docs.select(*dict.fromkeys([text, host, order])), text, host, order)
+        drop = removable_lines(table, order, max_docs).groupBy("_row").agg(F.sum("words").alias("n"), F.collect_set("line").alias("_cut"))
+        judged = table.select("_row", F.col(order).alias("_id"), "_host", "_content", "n_words", "n_repeat_words").join(drop, "_row", "left")
+        left = F.col("n_words") - F.coalesce("n", F.lit(0))
+        good = (F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")) & (left >= min_share * F.col("n_words"))
+        # Rows of one id, host and text are judged alike, so one of them stands for all.
+        ok = written(judged.where(good).dropDuplicates(["_id", "_host", "_content"]).select("_id", "_host", "_content", "_cut"), "kept-documents")
+        keep.append(ok)
+    host_hash, content = _host(F.col(name[host])), _content(F.col(name[text]))
+    ok = ok.withColumnsRenamed({"_host": "_h", "_content": "_c"})
+    out = flat.join(ok, F.col(name[order]).eqNullSafe(F.col("_id")) & (host_hash == F.col("_h")) & (content == F.col("_c")))
     left = F.filter(
         F.split(F.col(name[text]), "\n", -1),
         lambda line: ~F.array_contains(F.col("_cut"), F.xxhash64(host_hash, line_hash(line)["hash"])) | ~line.rlike(WORD),

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
@@ -62,7 +65,26 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Within, tables may be written freely; at the end only those put on the list stay.
+
+    For operators that finish their work before they return, so that what they
+    needed on the way doesn't take up the shared folder.
+    """
+    before = len(_MADE)
+    keep: list[DataFrame] = []
+    yield keep
+    kept = {df._written_to for df in keep}
+    for spark, path in _MADE[before:]:
+        if path not in kept:
+            remove(spark, path)
+    _MADE[before:] = [x for x in _MADE[before:] if x[1] in kept]
 
 
 def remove(spark: SparkSession, path: str) -> None:
