@@ -73,6 +73,6 @@ FROM lineitem WHERE l_linenumber % 4 IN (1, 2)""",
     "cp_parameter_gate": """SELECT p_partkey, hint, CASE WHEN NOT rho BETWEEN 0.5 AND 1.5 THEN 'density' WHEN NOT dia BETWEEN 30 AND 350 THEN 'diameter'
   WHEN abs(dia - hint) > greatest(10.0, hint * 0.1) THEN 'model' END AS error
 FROM (SELECT p_partkey, (100 + p_partkey % 150)::DOUBLE AS hint, 0.4::DOUBLE + (p_partkey % 13) / 10.0::DOUBLE AS rho, (20 + p_partkey % 350)::DOUBLE AS dia FROM part)""",
-    "cp_report": """SELECT l_partkey, 'wind_speed_ms,power_kw,theoretical_power_kw,cp' || chr(10) || string_agg(CAST(CAST(l_quantity - 1 AS INT) AS VARCHAR) || ',1,2.50,0.25', chr(10) ORDER BY l_orderkey * 100 + l_linenumber) AS csv
+    "cp_report": """SELECT l_partkey, 'wind_speed_ms,power_kw,theoretical_power_kw,cp' || chr(10) || string_agg(CAST(CAST(l_quantity - 1 AS INT) AS VARCHAR) || ',1,2.50,0.25', chr(10) ORDER BY l_orderkey * 100 + l_linenumber, CAST(CAST(l_quantity - 1 AS INT) AS VARCHAR) || ',1') AS csv
 FROM lineitem WHERE l_quantity > 1 GROUP BY l_partkey""",
 }

@@ -89,7 +89,8 @@ def zone_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def heading_merge(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0).alias("level"), F.concat(F.lit("T"), k.cast("string")).alias("text"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    rows = lines.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0).alias("level"), F.concat(F.lit("T"), k.cast("string")).alias("text"))
     return layout.merged_headings(rows, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "level", "text")
 
 
@@ -192,7 +193,7 @@ n AS (SELECT doc, max(page) + 1 AS pages FROM l GROUP BY doc),
 c AS (SELECT doc, zone, text, least(pages, 40) AS seen, count(*) AS n FROM l JOIN n USING (doc) WHERE page < 20 OR page >= pages - 20 GROUP BY ALL)
 SELECT doc, zone, text, n FROM c WHERE n > 0.6 * seen""",
     "heading_merge": """
-WITH h AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 0 END AS level, 'T' || l_linenumber AS text FROM lineitem),
+WITH h AS (SELECT l_orderkey, l_linenumber, CASE max(l_returnflag) WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 0 END AS level, 'T' || l_linenumber AS text FROM lineitem GROUP BY l_orderkey, l_linenumber),
 g AS (SELECT *, CASE WHEN level > 0 AND level = lag(level) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) THEN 0 ELSE 1 END AS fresh FROM h),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM g)
 SELECT l_orderkey, min(l_linenumber) AS l_linenumber, min(level) AS level, string_agg(text, ' ' ORDER BY l_linenumber) AS text FROM r GROUP BY l_orderkey, run""",

@@ -18,14 +18,19 @@ def dropped_documents(spark: SparkSession, folder: str, schema: str, files_per_t
     return stream.withColumn("stats", statistics(F.col("text")))
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """With the event time as a timestamp, which watermarks ask for."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def first_seen(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
     """The first row of each key; keys are forgotten once the watermark has passed, so state is bounded."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(stream: DataFrame, time: str, group: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Counts per tumbling window and group; rows later than the delay are left out."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), group).agg(F.count("*").alias("n"))
+    return _timed(stream, time).withWatermark(time, delay).groupBy(F.window(time, width), group).agg(F.count("*").alias("n"))
 
 
 def running_batches(stream: DataFrame, group: str, order: str, size: str, max_chars: int = 8000, max_items: int = 20) -> DataFrame:
