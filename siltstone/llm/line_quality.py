@@ -18,8 +18,9 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: A line that more than this many different documents of a host share is boilerplate.
+#: A line is boilerplate if more different documents of a host share it than this number and this share of them.
 MAX_DOCS_PER_LINE = 100
+MAX_SHARE_PER_LINE = 0.1
 #: A document that keeps less than this share of its words is rejected.
 MIN_KEPT_SHARE = 0.5
 
@@ -151,14 +152,19 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source", order: s
     )
 
 
-def frequent_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
-    """Lines of a host in more than ``max_docs`` different texts, with the smallest id among those documents.
+def frequent_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE, max_share: float = MAX_SHARE_PER_LINE) -> DataFrame:
+    """Lines that too many different texts of a host hold, with the smallest id among those documents.
 
-    Exact copies of a text count once: they are a matter for deduplication.
+    Too many are more than ``max_docs`` and more than ``max_share`` of the host's
+    texts. Exact copies of a text count once: they are a matter for
+    deduplication, and so is a family of edited copies, which is a small part of
+    its host.
     """
-    lines = table.select(F.explode("_lines").alias("x"), "_content", order).select(F.col("x.line").alias("line"), "_content", order)
-    by_text = lines.groupBy("line", "_content").agg(F.min(order).alias("first"))
-    return by_text.groupBy("line").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") > max_docs)
+    lines = table.select(F.explode("_lines").alias("x"), "_host", "_content", order).select(F.col("x.line").alias("line"), "_host", "_content", order)
+    by_text = lines.groupBy("line", "_content").agg(F.min(order).alias("first"), F.min("_host").alias("_host"))
+    often = by_text.groupBy("line").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.min("_host").alias("_host")).where(F.col("docs") > max_docs)
+    hosts = table.groupBy("_host", "_content").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("texts"))
+    return often.join(hosts, "_host").where(F.col("docs") > max_share * F.col("texts")).select("line", "docs", "first")
 
 
 def removable_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
@@ -179,9 +185,8 @@ def judge_documents(
     """Per document its measures, ``n_removed_words``, ``base_failed``, ``depleted`` and ``kept``.
 
     base_failed: fewer than 50 words, or over half of the words in repeated
-    three-word windows. depleted: removing the lines that more than ``max_docs``
-    different documents of the host share leaves less than ``min_share`` of the
-    words. A null text is as an empty one (it fails the base rule); a null host
+    three-word windows. depleted: removing the host's boilerplate lines (see
+    ``frequent_lines``) leaves less than ``min_share`` of the words. A null text is as an empty one (it fails the base rule); a null host
     is a host of its own; a null id never is the one that keeps a line while
     others have one. Repeated rows are judged alike, each by itself.
     """
