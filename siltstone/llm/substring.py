@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id
 
     # Documents that are, as a whole, copies of one with a smaller id: they take part in the index, but are gone at once.
     whole = batches.select("batch", F.posexplode(F.arrays_zip("ids", "whole")).alias("pos", "x")).select("batch", "pos", F.col("x.ids").alias("id"), F.col("x.whole").alias("h"))
-    first = whole.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(whole.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-copies")
     copies = whole.join(first, "h").where("id > first OR (id IS NULL AND first IS NOT NULL)").groupBy("batch").agg(F.collect_list("pos").alias("copies"))
 
     probes = batches.select("batch", "rows", "ids").mapInArrow(lambda r: _probe(r, text, block, buckets), PROBE)
