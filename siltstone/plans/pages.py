@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, profiles
 from ..operators import checks
 from ..sources import html_tree
 from .base import Query, table
@@ -131,6 +131,17 @@ def meta_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", *[F.try_element_at(m, F.lit(f)).alias(f"last_{f.lower()}") for f in "ANR"])
 
 
+def conversion_profiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("in/doc_"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.lit("# T\n\n[a](b)\n").alias("text"), "n_chars")
+    return rows.select("doc_id", F.to_json(profiles.profile(F.col("path"), F.col("n_chars"), F.col("text"))).alias("profile"))
+
+
+def point_lines(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    lon, lat = 100 + k / 8.0, 30 + k / 16.0
+    return table(spark, d, "customer").select("c_custkey", profiles.point_text(lon, lat, "text", 4).alias("text"), profiles.point_text(lon, lat, "csv", 2, True).alias("csv"))
+
+
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", html_tree.html_to_text("html").alias("text"))
 
@@ -151,7 +162,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         html_title, html_strip, html_link_count, html_meta_dates, safe_filename, url_parts, route_detect, output_names, page_names, image_names, natural_order, unique_paths,
-        asset_refs, unlisted_assets, spine_documents, first_candidates, batch_outcomes, merged_options, meta_map, html_to_text, html_to_markdown, html_main_content, html_metadata,
+        asset_refs, unlisted_assets, spine_documents, first_candidates, batch_outcomes, merged_options, meta_map, conversion_profiles, point_lines, html_to_text, html_to_markdown, html_main_content, html_metadata,
     )
 }
 
@@ -196,6 +207,9 @@ SELECT c_custkey, CASE WHEN 'a/' || (c_custkey % 97) IN (SELECT path FROM h) THE
     "batch_outcomes": """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS success, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed,
   count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS skipped FROM orders GROUP BY o_orderpriority""",
     "merged_options": "SELECT p_partkey, '12' AS size, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE 'white' END AS fill, CASE WHEN p_partkey % 2 = 1 THEN 'x' END AS text FROM part",
+    "conversion_profiles": """SELECT doc_id, '{"schema":"markdown-conversion.conversion_profile.v1","source":{"path":"in/doc_' || doc_id || '.html","name":"doc_' || doc_id || '.html","suffix":".html","type":"doc","size_bytes":' || n_chars
+  || '},"outputs":{"markdown":"in/doc_' || doc_id || '.md","assets":"in/doc_' || doc_id || '_files","profile":"in/doc_' || doc_id || '.conversion_profile.json"},"markdown":{"line_count":3,"char_count":12,"heading_count":1,"table_count":0,"image_ref_count":0,"link_count":1},"warnings":[]}' AS profile FROM documents""",
+    "point_lines": "SELECT c_custkey, printf('%.4f,%.4f', 100 + c_custkey / 8.0::DOUBLE, 30 + c_custkey / 16.0::DOUBLE) AS text, printf('%.2f,%.2f', round_even(30 + c_custkey / 16.0::DOUBLE, 2), round_even(100 + c_custkey / 8.0::DOUBLE, 2)) AS csv FROM customer",
     "meta_map": """SELECT l_orderkey, max(l_linenumber) FILTER (WHERE l_returnflag = 'A') AS last_a, max(l_linenumber) FILTER (WHERE l_returnflag = 'N') AS last_n,
   max(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS last_r FROM lineitem GROUP BY l_orderkey""",
 }

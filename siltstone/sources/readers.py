@@ -104,3 +104,20 @@ def decoded(content: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def omml_to_latex(xml: pd.Series) -> pd.Series:
     return xml.map(lambda x: None if x is None else office.omml_to_latex(x))
+
+
+def translations(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON translations: file, line (as read), id, translation, and an error for what isn't one (SRC-43)."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), F.col("value").alias("line"))
+    parsed_ = F.from_json("line", "id string, source string, translation string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    error = F.when(F.col("r._corrupt").isNotNull(), "not JSON").when(F.col("r.id").isNull(), "no id").when(F.col("r.translation").isNull(), "no translation")
+    return lines.withColumn("r", parsed_).select("file", "line", "r.id", "r.translation", error.alias("error"))
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files whole: path, config (null unless the root is an object) and error (SRC-44 to SRC-46)."""
+    text = files(spark, path).select("path", F.decode("content", "utf-8").alias("text"))
+    v = F.try_parse_json("text")
+    whole = text.withColumns({"_v": v, "_kind": F.schema_of_variant(v)})
+    good = F.col("_kind").startswith("OBJECT")
+    return whole.select("path", F.when(good, F.col("text")).alias("config"), F.when(F.col("_v").isNull(), "not JSON").when(~good, "not an object").alias("error"))
