@@ -14,12 +14,13 @@ pair that is similar to 0.8 shares a given key with a probability of about
 Copies are put together first, by their whole word sequence. A group of equal
 keys isn't compared pairwise: its documents are compared with its most central
 one, then what isn't linked yet with each other in rounds that only take pairs
-of different classes; see ``_rounds``.
+of different classes, the last of which leaves no pair out; see ``_rounds``.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,6 +253,8 @@ def components(links: DataFrame) -> DataFrame:
 SMALL = 16
 #: Orders in which larger groups are sorted for comparing neighbours, in each of two rounds.
 ORDERS = 3
+#: Documents and k-mers of a block at most, about. What is left of larger groups is compared block by block.
+BLOCK, BLOCK_KMERS = 128, 1 << 16
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
@@ -322,6 +325,77 @@ def _neighbours(rows: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
     return out.distinct()
 
 
+def _compare(t: pa.Table, least: float) -> pa.Table:
+    """The links that join classes among two blocks of a key (``side`` 0 and 1) or within one (2).
+
+    A pair is left out if it is in one class, also by links found here; if it
+    shares an earlier key, whose group has it; or by its lengths or the number of
+    k-mers that the other text has at all, which rule out ``least``.
+    """
+    ids, own, side, n = (t.column(c).to_numpy() for c in ("id", "class", "side", "n"))
+    own = own.copy()
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+    nth = int((keys[0] == t.column("key")[0].as_py()).argmax())
+    open_ = zstandard.ZstdDecompressor()
+    x = [_kmers_of(w.as_py(), open_) for w in t.column("words")]
+    code = np.unique(np.concatenate(x), return_inverse=True)[1]
+    first = np.append(0, np.cumsum(n))
+    flag = np.zeros(len(code), bool)
+    right = np.flatnonzero(side > 0)
+    out = []
+    for i in np.flatnonzero(side != 1):
+        other = right[right > i] if side[i] == 2 else right
+        other = other[(own[other] != own[i]) & (np.minimum(n[other], n[i]) >= least * np.maximum(n[other], n[i]))]
+        other = other[(keys[other] == keys[i]).argmax(1) == nth]
+        if not len(other):
+            continue
+        flag[code[first[i] : first[i + 1]]] = True
+        common = np.add.reduceat(flag[code], first[:-1], dtype=np.int64)[other]
+        flag[code[first[i] : first[i + 1]]] = False
+        both = (n[other] + n[i]).astype(np.int64)
+        most = (both - 2 * (least * both / (1 + least)) + 1e-9).astype(np.int64)  # as in ``similarity``
+        likely = np.flatnonzero(2 * common >= both - most)
+        for j in other[likely[np.argsort(-common[likely], kind="stable")]]:
+            if own[i] == own[j]:
+                continue
+            s = similarity(x[i], x[j], least)
+            if s:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), s))
+                own[own == own[j]] = own[i]
+    a, b, s = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+
+def _rest(rows: DataFrame, active: DataFrame, least: float) -> DataFrame:
+    """Links between the classes of large groups, written: every pair across classes is compared, or excluded by a sure bound.
+
+    A group is cut into cells by length, in steps such that similar texts are in
+    the same or in neighbouring ones, and by whether a document is in the group's
+    largest class, within which nothing is to be compared. Cells are cut into
+    blocks by the hash of the id, and each two blocks that may have a pair are
+    one group of rows.
+    """
+    step = math.log(1.01 / least)  # a little more than similar texts can differ by
+    classes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    top = classes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
+    own = rows.select("key", "id", "class").join(active.select("id", "n", "keys"), "id").where(F.array_contains("keys", F.col("key"))).drop("keys")
+    cell = ["key", "tier", "major"]
+    own = own.join(top, "key").select("key", "id", "class", "n", F.floor(F.log("n") / step).alias("tier"), (F.col("class") == F.col("top")).alias("major"))
+    own = written(own, "cells")
+    parts = own.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_KMERS)).alias("parts"))
+    parts = written(parts, "cell-sizes")
+    blocks = parts.select(*cell, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    x, y = (blocks.select("key", F.struct("tier", "major", "part").alias(s)) for s in "xy")
+    near = x.join(y, "key").where("x <= y AND y.tier - x.tier <= 1 AND NOT (x.major AND y.major)")
+    near = written(near.select(F.monotonically_increasing_id().alias("task"), "key", "x", "y"), "block-pairs")
+    left = near.select("task", "key", "x.*", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    sent = left.unionByName(near.where("x <> y").select("task", "key", "y.*", F.lit(1).alias("side")))
+    own = own.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    met = own.join(sent, [*cell, "part"]).select("task", "key", "side", "id", "class", "n")
+    full = met.hint("merge").join(active.select("id", "n", "keys", "words"), ["id", "n"]).where(F.array_contains("keys", F.col("key")))
+    return written(full.groupBy("task").applyInArrow(lambda t: _compare(t, least), LINK), "links")
+
+
 def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """All links that are found between representatives, in rounds.
 
@@ -330,6 +404,8 @@ def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
        pairs across classes compared (links within a class change nothing); in
        large ones neighbours in several orders are.
     3. The same for the large ones that are still mixed, in other orders.
+    4. Large ones that are mixed even now have all pairs across classes compared,
+       in blocks (see ``_rest``). The rounds before only leave it fewer of them.
 
     Sequences are only dealt out again for documents that share a key.
     """
@@ -347,7 +423,8 @@ def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
         fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
         links = written(links.unionByName(_links(fresh, sequences, least)), "links-so-far")
-    return links
+    mixed = _mixed(shared, components(links)).where(F.col("size") > SMALL)
+    return written(links.unionByName(_rest(mixed, active, least)), "links-so-far")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:

@@ -125,6 +125,44 @@ def test_near_duplicates_edge_cases(spark):
     assert om.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_pair_of_a_large_group_is_left_out(spark):
+    """Pairs under one key of many texts, which are neither linked to a hub nor neighbours by their other keys."""
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        code = rng.integers(0, 2**16, 60 + i % 7 * 10).astype("<u2")
+        for j in (2 * i, 2 * i + 1):
+            code = code.copy()
+            code[j % 50] ^= 1
+            keys = [77, *rng.integers(0, 2**62, om.SKETCHES - 1).tolist()]
+            rows.append((j, len(code) - om.K + 1, str(j).encode(), keys, zstandard.compress(code.tobytes())))
+    table = spark.createDataFrame(rows, om.SKETCH)
+    links = om._rounds(table, table.select("id"), 0.8)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+def test_drifting_family_equals_brute_force(spark, words):
+    """Copies edited from copies, so that no text is near all others."""
+    rng = random.Random(4)
+    texts = [[rng.choice(words) for _ in range(90)]]
+    for i in range(1, 400):
+        w = list(texts[max(0, i - rng.randint(1, 20))])
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(w)
+    got = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
+    grams = [np.array([hash(tuple(w[j : j + 5])) for j in range(len(w) - 4)]) for w in texts]
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if want[a] != want[b] and om.similarity(grams[a], grams[b]):
+                p, q = sorted((want[a], want[b]))
+                want = [p if c == q else c for c in want]
+    assert got == dict(enumerate(want)) and len(set(want)) > 1
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["class"] for r in om.components(links).collect()}
