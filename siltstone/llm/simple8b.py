@@ -42,13 +42,10 @@ _U = np.uint64
 
 def _bits(v: np.ndarray) -> np.ndarray:
     """The bit lengths of unsigned integers, as uint8."""
-    out = np.zeros(len(v), np.uint8)
-    v = v.astype(_U)
-    for s in (32, 16, 8, 4, 2, 1):
-        big = v >> _U(s) > 0
-        out += np.where(big, s, 0).astype(np.uint8)
-        v = np.where(big, v >> _U(s), v)
-    return out + (v > 0).astype(np.uint8)
+    big = v >> _U(32) > 0
+    if not big.any():
+        return np.frexp(v.astype(np.float64))[1].astype(np.uint8)  # exact below 2**53
+    return np.where(big, 32 + np.frexp((v >> _U(32)).astype(np.float64))[1], np.frexp((v & _U(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
 
 
 def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,9 +63,10 @@ def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n % BLOCK:
         length[-1] = n % BLOCK
     # The largest count from each place whose ids all fit its width; past a block's end everything fits.
-    best = np.full((blocks, BLOCK), 15, np.uint8)
-    best[widths[:, :BLOCK] > 60] = 0
-    runs = {1: widths}
+    # What fits a count also fits every smaller one, as its width is larger, so fits are counted, and a
+    # block in which a count fits nowhere before its end is done with.
+    best = np.where(widths[:, :BLOCK] > 60, np.uint8(0), np.uint8(15))
+    open_, runs = np.arange(blocks), {1: widths}
     for c in (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 120, 240):
         half = max(k for k in runs if k <= c)
         m, short = runs[half], c - half
@@ -76,8 +74,14 @@ def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             m = np.maximum(m[:, : m.shape[1] - short], m[:, short:])
         runs[c] = m
         if c != 120:
-            s = int(np.flatnonzero(COUNTS[1:] == c)[0]) + 1
-            best[m[:, :BLOCK] <= WIDTHS[s]] = s
+            fits = m[:, :BLOCK] <= WIDTHS[int(np.flatnonzero(COUNTS[1:] == c)[0]) + 1]
+            best[open_] -= fits.view(np.uint8)
+            more = fits[:, : BLOCK - c].any(1)
+            if not more.all():
+                open_ = open_[more]
+                runs = {k: x[more] for k, x in runs.items() if 2 * k >= c}
+                if not len(open_):
+                    break
     at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
     chosen = []
     while len(rows):

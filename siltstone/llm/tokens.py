@@ -22,6 +22,29 @@ REMEMBER = 2_000_000
 #: First bytes of the UTF-8 forms of Unicode's white space outside ASCII.
 _MAYBE_SPACE = (0xC2, 0xE1, 0xE2, 0xE3)
 
+_LETTER = np.zeros(256, bool)  # of ASCII
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK = np.zeros(256, bool)  # ASCII characters that are neither letters, digits, white space nor controls
+_MARK[0x21:0x7F] = True
+_MARK[0x30:0x3A] = False
+_MARK &= ~_LETTER
+
+
+def _after_letters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> Words:
+    """Chunks, cut once more between an ASCII letter and an ASCII mark after it.
+
+    Both tokenizers' patterns end a run of letters there, whatever follows, and
+    go on matching at the mark. Words then have one chunk whether or not a comma
+    follows them.
+    """
+    inner = np.flatnonzero(_LETTER[buf[:-1]] & _MARK[buf[1:]]) + 1 if len(buf) else np.empty(0, np.int64)
+    if not len(starts):
+        return Words(buf, starts, ends, np.searchsorted(starts, offsets))
+    inner = inner[starts[np.searchsorted(starts, inner, "right") - 1] != inner]  # not where a text begins
+    at = np.searchsorted(starts, inner)
+    starts, ends = np.insert(starts, at, inner), np.insert(ends, at - 1, inner)
+    return Words(buf, starts, ends, np.searchsorted(starts, offsets))
+
 
 def spaced_chunks(buf: np.ndarray, offsets: np.ndarray) -> Words:
     """Chunks for byte-level BPE: a space belongs to the word that follows it.
@@ -50,12 +73,22 @@ def spaced_chunks(buf: np.ndarray, offsets: np.ndarray) -> Words:
     if n == 0:
         starts = starts[:0]
     ends = np.append(starts[1:], n) if len(starts) else starts
-    return Words(buf, starts, ends, np.searchsorted(starts, offsets))
+    return _after_letters(buf, starts, ends, offsets)
 
 
 def bare_chunks(buf: np.ndarray, offsets: np.ndarray) -> Words:
-    """Chunks for tokenizers that drop white space: runs without ASCII white space."""
-    return find_words(buf, offsets, SPACES)
+    """Chunks for tokenizers that drop white space and case: runs without ASCII white space.
+
+    A-Z is lower-cased here, so that a word has one chunk, unless what follows is
+    not ASCII: it may be a combining mark, and composing comes before lower case.
+    """
+    if len(buf):
+        small = buf.copy()
+        upper = np.flatnonzero((buf[:-1] >= 0x41) & (buf[:-1] <= 0x5A) & (buf[1:] < 0x80))
+        small[upper] += 32
+        buf = small
+    w = find_words(buf, offsets, SPACES)
+    return _after_letters(buf, w.starts, w.ends, offsets)
 
 
 class ChunkTokenizer:

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import packing, simple8b, warc
 from siltstone.llm.tokens import chunk_tokenizer
+from siltstone.llm.words import text_bytes
 
 from .conftest import frame
 
@@ -171,3 +173,28 @@ def test_archive_frames_stand_alone(tmp_path):
     assert records[0]["record_type"] == "warcinfo" and [r["page_id"] for r in records[1:]] == list(range(3000))
     with pytest.raises(ValueError):
         list(warc.read_records(pa.BufferReader(data[:-20])))
+
+
+ODD = ["a", "B", "s", "S", "'", "’", "re", "ll", "J", "I", "İ", "\u030c", "\u0307", "\u0338", "\u0323", "K", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "1", "²", ",", ".", "<", "|", "<|endoftext|>", "</w>", "é", "ß", "漢", "😀", "\u200d", "\x00", "\x85"]
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "bare"), ("byte_bpe_50k.json", "spaced")])
+def test_chunks_give_the_ids_of_whole_texts(name, kind):
+    random = np.random.default_rng(5)
+    texts = ["".join(random.choice(ODD, random.integers(0, 14))) for _ in range(4000)]
+    library = reference(P.path(name))
+    ids, at = chunk_tokenizer(P.path(name), kind).encode(*text_bytes(pa.array(texts, pa.large_string())))
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert e.ids == ids[at[i] : at[i + 1]].tolist(), texts[i]
+
+
+def test_simple8b_of_many_shapes():
+    random = np.random.default_rng(3)
+    for n in (0, 1, 5, 255, 256, 257, 1000):
+        for most in (1, 2, 5, 20, 64):
+            w = random.integers(0, most + 1, n)
+            v = np.where(w > 0, np.uint64(1) << np.minimum(w, 63).astype(np.uint64), np.uint64(0))
+            v[: n // 3] = 0
+            words, first, escapes = simple8b.encode(v)
+            assert (simple8b.decode(words, first, escapes, n) == v).all()
+            assert len(words) <= n and len(first) == -(-n // 256) + 1
