@@ -18,9 +18,8 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: A line is boilerplate if more different documents of a host share it than this number and this share of them.
-MAX_DOCS_PER_LINE = 100
-MAX_SHARE_PER_LINE = 0.1
+#: A line that more than this many different documents of a host hold is boilerplate, however large the host.
+MAX_DOCS_PER_LINE = 5
 #: A document that keeps less than this share of its words is rejected.
 MIN_KEPT_SHARE = 0.5
 
@@ -132,9 +131,12 @@ def _content(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_dup_lines", "n_removed_words", "base_failed", "depleted", "kept")
+
+
 def measured(docs: DataFrame, text: str = "text", host: str = "source", order: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """A written table: one row per document, with a stable ``_row``, its measures and its lines."""
-    keep = [c for c in dict.fromkeys([*(carry or []), order])]
+    keep = [c for c in dict.fromkeys([*(carry or []), order]) if c not in _MEASURES and not c.startswith("_")]
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         *keep,
@@ -152,19 +154,21 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source", order: s
     )
 
 
-def frequent_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE, max_share: float = MAX_SHARE_PER_LINE) -> DataFrame:
-    """Lines that too many different texts of a host hold, with the smallest id among those documents.
+def frequent_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE, min_share: float = 0.0) -> DataFrame:
+    """Lines that more than ``max_docs`` different documents of a host hold, with the smallest id among these.
 
-    Too many are more than ``max_docs`` and more than ``max_share`` of the host's
-    texts. Exact copies of a text count once: they are a matter for
-    deduplication, and so is a family of edited copies, which is a small part of
-    its host.
+    Documents are different if their ids are; each row without an id counts. With
+    ``min_share``, a line must also be in more than that share of the host's
+    documents (an option, off by default, as it leaves more the larger a host is).
     """
-    lines = table.select(F.explode("_lines").alias("x"), "_host", "_content", order).select(F.col("x.line").alias("line"), "_host", "_content", order)
-    by_text = lines.groupBy("line", "_content").agg(F.min(order).alias("first"), F.min("_host").alias("_host"))
-    often = by_text.groupBy("line").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.min("_host").alias("_host")).where(F.col("docs") > max_docs)
-    hosts = table.groupBy("_host", "_content").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("texts"))
-    return often.join(hosts, "_host").where(F.col("docs") > max_share * F.col("texts")).select("line", "docs", "first")
+    who = [F.col(order).alias("_id"), F.when(F.col(order).isNull(), F.col("_row")).alias("_nobody")]
+    lines = table.select(F.explode(F.array_distinct(F.col("_lines.line"))).alias("line"), "_host", *who)
+    by_doc = lines.groupBy("line", "_id", "_nobody").agg(F.min("_host").alias("_host"))
+    often = by_doc.groupBy("line").agg(F.count("*").alias("docs"), F.min("_id").alias("first"), F.min("_host").alias("_host")).where(F.col("docs") > max_docs)
+    if min_share > 0:
+        hosts = table.select("_host", *who).distinct().groupBy("_host").agg(F.count("*").alias("of"))
+        often = often.join(hosts, "_host").where(F.col("docs") > min_share * F.col("of"))
+    return often.select("line", "docs", "first")
 
 
 def removable_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
@@ -186,9 +190,12 @@ def judge_documents(
 
     base_failed: fewer than 50 words, or over half of the words in repeated
     three-word windows. depleted: removing the host's boilerplate lines (see
-    ``frequent_lines``) leaves less than ``min_share`` of the words. A null text is as an empty one (it fails the base rule); a null host
-    is a host of its own; a null id never is the one that keeps a line while
-    others have one. Repeated rows are judged alike, each by itself.
+    ``frequent_lines``) leaves less than ``min_share`` of the words. A null text
+    is as an empty one (it fails the base rule); a null host is a host of its own;
+    a null id never is the one that keeps a line while others have one. Rows that
+    share an id are one document for the count, and are judged each by itself.
+    An empty table gives an empty result. Of ``carry``, columns named like a
+    result or with a leading underscore are left out.
     """
     table = measured(docs, text, host, order, carry)
     removed = removable_lines(table, order, max_docs).groupBy("_row").agg(F.sum("words").alias("n_removed_words"))
@@ -202,7 +209,10 @@ def judge_documents(
 def clean_documents(docs: DataFrame, text: str = "text", host: str = "source", order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE, min_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """The documents that are kept, without their removable lines, with the columns of ``docs``.
 
-    A column ``n_chars`` is set to the length of the text that is left.
+    A column ``n_chars`` is set to the length of the text that is left. Nulls are
+    treated as in ``judge_documents``, so a row with a null text goes; of the
+    documents that hold a line, the one with the smallest id keeps it, with all
+    rows of that id. Repeated rows stay, and so do columns of any name.
     """
     name = {c: f"_{i}_" for i, c in enumerate(docs.columns)}
     flat = docs.select(*[F.col(c).alias(name[c]) for c in docs.columns])

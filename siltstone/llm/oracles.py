@@ -92,10 +92,7 @@ raw AS (
   FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 lines AS (SELECT * FROM raw WHERE words > 0),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-common AS (
-  SELECT source, norm, min(doc_id) AS first FROM lines JOIN hosts USING (source)
-  GROUP BY source, norm, texts HAVING count(DISTINCT text) > greatest(100, 0.1 * texts)),
+common AS (SELECT source, norm, min(doc_id) AS first FROM lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > 5),
 cut AS (
   SELECT doc_id, sum(words) AS n FROM lines JOIN common USING (source, norm) WHERE doc_id <> first GROUP BY doc_id),
 m AS (

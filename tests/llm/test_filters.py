@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import fm_index, licenses, toxicity, url_cascade
 from siltstone.llm.decontaminate import find_contamination
-from siltstone.llm.line_quality import clean_documents, judge_documents
+from siltstone.llm.line_quality import clean_documents, frequent_lines, judge_documents, measured
 from siltstone.llm.queries import BLOCKED_HOSTS, URL_RULES
 from siltstone.llm.words import text_bytes
 
@@ -25,10 +25,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def brute_quality(rows, max_docs):
     lines = [[(" ".join(WORD.findall(x)).lower(), len(WORD.findall(x)), x) for x in (t or "").split("\n") if WORD.search(x)] for _, t, _ in rows]
-    texts, first = {}, {}
-    for (i, t, s), ls in zip(rows, lines, strict=True):
+    docs, first = {}, {}
+    for row, ((i, _, s), ls) in enumerate(zip(rows, lines, strict=True)):
         for k, _, _ in ls:
-            texts.setdefault((s, k), set()).add(t)
+            docs.setdefault((s, k), set()).add(("row", row) if i is None else i)
             if i is not None:
                 first[s, k] = min(first.get((s, k), i), i)
     out = []
@@ -36,12 +36,28 @@ def brute_quality(rows, max_docs):
         w = WORD.findall(t or "")
         g = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
         rep = {j + d for j in range(len(w) - 2) if g[tuple(w[j : j + 3])] > 1 for d in range(3)}
-        cut = sum(n for k, n, _ in ls if len(texts[s, k]) > max_docs and first.get((s, k)) != i)
+        cut = sum(n for k, n, _ in ls if len(docs[s, k]) > max_docs and first.get((s, k)) != i)
         failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(ls) - len({x for _, _, x in ls}), len(rep), cut, failed, not failed and len(w) - cut >= 0.5 * len(w)))
     return out
 
 
+def brute_clean(rows, max_docs):
+    """The rows that stay, with their texts cut."""
+    def norm(line):
+        return " ".join(WORD.findall(line)).lower()
+
+    docs = {}
+    for i, t, s in rows:
+        for line in (t or "").split("\n"):
+            docs.setdefault((s, norm(line)), set()).add(i)
+    out = {}
+    for (i, t, s), judged in zip(rows, brute_quality(rows, max_docs), strict=True):
+        if judged[-1]:
+            out[i] = "\n".join(x for x in t.split("\n") if not norm(x) or len(docs[s, norm(x)]) <= max_docs or min(docs[s, norm(x)]) == i)
+    return out
+
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
@@ -61,6 +77,19 @@ def test_quality_equals_brute_force(spark, corpus):
     assert sorted(tuple(r) for r in got) == sorted(brute_quality(rows, 10))
 
 
+def test_lines_are_counted_by_document(spark):
+    own = " ".join(f"w{j}" for j in range(60))
+    rows = [(i, f"Shared line of five words\n{own} {i}", "h") for i in range(6)] + [(9, f"{own}\nfive of them share this", "g")] * 7
+    rows += [(10 + i, f"{own}\nfive of them share this", "g") for i in range(4)] + [(None, f"{own}\nnobody knows us", "n")] * 6
+    got = judge_documents(frame(spark, rows).withColumn("kept", F.lit("clash")), carry=["kept"]).select(*COLUMNS)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, brute_quality(rows, 5)))
+    cut = {r["doc_id"]: r["n_removed_words"] for r in got.collect()}
+    assert cut[0] == 0 and cut[1] == 5 and cut[9] == cut[10] == 0 and cut[None] == 0  # without any id, none is the first
+    share = frequent_lines(measured(frame(spark, rows)), max_docs=3, min_share=0.9)
+    assert share.count() == 5  # all documents of a host share them
+    assert judge_documents(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_cleaning_cuts_lines_and_rejects(spark, corpus):
     rows = quality_rows(corpus)
     docs = frame(spark, rows).withColumn("_row", F.lit(1)).withColumn("kept", F.lit("clash"))

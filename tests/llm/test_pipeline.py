@@ -15,21 +15,21 @@ from siltstone.llm.store import written
 
 from .conftest import frame
 from .test_dedup import brute_substring, shingles
-from .test_filters import brute_contamination, brute_quality, item_words
+from .test_filters import brute_clean, brute_contamination, item_words
 from .test_formats import check_packing
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_stages_equal_plain_python(spark, corpus, tmp_path, monkeypatch):
-    monkeypatch.setattr(line_quality, "MAX_DOCS_PER_LINE", 100)
+def test_stages_equal_plain_python(spark, corpus, tmp_path):
     texts = dict(corpus)
     rows = sorted(texts.items())
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     bench = [(0, " ".join(texts[15].split()[:30])), (1, " ".join(texts[102].split()[50:65]))]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
-    now = {r[0]: texts[r[0]] for r in brute_quality([(i, t, "s") for i, t in rows], 100) if r[-1]}
+    now = brute_clean([(i, t, "s") for i, t in rows], line_quality.MAX_DOCS_PER_LINE)
+    assert any(t != texts[i] for i, t in now.items())
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     after = []
     for name, stage in corpus_pipeline.STAGES:
