@@ -8,8 +8,13 @@ follow edit similarity rather than that of sets. Documents with an equal key are
 candidates. They are verified by aligning their sequences of k-mers within a
 band, which gives the most k-mers m that both have in the same order; the
 similarity is m / (a + b - m) for a and b k-mers, and 0.8 or more links them. A
-pair that is similar to 0.8 shares a given key with a probability of about
-0.8 ** 4 = 0.41, and at least one of 24 with more than 0.99999.
+long pair that is similar to 0.8 shares a given key with a probability of about
+0.8 ** 4 = 0.41, and at least one of 24 with more than 0.99999. Shorter ones share
+a key less often, at worst 1 in 3 (one of more than 0.9999), but for texts of 4 to
+6 k-mers: some of their keys are of whole sequences and of sequences with one
+k-mer left out, so that all similar pairs of 4 and 5 or 5 and 6 share one surely.
+For the alignment a word is 16 bits of its hash, so one pair of different words in
+65,536 passes for equal there.
 
 Copies are put together first, by their whole word sequence. A group of equal
 keys isn't compared pairwise: its documents are compared with its most central
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import expand
-from .store import scratch, ship_code, written
+from .store import scratch, ship_code, shuffle_partitions, written
 from .substring import whole_hashes
 from .words import SPACES, find_words, mix, rolling, sliced, text_bytes, whole_windows
 
@@ -69,11 +74,37 @@ def labelled(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """One key for each row of k-mers, in their order."""
+    key = np.full(len(rows), mix(np.array([SKETCHES + rows.shape[1]], _U))[0])
+    for column in rows.T:
+        key = mix(key * _U(0xC4CEB9FE1A85EC53) + column)
+    return key
+
+
+def _short_keys(keys: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
+    """Put sure keys for texts of n = 4 to 6 k-mers in the place of some sketches.
+
+    Whole sequences of n and those of n + 1 with one left out have the same
+    columns, so texts that are one k-mer apart have an equal key there.
+    """
+    n, at = np.diff(first), 0
+    for size in (DEPTH, DEPTH + 1):
+        width = size + 1
+        whole, longer = np.flatnonzero(n == size), np.flatnonzero(n == width)
+        keys[whole, at : at + width] = _folded(h[first[whole][:, None] + np.arange(size)])[:, None]
+        rows = h[first[longer][:, None] + np.arange(width)]
+        for gone in range(width):
+            keys[longer, at + gone] = _folded(np.delete(rows, gone, 1))
+        at += width
+
+
+def sketches(x: np.ndarray, first: np.ndarray, plain: np.ndarray | None = None) -> np.ndarray:
     """Keys (texts x SKETCHES) of labelled k-mers; every text must have a k-mer.
 
     Per hash function only k-mers below a threshold that about 24 of a text pass
-    are sorted; a text in which fewer than DEPTH pass is sorted whole.
+    are sorted; a text in which fewer than DEPTH pass is sorted whole. ``plain``:
+    the k-mers without labels, for the sure keys of short texts.
     """
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
@@ -98,6 +129,8 @@ def sketches(x: np.ndarray, first: np.ndarray) -> np.ndarray:
             some = place == p
             key[d[some]] = mix(key[d[some]] * _U(0xC4CEB9FE1A85EC53) + x[at[some]])
         out[:, j] = key
+    if plain is not None:
+        _short_keys(out, plain, first)
     return out
 
 
@@ -113,8 +146,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], text: str, doc_id: str) -> Iterat
         x, first = kmers(w, h)
         whole = whole_hashes(w, h)
         some = np.flatnonzero(np.diff(first) > 0)
-        x, first = x, np.append(first[some], first[-1])
-        keys = sketches(labelled(x, first), first) if len(some) else np.empty((0, SKETCHES), _U)
+        first = np.append(first[some], first[-1])
+        keys = sketches(labelled(x, first), first, x) if len(some) else np.empty((0, SKETCHES), _U)
         code = (h >> _U(48)).astype("<u2")
         packed = [squeeze.compress(code[w.first[d] : w.first[d + 1]].tobytes()) for d in some]
         yield pa.RecordBatch.from_pydict(
@@ -226,6 +259,8 @@ def _links(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     two = one.hint("merge").join(sequences.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("n").alias("nb")), "b")
     # Lengths alone rule out what can't be similar enough.
     two = two.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "wa", "wb")
+    # A pair costs much more to align than to read, so pairs are dealt out by number, not by bytes.
+    two = two.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")
     return written(two.mapInArrow(lambda t: _verify(t, least), LINK).where("similarity > 0"), "links")
 
 
@@ -249,9 +284,24 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (id, class) after further links: components of the links between classes."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        of = classes.select(F.col("id").alias(end), F.col("class").alias(f"c{end}"))
+        ends = ends.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    between = written(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "class-links")
+    if not between.limit(1).count():
+        return classes
+    joined = components(between)
+    known = classes.join(joined.select(F.col("id").alias("class"), F.col("class").alias("to")), "class", "left")
+    known = known.select("id", F.coalesce("to", "class").alias("class"))
+    return written(known.unionByName(joined.join(classes.select("id"), "id", "left_anti").select("id", "class")), "classes")
+
+
 #: Groups of equal keys up to this size have all pairs of different classes compared.
 SMALL = 16
-#: Orders in which larger groups are sorted for comparing neighbours, in each of two rounds.
+#: Orders in which larger groups are sorted for comparing neighbours.
 ORDERS = 3
 #: Documents and k-mers of a block at most, about. What is left of larger groups is compared block by block.
 BLOCK, BLOCK_KMERS = 128, 1 << 16
@@ -308,7 +358,7 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _neighbours(rows: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
+def _neighbours(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs of documents of one key that stand next to each other in orders by their other keys.
 
     Documents that are more similar have longer beginnings of such orders in
@@ -317,7 +367,7 @@ def _neighbours(rows: DataFrame, keys: DataFrame, turn: int) -> DataFrame:
     full = written(rows.join(keys, "id").select("key", "id", "class", "keys"), "neighbour-keys")  # read by each order, and by its sampling of ranges
     out = None
     for i in range(ORDERS):
-        at = F.pmod(F.xxhash64("key", F.lit(turn * ORDERS + i)), F.lit(SKETCHES)).cast("int")
+        at = F.pmod(F.xxhash64("key", F.lit(i)), F.lit(SKETCHES)).cast("int")
         order = F.concat(F.slice("keys", at + 1, F.lit(SKETCHES)), F.slice("keys", F.lit(1), at))
         dealt = full.select("key", order.alias("order"), "id", "class").repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id")
         pairs = dealt.select("key", "id", "class").mapInArrow(_adjacent, PAIR)
@@ -335,7 +385,7 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
     ids, own, side, n = (t.column(c).to_numpy() for c in ("id", "class", "side", "n"))
     own = own.copy()
     keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
-    nth = int((keys[0] == t.column("key")[0].as_py()).argmax())
+    group = t.column("key")[0].as_py()
     open_ = zstandard.ZstdDecompressor()
     x = [_kmers_of(w.as_py(), open_) for w in t.column("words")]
     code = np.unique(np.concatenate(x), return_inverse=True)[1]
@@ -346,7 +396,7 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
     for i in np.flatnonzero(side != 1):
         other = right[right > i] if side[i] == 2 else right
         other = other[(own[other] != own[i]) & (np.minimum(n[other], n[i]) >= least * np.maximum(n[other], n[i]))]
-        other = other[(keys[other] == keys[i]).argmax(1) == nth]
+        other = other[keys[i][(keys[other] == keys[i]).argmax(1)] == group]
         if not len(other):
             continue
         flag[code[first[i] : first[i + 1]]] = True
@@ -403,8 +453,7 @@ def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     2. Of keys whose documents are now in several classes, small ones have all
        pairs across classes compared (links within a class change nothing); in
        large ones neighbours in several orders are.
-    3. The same for the large ones that are still mixed, in other orders.
-    4. Large ones that are mixed even now have all pairs across classes compared,
+    3. Large ones that are mixed even now have all pairs across classes compared,
        in blocks (see ``_rest``). The rounds before only leave it fewer of them.
 
     Sequences are only dealt out again for documents that share a key.
@@ -415,16 +464,13 @@ def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     sequences, keys = active.select("id", "n", "words"), active.select("id", "keys")
     tested = written(_stars(shared), "pairs")
     links = _links(tested, sequences, least)
-    for turn in range(2):
-        mixed = _mixed(shared, components(links))
-        fresh = _neighbours(mixed.where(F.col("size") > SMALL), keys, turn)
-        if turn == 0:
-            fresh = fresh.unionByName(_across(mixed.where(F.col("size") <= SMALL)))
-        fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        links = written(links.unionByName(_links(fresh, sequences, least)), "links-so-far")
-    mixed = _mixed(shared, components(links)).where(F.col("size") > SMALL)
-    return written(links.unionByName(_rest(mixed, active, least)), "links-so-far")
+    classes = components(links)
+    mixed = _mixed(shared, classes)
+    fresh = _neighbours(mixed.where(F.col("size") > SMALL), keys).unionByName(_across(mixed.where(F.col("size") <= SMALL)))
+    fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = _links(fresh, sequences, least)
+    mixed = _mixed(shared, merged(classes, more)).where(F.col("size") > SMALL)
+    return written(links.unionByName(more).unionByName(_rest(mixed, active, least)), "links-so-far")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:

@@ -181,3 +181,28 @@ def test_sketch_recall_at_the_threshold():
         k = om.sketches(x, np.array([0, 300, 600]))
         missed += not (k[0] == k[1]).any()
     assert missed == 0
+
+
+def test_short_texts_one_word_apart_share_a_key():
+    """Texts of 4 and 5 or 5 and 6 k-mers, wherever the one word more stands, and with repeated k-mers."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.choice([9, 10])
+        long = [rng.choice("abcdefghij" if rng.random() < 0.7 else "ab") + str(rng.randint(0, 3)) for _ in range(n)]
+        short = long[1:] if rng.random() < 0.5 else long[:-1]
+        w = find_words(*text_bytes(pa.array([" ".join(long), " ".join(short)])), SPACES)
+        x, first = om.kmers(w, w.hashes())
+        keys = om.sketches(om.labelled(x, first), first, x)
+        assert (keys[0] == keys[1]).any()
+
+
+def test_near_duplicates_null_texts_and_repeated_ids_in_a_large_group(spark, words):
+    rng = random.Random(7)
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(i % 40, " ".join([*base[: i % 60], f"edit{i}", *base[i % 60 :]])) for i in range(80)] + [(i, None) for i in range(35, 45)] + [(None, " ".join(base))]
+    docs = frame(spark, rows).withColumn("copy", F.lit("clash")).withColumn("words", F.lit(1))
+    got = om.near_duplicates(docs)
+    assert got.columns == ["doc_id", "class_id", "copy"]
+    assert Counter((r["doc_id"], r["class_id"]) for r in got.collect()) == Counter((i, None if i is None else 0 if i < 40 else i) for i, _ in rows)
