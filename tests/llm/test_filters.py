@@ -205,18 +205,40 @@ def test_decontamination_cuts_spans(spark):
 
 
 def brute_licenses(t):
-    h = [tuple(w) for w in zip(*[item_words(t)[i:] for i in range(5)], strict=False)]
-    out = set()
-    for name, ts in licenses.TEMPLATES.items():
-        for n, x in enumerate(ts):
-            w = item_words(x)
-            want = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-            c = 2 * (1 << (len(want) - 1).bit_length())
-            if any(len(want & set(h[j : j + c])) >= 0.8 * len(want) for j in range(0, max(1, len(h)), c // 2)):
-                out.add((name, n))
+    """(license, template, start, end, containment) by the definition: every run of shingles against every template."""
+    def grams(x):
+        w = item_words(x)
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    wanted = {(name, n): set(grams(x)) for name, ts in licenses.TEMPLATES.items() for n, x in enumerate(ts)}
+    h, matches = grams(t), []
+    for order, ((name, n), want) in enumerate(wanted.items()):
+        telling = [want - x for (other, _), x in wanted.items() if other != name]
+        c = 1
+        while c < len(want):
+            c *= 2
+        spans = []
+        for j in range(len(h)):
+            run = h[j : j + c]
+            if h[j] in want and len(want & set(run)) >= 0.8 * len(want) and all(2 * len(x & set(run)) >= len(x) for x in telling):
+                last = max(k for k, x in enumerate(run) if x in want)
+                if spans and j < spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(spans[-1][1], j + last + 5), max(spans[-1][2], len(want & set(run))))
+                else:
+                    spans.append((j, j + last + 5, len(want & set(run))))
+        matches += [(-m, -m / len(want), order, name, n, a, z) for a, z, m in spans]
+    out = []
+    for _, share, _, name, n, a, z in sorted(matches):
+        if not any(name != other and a < y and z > x for other, _, x, y, _ in out):
+            out.append((name, n, a, z, pytest.approx(-share)))
     return out
 
 
+def found_licenses(spark, rows):
+    docs = licenses.scan_licenses(frame(spark, rows).withColumn("matches", F.lit("clash")))
+    return {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in docs.collect()}
+
+
 def test_licenses_equal_brute_force(spark, words):
     rng = random.Random(9)
 
@@ -224,19 +246,39 @@ def test_licenses_equal_brute_force(spark, words):
         return " ".join(rng.choice(words) for _ in range(n))
 
     rows = [(0, None), (1, ""), (2, "a b c"), (3, filler(500))]
-    for name, ts in licenses.TEMPLATES.items():
-        for n, t in enumerate(ts):
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    for t in texts:
+        for changes in range(4):
             w = t.split()
-            w[len(w) // 2] = w[len(w) // 2] if len(w) < 40 else "changed"
-            rows.append((len(rows), f"{filler(rng.randint(0, 90))}\n{' '.join(w).upper()} {filler(30)}"))
-            rows.append((len(rows), f"{filler(7)} {' '.join(t.split()[: len(t.split()) // 2])} {filler(9)}"))
-    got = {r["doc_id"]: {(m["license"], m["template"]) for m in r["matches"]} for r in licenses.scan_licenses(frame(spark, rows)).collect()}
-    assert got == {i: brute_licenses(t) for i, t in rows}
-    assert sum(map(bool, got.values())) >= len(licenses.TEMPLATES)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = "changed"
+            rows.append((len(rows), f"{filler(rng.randint(0, 90))}\n{' '.join(w).upper()} {filler(rng.randint(0, 30))} {rng.choice(texts)}"))
+        rows.append((len(rows), f"{filler(7)} {' '.join(t.split()[: len(t.split()) // 2])} {filler(9)} {t} {t}"))
+    got = found_licenses(spark, rows)
+    assert all(sorted(got[i], key=repr) == sorted(brute_licenses(t), key=repr) for i, t in rows)
+    assert licenses.scan_licenses(frame(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.Templates({"X": ["too short"]})
 
 
+def test_each_notice_has_its_own_license_only(spark, words):
+    texts = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(i, f"{words[i]} {words[i + 1]} {t} {words[i + 2]}") for i, (_, t) in enumerate(texts)] * 2
+    got = found_licenses(spark, rows)
+    assert {i: {m[0] for m in got[i]} for i in got} == {i: {name} for i, (name, _) in enumerate(texts)}
+    assert all(m[4] == 1 and m[2] == 2 for ms in got.values() for m in ms)
+    odd = licenses.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 9")
+    assert found_licenses(spark, [(1, odd)]) == {1: []}
+
+
+def test_license_in_a_text_of_several_slices(spark, words):
+    rng = random.Random(3)
+    filler = " ".join(rng.choice(words) for _ in range(1_200_000))
+    assert len(filler) > 5 << 20
+    got = found_licenses(spark, [(1, f"{filler} {licenses.TEMPLATES['AGPL-3.0'][0]} {filler}")])
+    assert [(m[0], m[2], m[4]) for m in got[1]] == [("AGPL-3.0", len(item_words(filler)), 1.0)]
+
+
 def toxic_rows(words, n, start):
     rng, rows = random.Random(start), []
     bad = ["gruxil", "plonkard", "zwafnut", "morbleth"]
