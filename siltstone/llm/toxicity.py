@@ -3,13 +3,13 @@
 Words are recoded before anything is compressed: each byte of a word becomes two
 bytes, a hash of the word up to there. Codes look random, so a word costs what
 it is long unless a dictionary holds its beginning, and words that start alike
-share code. Two dictionaries begin with the same part, trained on ordinary text;
-one ends with a part trained on what toxic text has besides (words that ordinary
-training documents lack), the other on the same of further ordinary documents.
-A window whose words the toxic part knows compresses to fewer bytes with it; the
-differences of a document's windows, over the whole text, are summed up in a few
-numbers from which a logistic function, fitted on documents that neither
-dictionary saw, makes the score.
+share code. One dictionary is trained on the whole texts of toxic documents, the
+other on those of ordinary ones; both stand behind the same part trained on
+further ordinary documents, so that words that both classes have cost the same.
+A window with words that only the toxic dictionary knows compresses to fewer
+bytes with it; the differences of a document's windows, over the whole text, are
+summed up in a few numbers from which a logistic function, fitted on documents
+that neither dictionary saw, makes the score.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ from .decontaminate import item_words
 from .store import ship_code
 from .words import BYTE_BASE, mix, powers, sliced, text_bytes
 
-#: Labelled documents to train on at most (those with the smallest hashes of their ids), and bytes of one.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 4000, 8000, 32 << 10
-#: Words in a window; bytes of the common part and of the parts that differ, of which the calibration picks.
-WINDOW, BASE_BYTES, OWN_BYTES = 16, (16384, 32768), (512, 1024, 2048, 3072, 4096)
+#: Labelled documents to train on at most (those with the smallest hashes of their ids), and bytes of one:
+#: the driver holds 190 MB of text at most. They bound what is learnt from, not what is scored.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 4000, 8000, 16 << 10
+#: Share of the ordinary training documents that the common part is trained on.
+COMMON_SHARE = 0.8
+#: Words in a window; bytes of the common part and of the two dictionaries, of which the calibration picks.
+WINDOW, BASE_BYTES, OWN_BYTES = 16, (32768, 65536), (2048, 3072, 4096, 8192, 16384)
 #: A document is called toxic from this score on.
 THRESHOLD = 0.3
 _STEPS = (3, 5, 8)
@@ -91,7 +94,7 @@ class ToxicityModel:
 
     def _compressors(self) -> list[zstandard.ZstdCompressor]:
         how = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=7, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+            window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=7, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
         raw = zstandard.DICT_TYPE_RAWCONTENT
@@ -154,24 +157,13 @@ def train_model(toxic: list[str], ordinary: list[str], held: list[str], held_lab
     if not toxic or len(ordinary) < 2 or not len(y):
         return ToxicityModel(b"", b"", float(prior))
 
-    def words(text: str) -> list[bytes]:
-        buf, offsets = text_bytes(pa.array([text], pa.large_string()))
-        w = item_words(buf, offsets)
-        raw = w.buf.tobytes()
-        return [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-
-    cut = max(1, len(ordinary) // 5)
-    known = {w for t in ordinary[cut:] for w in words(t)}
-
-    def unknown(texts: list[str]) -> list[str]:
-        return [b" ".join(w for w in words(t) if w not in known).decode() for t in texts]
-
-    new_toxic, new_ordinary = unknown(toxic), unknown(ordinary[:cut])
+    cut = max(1, int(COMMON_SHARE * len(ordinary)))
+    own = {n: [_dictionary(texts, n, WINDOW, 16) for texts in (toxic, ordinary[cut:])] for n in OWN_BYTES}
     best: tuple[float, ToxicityModel] | None = None
     for size in BASE_BYTES:
-        base = _dictionary(ordinary[cut : cut + 1600], size, 32, 32)
-        for own in OWN_BYTES:
-            model = ToxicityModel(base + _dictionary(new_toxic, own, 16, 16), base + _dictionary(new_ordinary, own, 16, 16), float(prior))
+        base = _dictionary(ordinary[:cut], size, WINDOW, 32)
+        for for_toxic, for_ordinary in own.values():
+            model = ToxicityModel(base + for_toxic, base + for_ordinary, float(prior))
             parts = [model.features(*text_bytes(pa.array(held[i : i + _SOME], pa.large_string()))) for i in range(0, len(held), _SOME)]
             loss = model.calibrate(np.concatenate(parts), y)
             if best is None or loss < best[0]:
@@ -189,15 +181,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     At most MAX_TOXIC and MAX_ORDINARY labels, those with the smallest hashes of
     their ids, are joined to documents of at most MAX_BYTES; this bounds what is
     collected. Fold 3 calibrates, the others train; the share of toxic labels is
-    taken from all rows. Labels that are null or have no document are left out.
+    taken from all rows. Labels that are null or have no document are left out,
+    and so are ids that are labelled both ways; repeated labels count once. All
+    documents of a labelled id are learnt from. Their order is that of the hashes,
+    so that no part of the training is a range of ids. An empty table of either
+    kind gives a model that scores every text alike.
     """
-    rows = labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").withColumn("fold", fold("id")).where(F.col("fold") != held_out).distinct()
+    rows = labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").withColumn("fold", fold("id")).where(F.col("fold") != held_out)
+    rows = rows.groupBy("id", "fold").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     picked = None
     for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
         some = rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.octet_length("t") <= MAX_BYTES).join(F.broadcast(picked), "id")  # bounded above
-    found = sorted((r["id"], r["y"], r["fold"], r["t"]) for r in texts.collect())
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.octet_length("t") <= MAX_BYTES).join(F.broadcast(picked), "id").select("id", "y", "fold", "t")  # bounded above
+    found = [tuple(r)[1:] for r in sorted(texts.select(F.xxhash64("id").alias("h"), "id", "y", "fold", "t").collect())]
     calibrate = [r for r in found if r[2] == 3]
     model = train_model([r[3] for r in found if r[1] and r[2] != 3], [r[3] for r in found if not r[1] and r[2] != 3], [r[3] for r in calibrate], [r[1] for r in calibrate])
     share = rows.agg(F.avg("y").alias("s")).first()["s"] or 0.0

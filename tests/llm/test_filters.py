@@ -306,3 +306,48 @@ def test_toxicity_on_held_out_rows(spark, words):
     assert again[0] == again[1] == out[0]["score"]
     nothing = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score_documents(docs, nothing).collect()} == {0.0}
+
+
+def plain_score(model, text):
+    """A score as the module describes it: window by window, each compressed by itself."""
+    import zstandard
+
+    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=7, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    packers = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (model.ordinary, model.toxic)]
+
+    def code(word):
+        h = 0
+        out = b""
+        for i, byte in enumerate(word.encode()):
+            h = (h + (byte + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64)) % (1 << 64)
+            x = h
+            for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                x = (x ^ (x >> 33)) * m % (1 << 64)
+            out += ((x ^ (x >> 33)) >> 48).to_bytes(2, "little")
+        return out
+
+    w = [code(x) for x in item_words(text)]
+    windows = [b"".join(w[i : i + 16]) for i in range(0, len(w), 16)]
+    gain = [len(packers[0].compress(x)) - len(packers[1].compress(x)) for x in windows]
+    n = max(1, len(gain))
+    steps = [(sum(g >= s for g in gain) / n) ** 0.5 for s in (3, 5, 8)]
+    x = np.array([sum(gain) / n, max([0, *gain]) / 8, *steps, (sum(g <= -5 for g in gain) / n) ** 0.5, n**-0.5])
+    z = model.weights[0] + ((x - model.mean) / model.scale) @ model.weights[1:]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_scores_equal_plain_python(spark, words):
+    rows = toxic_rows(words, 400, 0)
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    long = " ".join(t for _, t, _ in rows)
+    texts = [(0, None), (1, ""), (2, "Gruxil"), (3, long * (1 + (5 << 20) // len(long)))] + [(10 + i, t) for i, t, _ in rows[:40]] + [(3, "a b")]
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score_documents(frame(spark, texts), model).collect())
+    want = sorted((i, plain_score(model, t or "")) for i, t in texts)
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, 0), (0, 1)], labels.schema))
+    less = toxicity.train(docs, twice)
+    assert toxicity.train(docs, labels.where("doc_id <> 0")).toxic == less.toxic
+    assert toxicity.train(docs.limit(0), labels).scores(*text_bytes(pa.array(["x", ""]))).tolist() == [0.0, 0.0]
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0
