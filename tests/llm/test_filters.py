@@ -116,8 +116,9 @@ def test_urls_equal_plain_rules(spark):
     urls += [f"https://h{i}.example.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'fr'}/{i}" for i in range(300)]
     rows = [(i, u) for i, u in enumerate(urls)] + [(3, "http://")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("clash"))
-    got = url_cascade.judge_urls(pages, URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict").collect()
-    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((i, *plain_verdict(u))) for i, u in rows)
+    for literal_bytes in (url_cascade.LITERAL_BYTES, 0):
+        got = url_cascade.judge_urls(pages, URL_RULES, BLOCKED_HOSTS, literal_bytes=literal_bytes).select("page_id", "host", "path", "rule", "verdict").collect()
+        assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((i, *plain_verdict(u))) for i, u in rows)
     assert url_cascade.judge_urls(pages.limit(0), URL_RULES, BLOCKED_HOSTS).count() == 0
     with pytest.raises(ValueError):
         url_cascade.judge_urls(pages, [url_cascade.Rule("a", "/", "allow"), url_cascade.Rule("a", "/", "block")], [])
@@ -131,6 +132,18 @@ def test_cascade_is_exact(spark):
     assert url_cascade.build_cascade(universe.withColumn("listed", F.lit(False))).levels == ()
 
 
+def test_a_long_list_is_a_table_of_blocks(spark):
+    """A list whose first level is larger than a literal may be, over keys that are on it and others."""
+    n = 150_000
+    hosts = spark.range(n).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.org")).alias("host"))
+    pages = spark.range(0, 2 * n, 3).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.h"), F.col("id").cast("string"), F.lit(".example.org/x")).alias("url"), F.lit("clash").alias("verdict"))
+    rules = spark.createDataFrame([("h3.example.org", "/", "allow"), ("h3.example.org", "/", "allow"), (None, "/", "block")], url_cascade.RULE)
+    got = url_cascade.judge_urls(pages, rules, hosts.unionByName(hosts.limit(5)), literal_bytes=1 << 14)
+    want = F.when((F.col("page_id") < n) & (F.col("page_id") != 3), "block").otherwise("allow")
+    assert got.count() == 2 * n // 3 and got.where(F.col("verdict") != want).count() == 0
+    assert [r["page_id"] for r in got.where("rule = 'h3.example.org/'").collect()] == [3]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fm_index_finds_all_places(seed):
     rng = np.random.default_rng(seed)
