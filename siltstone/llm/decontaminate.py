@@ -22,8 +22,10 @@ from .fm_index import FIRST_SYMBOL, FMIndex, expand
 from .store import ship_code, written
 from .words import LOWER, NOT_ALNUM, Words, find_words, sliced, spans, text_bytes
 
-#: Bytes of benchmark text in one block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of the arrays of one block of the benchmark, and of them for each of its words at most.
+BLOCK_BYTES, WORD_BYTES = 32 << 20, 32
+#: A word as ``item_words`` finds it, in SQL's regular expressions.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 STATE = ("_hits", "_items")
 
 
@@ -33,27 +35,30 @@ def item_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, grouped by length."""
+    """The windows of a block of benchmark items, grouped by length, as places in a row of words.
+
+    ``words``: hashes of the different words; ``code``: which of them each word
+    is. A window is 12 bytes besides its words, equal windows of several items
+    are searched each.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         texts = pa.array([t for _, t in items], pa.large_string())
         w = item_words(*text_bytes(texts))
-        h, counts = w.hashes(), w.counts
-        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        names = sorted({i for i, _ in items})
-        number = {x: i for i, x in enumerate(names)}
-        self.names = names
-        owner = np.array([number[i] for i, _ in items], np.int64)
-        for length in sorted({int(min(c, window)) for c in counts if c}):
-            starts, own = [], []
-            for d in np.flatnonzero((counts == length) | ((counts > length) & (length == window))):
-                at = np.arange(w.first[d], w.first[d + 1] - length + 1)
-                starts.append(at)
-                own.append(np.full(len(at), owner[d]))
-            rows = h[np.concatenate(starts)[:, None] + np.arange(length)]
-            rows, which = np.unique(rows, axis=0, return_inverse=True)
-            pairs = np.unique(np.stack([which.ravel(), np.concatenate(own)], 1), axis=0)
-            self.by_length.append((rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1]))
+        self.words, code = np.unique(w.hashes(), return_inverse=True)
+        self.code = code.astype(np.int32)
+        self.names = sorted({i for i, _ in items})
+        number = {x: i for i, x in enumerate(self.names)}
+        owner = np.array([number[i] for i, _ in items], np.int32)
+        lengths = np.minimum(w.counts, window)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for length in np.unique(lengths[lengths > 0]).tolist():
+            d = np.flatnonzero(lengths == length)
+            starts, which = expand(w.first[d], w.first[d] + w.counts[d] - length + 1)
+            self.by_length.append((length, starts, owner[d[which]]))
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.code.nbytes + sum(s.nbytes + o.nbytes for _, s, o in self.by_length)
 
 
 def _search(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[list[int]]]:
@@ -70,6 +75,33 @@ def _search(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[list[int]]]:
     place = np.arange(n) + doc
     seq[place] = symbol + FIRST_SYMBOL
     seq[-1] = 0
+    known = np.searchsorted(vocabulary, phrases.words)
+    known[known == len(vocabulary)] = 0
+    absent = (vocabulary[known] != phrases.words)[phrases.code]
+    gone = np.concatenate([[0], np.cumsum(absent)])  # words before a place that this shard doesn't have
+    index = None
+    for length, starts, owners in phrases.by_length:
+        here = np.flatnonzero(gone[starts + length] == gone[starts])
+        if not len(here):
+            continue
+        index = index or FMIndex(seq)
+        who, lo, hi = index.search(known[phrases.code[starts[here][:, None] + np.arange(length)]] + FIRST_SYMBOL)
+        if not len(who):
+            continue
+        suffixes, which = expand(lo, hi)
+        places = index.locate(suffixes)
+        docs = np.searchsorted(w.first[1:] + np.arange(1, n_docs + 1), places, "right")
+        hit |= spans(places - docs, np.full(len(places), length), n)
+        for d, i in np.unique(np.stack([docs, owners[here[who][which]]], 1), axis=0).tolist():
+            found[d].append(i)
+    return hit, found
+    vocabulary, symbol = np.unique(w.hashes(), return_inverse=True)
+    # Texts are parted by symbol 1; word i of text d stands at place i + d.
+    seq = np.ones(n + n_docs, np.int64)
+    doc = w.doc_of()
+    place = np.arange(n) + doc
+    seq[place] = symbol + FIRST_SYMBOL
+    seq[-1] = 0
     index = None
     for rows, first, owners in phrases.by_length:
         at = np.searchsorted(vocabulary, rows)
@@ -186,8 +218,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     names = [f.name for f in RESULT.fields]
     docs = docs.drop(*[c for c in (*names, *STATE) if c in docs.columns and c != text])
     items = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_bytes))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total * WORD_BYTES // block_bytes))  # an item is never cut, so a block has one at least
     if blocks > 1:
         items = written(items.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), "benchmark-blocks")
     state = T.StructType([*docs.schema.fields, T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import fm_index, licenses, toxicity, url_cascade
-from siltstone.llm.decontaminate import find_contamination
+from siltstone.llm.decontaminate import WORD_BYTES, Phrases, find_contamination
 from siltstone.llm.line_quality import clean_documents, frequent_lines, judge_documents, measured
 from siltstone.llm.queries import BLOCKED_HOSTS, URL_RULES
 from siltstone.llm.words import text_bytes
@@ -208,6 +208,17 @@ def test_decontamination_equals_brute_force(spark, corpus, block_bytes):
     assert sorted(got) == sorted(brute_contamination(corpus, items))
 
 
+def test_blocks_are_bounded_by_their_arrays():
+    import pickle
+
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 60)))) for i in range(4000)]
+    words = sum(len(item_words(t)) for _, t in items)
+    phrases = Phrases(items, 10)
+    assert phrases.nbytes() <= len(pickle.dumps(phrases)) <= WORD_BYTES * words
+    assert sum(len(s) for _, s, _ in phrases.by_length) == sum(max(1, len(item_words(t)) - 9) for _, t in items)
+
+
 def test_decontamination_cuts_spans(spark):
     bench = spark.createDataFrame([(1, "Alpha, beta gamma")], "item_id long, text string")
     docs = frame(spark, [(1, "x (ALPHA beta; gamma) y alpha"), (2, None), (3, "alpha beta\ngamma")])
