@@ -36,14 +36,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays; rows without an id stay."""
-    classes = written(near_duplicates(docs).select("doc_id", "class_id"), "near-classes")
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])  # rows that repeat an id
-        kept = known.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """Of each class of near-duplicates the document with the smallest id stays; rows without an id stay.
+
+    Where an id occurs more than once, a row is a document of its own: of rows
+    with the same id the first in the table as it was read stands for its class,
+    and rows of one id whose texts aren't near-duplicates all stay.
+    """
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        classes = written(near_duplicates(docs).select("doc_id", "class_id"), "near-classes")
+        return docs.join(classes.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column is named so
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    known = rows.where("doc_id IS NOT NULL")
+    classes = near_duplicates(known.select(row, "text"), doc_id=row).select(F.col("doc_id").alias(row), "class_id")
+    classes = written(known.select(row, "doc_id").join(classes, row), "near-classes")
+    first = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = classes.select(row).join(first, row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
