@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -15,17 +16,23 @@ from .. import session
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[object, str]] = []
+#: Paths made in the innermost ``scratch`` of this thread.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (tests on one
-    machine) a folder of our own is made.
+    ``spark.checkpoint.dir`` names it. Only where that is unset and all runs on
+    one machine (tests) a folder of our own is made; on a cluster each executor
+    would write to its own disk, so that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -53,6 +60,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; it is removed when Python ends."""
     path = f"{shared_root(spark)}/siltstone/{uuid.uuid4().hex}-{name}"
     _MADE.append((spark, path))
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 
@@ -75,16 +84,24 @@ def scratch() -> Iterator[list[DataFrame]]:
     """Within, tables may be written freely; at the end only those put on the list stay.
 
     For operators that finish their work before they return, so that what they
-    needed on the way doesn't take up the shared folder.
+    needed on the way doesn't take up the shared folder. What other threads write
+    meanwhile is theirs; what is kept belongs to the scope around, if any.
     """
-    before = len(_MADE)
+    outer, made = _SCOPE.get(), []
+    token = _SCOPE.set(made)
     keep: list[DataFrame] = []
-    yield keep
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
     kept = {df._written_to for df in keep}
-    for spark, path in _MADE[before:]:
-        if path not in kept:
-            remove(spark, path)
-    _MADE[before:] = [x for x in _MADE[before:] if x[1] in kept]
+    gone = [path for path in made if path not in kept]
+    for path in gone:
+        spark = next(s for s, p in _MADE if p == path)
+        remove(spark, path)
+    _MADE[:] = [x for x in _MADE if x[1] not in gone]
+    if outer is not None:
+        outer.extend(kept & set(made))
 
 
 def remove(spark: SparkSession, path: str) -> None:

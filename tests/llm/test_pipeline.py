@@ -88,6 +88,16 @@ def test_near_stage_keeps_one_of_repeated_ids(spark):
     assert sorted(repr(r["doc_id"]) for r in got.collect()) == ["1", "None", "None"] and got.columns == docs.columns
 
 
+def test_near_stage_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(3))
+    docs = frame(spark, [(1, a), (1, b), (1, c), (1, a), (2, b + " x"), (0, c), (None, a), (3, None), (3, None)]).withColumn("_row", F.lit("clash"))
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(3), "")
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in got.collect() if r["text"]) == sorted([("1", a), ("1", b), ("0", c), ("None", a)])
+    assert got.where("text IS NULL").count() == 2 and got.columns == docs.columns
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_names():
     assert [n for n in queries.queries() if n.startswith("op")] == sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
