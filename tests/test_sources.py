@@ -167,3 +167,44 @@ def test_coordinate_files(spark):
     assert [r["error"] is None for r in rows] == [True, False] and rows[1]["text"] == "{"
     kml = '<kml xmlns="k"><Point><coordinates> 1,2,3 4,5 </coordinates></Point></kml>'
     assert [tuple(p) for p in spark.range(1).select(geofiles.kml_points(F.lit(kml))).first()[0]] == [(1.0, 2.0), (4.0, 5.0)]
+
+
+@pytest.mark.parametrize("tag", ["p", "li", "b", "div", "td", "blockquote"])
+def test_deep_pages(tag):
+    """Open elements by the thousand, with and without an end."""
+    for page in (f"<{tag}>x " * 20000, f"<{tag}>" * 20000 + "x" + f"</{tag}>" * 20000, f"</{tag}>" * 20000 + "x"):
+        assert "x" in html_tree.to_text(page)
+        assert "x" in html_tree.to_markdown(page)
+        assert "x" in html_tree.content_markdown(f"<body>{page}")
+        assert html_tree.metadata(page, "u")["title"] == "Untitled"
+
+
+def test_implied_ends():
+    assert html_tree.to_markdown("<p>a<p>b<div>c</div><ul><li>x<ul><li>y</ul><li>z</ul>") == "a\n\nb\n\nc\n- x\n- y\n- z"
+    assert html_tree.to_markdown("<table><tr><td>1<td>2<tr><td>3<td>4</table>") == "| 1 | 2 |\n| --- | --- |\n| 3 | 4 |"
+    assert html_tree.to_text("<p>a<table><tr><td><p>b<p>c</table>d").split() == ["a", "b", "c", "d"]
+
+
+def test_containers_of_content_systems():
+    text = "long enough to count as content " * 8
+    for mark in ('class="x TRS_Editor"', 'class="pages_content"', 'id="Zoom"', 'class="TYS-main-zt-show"', 'class="info-content"'):
+        page = f"<body><div>{'menu ' * 40}</div><div {mark}><span>{text}</span></div></body>"
+        assert html_tree.content_markdown(page) == text.strip()
+
+
+@pytest.mark.parametrize(
+    "text,url,date",
+    [
+        ("发布时间： 2024年3月5日 来源：X", "", "2024-3-5"), ("时间:2023/1/2 日期：2022-12-31", "", "2022-12-31"), ("2021年10月01日 发布", "", "2021-10-01"),
+        ("2021-10-01 来源", "", "2021-10-01"), ("nothing", "https://x/202405/t20240501_1.html", "2024-05"), ("nothing", "https://x/2024/05/06/a", "2024-05-06"), ("日期：soon", "", ""),
+    ],
+)
+def test_page_dates(text, url, date):
+    meta = html_tree.metadata(f"<body>{text}</body>", url)
+    assert meta["date"] == date
+
+
+def test_page_sources_and_titles():
+    assert html_tree.metadata("<p>来源： 新华社 发布单位：B", "")["author"] == "新华社"
+    assert html_tree.metadata("<p>发布机构：市政府<br>", "")["author"] == "市政府"
+    assert html_tree.site_free_title("A - B | 中国政府网 x") == "A" and html_tree.site_free_title("A-B") == "A-B"
