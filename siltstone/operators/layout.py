@@ -22,10 +22,10 @@ def dominant(rows: DataFrame, group: str, value: str, weight: Column) -> DataFra
 
 
 def font_sizes(spans: DataFrame, doc: str = "doc") -> DataFrame:
-    """Per document body, h1, h2, h3: the size most text has, and the three largest that exceed it by over 1."""
+    """Per document body, h1, h2, h3: the size most text has (the smallest of a tie), and the three largest that exceed it by over 1."""
     sized = spans.where(F.trim("text") != "").select(doc, F.bround("size", 1).alias("size"), F.length(F.trim("text")).alias("n"))
     totals = sized.groupBy(doc, "size").agg(F.sum("n").alias("n"))
-    body = totals.groupBy(doc).agg(F.max_by("size", "n").alias("body"), F.sort_array(F.collect_set("size"), asc=False).alias("sizes"))
+    body = totals.groupBy(doc).agg(F.max_by("size", F.struct("n", (-F.col("size")).alias("s"))).alias("body"), F.sort_array(F.collect_set("size"), asc=False).alias("sizes"))
     larger = F.filter("sizes", lambda s: s > F.col("body") + 1)
     return body.select(doc, "body", *[F.get(larger, F.lit(i)).alias(f"h{i + 1}") for i in range(3)])
 
@@ -178,8 +178,8 @@ def spread_merged(cells: DataFrame, ranges: DataFrame, keys: list[str]) -> DataF
 def pipe_table(cells: DataFrame, keys: list[str], max_rows: int = 0, max_cols: int = 0) -> DataFrame:
     """One Markdown table per sheet from cells (keys, row, col, value, kind) (SNK-09/10, ORD-04/05).
 
-    Rows and columns beyond the limits go (0: no limit), with flags; empty cells
-    at the ends of rows go and rows are padded again. A column is right-aligned
+    Rows and columns beyond the limits go (0: no limit; ``table_limits`` tells where);
+    empty cells at the ends of rows go and rows are padded again. A column is right-aligned
     if all its cells below the first row that have content are numbers.
     """
     b = cells.join(grid_bounds(cells, keys), keys)
@@ -208,6 +208,13 @@ def pipe_table(cells: DataFrame, keys: list[str], max_rows: int = 0, max_cols: i
     return t.select(*keys, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n").alias("markdown"))
 
 
+def table_limits(cells: DataFrame, keys: list[str], max_rows: int = 0, max_cols: int = 0) -> DataFrame:
+    """Per sheet rows_cut and cols_cut: whether the limits of ``pipe_table`` leave rows or columns out (ORD-04)."""
+    b = grid_bounds(cells, keys)
+    rows, cols = F.col("row1") - F.col("row0") + 1, F.col("col1") - F.col("col0") + 1
+    return b.select(*keys, (F.lit(max_rows > 0) & (rows > max_rows)).alias("rows_cut"), (F.lit(max_cols > 0) & (cols > max_cols)).alias("cols_cut"))
+
+
 def table_shape(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Per table rows, columns, filled cells, density, share of distinct texts, and whether it is a real table (AGG-05, FLT-14)."""
     filled = F.when(F.trim("value") != "", F.trim("value"))
@@ -220,8 +227,11 @@ def table_shape(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chart_table(points: DataFrame, chart: str, category: str, series: str, value: str, names: list[str]) -> DataFrame:
-    """Chart data as rows: one per category with a column per series, whole numbers without a point (SNK-14/15)."""
-    wide = points.groupBy(chart, category).pivot(series, names).agg(F.first(value))
+    """Chart data as rows: one per category with a column per series, whole numbers without a point (SNK-14/15).
+
+    Of several values for one place the smallest is shown.
+    """
+    wide = points.groupBy(chart, category).pivot(series, names).agg(F.min(value))
     shown = [F.when(F.col(n).isNull(), "").when(F.col(n) == F.floor(F.col(n)), F.floor(F.col(n)).cast("string")).otherwise(F.col(n).cast("string")).alias(n) for n in names]
     return wide.select(chart, category, *shown)
 
@@ -238,12 +248,20 @@ def ring_medians(pixels: DataFrame, keys: list[str], ring: int = 6) -> DataFrame
     return pixels.groupBy(*keys).agg(*[F.coalesce(F.percentile(F.when(border, F.col(c)), 0.5).cast("int"), F.lit(255)).alias(c) for c in "rgb"])
 
 
-def filled_boxes(pixels: DataFrame, fills: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels with the boxes of their image painted over; fills (keys, box array<int>, r, g, b) (SNK-41)."""
-    f = fills.select(*keys, F.col("box").alias("_box"), *[F.col(c).alias(f"_{c}") for c in "rgb"])
-    x0, y0, x1, y1 = (F.get("_box", F.lit(i)) for i in range(4))
-    inside = F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1)
-    return pixels.join(f, keys, "left").select(*keys, "x", "y", *[F.when(inside, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"])
+def filled_boxes(pixels: DataFrame, fills: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """Pixels with the boxes of their image painted over in order; fills (keys, order, box array<int>, r, g, b) (SNK-41).
+
+    Where boxes overlap the last one shows. The boxes of an image are few; they
+    travel to its pixels as one array.
+    """
+    boxes = fills.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "box", *"rgb"))).alias("_fills"))
+
+    def covers(f: Column) -> Column:
+        x0, y0, x1, y1 = (F.get(f["box"], F.lit(i)) for i in range(4))
+        return F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1)
+
+    painted = pixels.join(boxes, keys, "left").withColumn("_top", F.try_element_at(F.filter("_fills", covers), F.lit(-1)))
+    return painted.select(*keys, "x", "y", *[F.coalesce(F.col(f"_top.{c}"), F.col(c)).alias(c) for c in "rgb"])
 
 
 def background_of(content: Column, background: Column, page: Column, most: float = 4.0) -> Column:

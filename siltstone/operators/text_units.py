@@ -144,10 +144,15 @@ def batches(slots: DataFrame, group: str, order: str, size: str, max_chars: int
 
 
 def first_of_copies(rows: DataFrame, content: str, order: str) -> DataFrame:
-    """Of rows with equal content the first in order; a hash travels, and the content stays where it is (AGG-08)."""
-    hashed = rows.withColumn("_h", F.sha2(F.col(content), 256))
+    """Of rows with equal content the first in order (AGG-08); nulls are equal to each other.
+
+    Only hashes and orders are aggregated, and the rows meet the result by both,
+    so a content that very many rows have isn't dealt to one task. Copies that
+    share the smallest order all stay.
+    """
+    hashed = rows.withColumn("_h", F.coalesce(F.sha2(F.col(content), 256), F.lit("")))
     first = hashed.groupBy("_h").agg(F.min(order).alias(order))
-    return hashed.join(first.withColumnRenamed("_h", "_k"), order).where("_h = _k OR (_h IS NULL AND _k IS NULL)").drop("_h", "_k")
+    return hashed.join(first, ["_h", order], "left_semi").drop("_h").select(*rows.columns)
 
 
 def distinct_in_order(rows: DataFrame, value: str, order: str) -> DataFrame:

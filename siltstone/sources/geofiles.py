@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import math
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
@@ -148,16 +149,16 @@ def rewrite_gpx(text: str, f: Counter) -> str:
 
 
 def rewrite_kml(text: str, f: Counter) -> str:
+    def moved(t: str) -> str:
+        parts = t.split(",")
+        p = f(parts[0], parts[1]) if len(parts) >= 2 else None
+        return ",".join([str(p[0]), str(p[1]), *parts[2:]]) if p else t
+
     _keep_prefixes(text)
     root = ET.fromstring(text)
     for e in root.iter():
         if e.tag.rpartition("}")[2] == "coordinates" and e.text:
-            tuples = []
-            for t in e.text.split():
-                parts = t.split(",")
-                p = f(parts[0], parts[1]) if len(parts) >= 2 else None
-                tuples.append(",".join([str(p[0]), str(p[1]), *parts[2:]]) if p else t)
-            e.text = " ".join(tuples)
+            e.text = re.sub(r"\S+", lambda m: moved(m[0]), e.text)  # line breaks between tuples stay
     return _xml(root)
 
 
@@ -187,11 +188,19 @@ def rewritten(text: Column, fmt: Column, source: str, target: str, digits: int =
     return run(text, fmt)
 
 
+_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
+
+
 def geojson_points(text: Column) -> Column:
-    """Longitudes and latitudes of a GeoJSON text's point features, without Python."""
-    shape = "struct<features:array<struct<geometry:struct<type:string,coordinates:array<double>>>>>"
-    features = F.filter(F.from_json(text, shape)["features"], lambda f: f["geometry"]["type"] == "Point")
-    return F.transform(features, lambda f: F.struct(F.get(f["geometry"]["coordinates"], F.lit(0)).alias("lon"), F.get(f["geometry"]["coordinates"], F.lit(1)).alias("lat")))
+    """Longitudes and latitudes of all positions of a GeoJSON text, in order, without Python.
+
+    Geometries of any kind and depth count, in features, collections or by
+    themselves: what ``coordinates`` holds is brackets, numbers and commas, and a
+    position is a bracket with two numbers behind it.
+    """
+    trees = F.regexp_extract_all(text, F.lit(r'"coordinates"\s*:\s*(\[[-+\[\]\d\s,.eE]*\])'), 1)
+    found = F.flatten(F.transform(trees, lambda t: F.regexp_extract_all(t, F.lit(rf"\[\s*({_NUMBER}\s*,\s*{_NUMBER})"), 1)))
+    return F.transform(found, lambda p: F.struct(*[F.trim(F.get(F.split(p, r"\s*,\s*"), F.lit(i))).try_cast("double").alias(n) for i, n in enumerate(("lon", "lat"))]))
 
 
 def gpx_points(text: Column) -> Column:

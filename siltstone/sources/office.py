@@ -214,7 +214,8 @@ def omml_to_latex(e: ET.Element | str) -> str:
 
     def prop(name: str, default: str = "") -> str:
         pr = next((c for k, c in part.items() if k.endswith("Pr")), None)
-        return _attr(_first(pr, name), "val", default) if pr is not None else default
+        found = _first(pr, name) if pr is not None else None
+        return default if found is None else _attr(found, "val", default)
 
     kind = local(e.tag)
     if kind == "t":
@@ -235,14 +236,22 @@ def omml_to_latex(e: ET.Element | str) -> str:
         return NARY.get(sign, sign) + (f"_{{{low}}}" if low else "") + (f"^{{{high}}}" if high else "") + f" {tex('e')}"
     if kind == "d":
         inner = prop("sepChr", "|").join("".join(omml_to_latex(c) for c in x) for x in e if local(x.tag) == "e")
-        return rf"\left{prop('begChr', '(')}{inner}\right{prop('endChr', ')')}"
+        return rf"\left{prop('begChr', '(') or '.'}{inner}\right{prop('endChr', ')') or '.'}"  # a side without a bracket is a point
     if kind == "m":
         rows = [" & ".join("".join(omml_to_latex(c) for c in x) for x in _children(r, "e")) for r in _children(e, "mr")]
-        return r"\begin{matrix}" + r" \\ ".join(rows) + r"\end{matrix}"
+        return r"\begin{matrix} " + r" \\ ".join(rows) + r" \end{matrix}"
+    if kind == "eqArr":
+        return r"\begin{aligned} " + r" \\ ".join("".join(omml_to_latex(c) for c in x) for x in _children(e, "e")) + r" \end{aligned}"
+    if kind in ("limLow", "limUpp"):
+        return f"{{{tex('e')}}}{'_' if kind == 'limLow' else '^'}{{{tex('lim')}}}"
+    if kind == "sPre":
+        return f"{{}}_{{{tex('sub')}}}^{{{tex('sup')}}}{{{tex('e')}}}"
+    if kind == "groupChr":
+        return tex("e")
     if kind == "acc":
         return f"{ACCENTS.get(prop('chr', '̂'), ACCENTS['̂'])}{{{tex('e')}}}"
     if kind == "bar":
-        return rf"\overline{{{tex('e')}}}"
+        return rf"\{'underline' if prop('pos') == 'bot' else 'overline'}{{{tex('e')}}}"
     if kind == "func":
         return rf"\{tex('fName').strip()}{{{tex('e')}}}" if tex("fName").strip().isalpha() else f"{tex('fName')}{{{tex('e')}}}"
     if kind.endswith("Pr"):

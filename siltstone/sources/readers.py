@@ -23,40 +23,48 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content", "length")
 
 
-def parsed(rows: DataFrame, parser: Callable[[bytes], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows that a parser makes of each file's content; a file that can't be read gives none."""
+def parsed(rows: DataFrame, parser: Callable[[bytes], Iterator[dict]], schema: str, errors: bool = False) -> DataFrame:
+    """Rows that a parser makes of each file's content.
+
+    A file that can't be read gives none; with ``errors`` it gives one row with
+    its path and the reason in a column ``error``, which is null in all others.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
+    if errors:
+        names, schema = [*names, "error"], f"{schema}, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f["path"], f["content"], strict=True):
                 try:
                     out = [{**r, "path": path} for r in parser(bytes(content))]
-                except Exception:
-                    continue
-                yield pd.DataFrame(out, columns=names)
+                except Exception as e:
+                    if not errors:
+                        continue
+                    out = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
+                yield pd.DataFrame(out, columns=names).astype(object)
 
     return rows.select("path", "content").mapInPandas(run, schema)
 
 
-def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(files(spark, path, "*.xls[xm]"), office.xlsx_cells, CELLS)
+def xlsx_cells(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    return parsed(files(spark, path, "*.xls[xm]"), office.xlsx_cells, CELLS, errors)
 
 
-def xlsx_merges(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(files(spark, path, "*.xls[xm]"), office.xlsx_merges, MERGES)
+def xlsx_merges(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    return parsed(files(spark, path, "*.xls[xm]"), office.xlsx_merges, MERGES, errors)
 
 
-def pptx_shapes(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(files(spark, path, "*.p[po][tst][xm]"), office.pptx_shapes, SHAPES)
+def pptx_shapes(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    return parsed(files(spark, path, "*.p[po][tst][xm]"), office.pptx_shapes, SHAPES, errors)
 
 
-def epub_slots(spark: SparkSession, path: str) -> DataFrame:
+def epub_slots(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
     def rows(content: bytes) -> Iterator[dict]:
         for s in office.epub_slots(content):
             yield {**{k: v for k, v in s.items() if k != "path"}, "place": s["path"]}
 
-    return parsed(files(spark, path, "*.epub"), rows, SLOTS)
+    return parsed(files(spark, path, "*.epub"), rows, SLOTS, errors)
 
 
 CONVERTERS: dict[str, Callable[[bytes], str]] = {

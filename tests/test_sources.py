@@ -208,3 +208,73 @@ def test_page_sources_and_titles():
     assert html_tree.metadata("<p>来源： 新华社 发布单位：B", "")["author"] == "新华社"
     assert html_tree.metadata("<p>发布机构：市政府<br>", "")["author"] == "市政府"
     assert html_tree.site_free_title("A - B | 中国政府网 x") == "A" and html_tree.site_free_title("A-B") == "A-B"
+
+
+def test_unreadable_files_can_be_rows(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(BOOK)
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
+    rows = readers.xlsx_cells(spark, str(tmp_path), errors=True).collect()
+    bad = [r for r in rows if r["error"]]
+    assert len(rows) == 8 and len(bad) == 1 and bad[0]["path"].endswith("broken.xlsx") and bad[0]["row"] is None
+
+
+@pytest.mark.parametrize(
+    "inner,latex",
+    [
+        ("<m:limLow><m:e><m:r><m:t>lim</m:t></m:r></m:e><m:lim><m:r><m:t>x</m:t></m:r></m:lim></m:limLow>", "{lim}_{x}"),
+        ("<m:limUpp><m:e><m:r><m:t>a</m:t></m:r></m:e><m:lim><m:r><m:t>b</m:t></m:r></m:lim></m:limUpp>", "{a}^{b}"),
+        ("<m:sPre><m:sub><m:r><m:t>a</m:t></m:r></m:sub><m:sup><m:r><m:t>b</m:t></m:r></m:sup><m:e><m:r><m:t>X</m:t></m:r></m:e></m:sPre>", "{}_{a}^{b}{X}"),
+        ("<m:eqArr><m:e><m:r><m:t>a</m:t></m:r></m:e><m:e><m:r><m:t>b</m:t></m:r></m:e></m:eqArr>", r"\begin{aligned} a \\ b \end{aligned}"),
+        ("<m:bar><m:barPr><m:pos m:val='bot'/></m:barPr><m:e><m:r><m:t>u</m:t></m:r></m:e></m:bar>", r"\underline{u}"),
+        ("<m:bar><m:barPr><m:pos m:val='top'/></m:barPr><m:e><m:r><m:t>u</m:t></m:r></m:e></m:bar>", r"\overline{u}"),
+        ("<m:d><m:dPr><m:begChr m:val='{'/><m:endChr m:val=''/></m:dPr><m:e><m:r><m:t>c</m:t></m:r></m:e></m:d>", r"\left{c\right."),
+        ("<m:groupChr><m:e><m:r><m:t>g</m:t></m:r></m:e></m:groupChr>", "g"),
+        ("<m:m><m:mr><m:e><m:r><m:t>1</m:t></m:r></m:e><m:e><m:r><m:t>2</m:t></m:r></m:e></m:mr></m:m>", r"\begin{matrix} 1 & 2 \end{matrix}"),
+    ],
+)
+def test_more_formulas(inner, latex):
+    assert office.omml_to_latex(f"<m:oMath xmlns:m='m'>{inner}</m:oMath>") == latex
+
+
+def test_geojson_positions_of_all_geometries(spark):
+    text = json.dumps(
+        {
+            "type": "FeatureCollection", "bbox": [0, 0, 9, 9],
+            "features": [
+                {"type": "Feature", "properties": {"v": [7, 8], "s": '"coordinates": [5, 5]'}, "geometry": {"type": "Point", "coordinates": [1, 2.5, 100]}},
+                {"geometry": {"type": "LineString", "coordinates": [[3, 4], [-5.25, 6e1]]}},
+                {"geometry": {"type": "MultiPolygon", "coordinates": [[[[1, 1], [2, 1], [1, 1]]]]}},
+                {"geometry": {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [8, 9]}]}},
+                {"geometry": {"type": "Point", "coordinates": []}},
+            ],
+        }
+    )
+    df = spark.createDataFrame([(text,), ('{"type": "Point", "coordinates": [1,2]}',), ("{}",), (None,)], "t string")
+    got = [r["p"] if r["p"] is None else [tuple(x) for x in r["p"]] for r in df.select(geofiles.geojson_points(F.col("t")).alias("p")).collect()]
+    assert got == [[(1, 2.5), (3, 4), (-5.25, 60), (1, 1), (2, 1), (1, 1), (8, 9)], [(1, 2)], [], None]
+
+
+def test_kml_keeps_its_lines():
+    f = geofiles.Counter(lambda x, y: (x + 1, y))
+    out = geofiles.rewrite_kml("<kml><coordinates>\n  1,2,0\n  3,4\n  x\n</coordinates></kml>", f)
+    assert "<coordinates>\n  2.0,2.0,0\n  4.0,4.0\n  x\n</coordinates>" in out and f.points == 2
+
+
+def test_boxes_are_painted_in_order(spark):
+    from siltstone.operators import layout
+
+    px = spark.createDataFrame([("a", x, 0, 9, 9, 9) for x in range(5)] + [("b", 0, 0, 1, 2, 3)], "k string, x int, y int, r int, g int, b int")
+    fills = spark.createDataFrame([("a", 2, [1, 0, 3, 1], 2, 2, 2), ("a", 1, [0, 0, 2, 1], 1, 1, 1)], "k string, ord int, box array<int>, r int, g int, b int")
+    got = sorted(tuple(r) for r in layout.filled_boxes(px, fills, ["k"]).collect())
+    assert got == [("a", 0, 0, 1, 1, 1), ("a", 1, 0, 2, 2, 2), ("a", 2, 0, 2, 2, 2), ("a", 3, 0, 9, 9, 9), ("a", 4, 0, 9, 9, 9), ("b", 0, 0, 1, 2, 3)]
+
+
+def test_ties_and_limits(spark):
+    from siltstone.operators import layout, text_units
+
+    spans = spark.createDataFrame([("d", 12.0, "abcd"), ("d", 10.0, "abcd"), ("d", 20.0, "ab")], "doc string, size double, text string")
+    assert tuple(layout.font_sizes(spans).first()) == ("d", 10.0, 20.0, 12.0, None)
+    cells = spark.createDataFrame([("s", r, c, "v", "text") for r in range(3) for c in range(2)], "sheet string, row int, col int, value string, kind string")
+    assert tuple(layout.table_limits(cells, ["sheet"], 2, 2).first()) == ("s", True, False)
+    rows = spark.createDataFrame([(2, "x", 1), (1, "x", 2), (3, None, 3), (4, None, 4), (1, "y", 5)], "o int, t string, extra int")
+    assert sorted(r["extra"] for r in text_units.first_of_copies(rows, "t", "o").collect()) == [2, 3, 5]
