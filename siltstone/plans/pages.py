@@ -9,6 +9,7 @@ from ..functions import names, profiles
 from ..operators import checks
 from ..sources import html_tree
 from .base import Query, table
+from .texts import stats_sql
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +60,14 @@ def route_detect(spark: SparkSession, d: str) -> DataFrame:
 
 def output_names(spark: SparkSession, d: str) -> DataFrame:
     p = names.markdown_path(F.col("path"))
-    return _paths(spark, d).where("id LIKE 'p%'").select("id", p.alias("markdown"), names.asset_folder(p).alias("assets"), names.profile_path(p).alias("profile"))
+    return _paths(spark, d).select("id", p.alias("markdown"), names.asset_folder(p).alias("assets"), names.profile_path(p).alias("profile"))
 
 
 def page_names(spark: SparkSession, d: str) -> DataFrame:
-    title = F.when(F.col("page_id") % 2 == 0, "").otherwise("A  title: x")
-    return pages(spark, d).select("page_id", names.page_name(title, F.col("url"), F.col("page_id")).alias("name"))
+    """Names by the pages' titles; every second page does without, and every tenth without a URL, too."""
+    k = F.col("page_id")
+    title = F.when(k % 2 == 0, "").otherwise(names.clean_title(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return pages(spark, d).select("page_id", names.page_name(title, F.when(k % 10 == 0, "").otherwise(F.col("url")), k).alias("name"))
 
 
 def image_names(spark: SparkSession, d: str) -> DataFrame:
@@ -87,9 +90,9 @@ def unique_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def asset_refs(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "part").select(F.concat(F.lit("img_"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
-    refs = table(spark, d, "documents").select(F.concat(F.lit("img_"), (F.col("doc_id") % 300).cast("string"), F.lit(".png")).alias("name"), F.col("doc_id").alias("ord"))
+    refs = table(spark, d, "documents").select(F.concat(F.lit("img_"), F.floor(F.col("doc_id") / 4).cast("string"), F.lit(".png")).alias("name"), F.col("doc_id").alias("ord"))
     uses = checks.asset_uses(files, refs)
-    return uses.select("name", "usage_count", F.array_join(F.transform(F.slice("occurrences", 1, 3), lambda x: x.cast("string")), ",").alias("first_places"))
+    return uses.select("name", "usage_count", F.array_join(F.transform("occurrences", lambda x: x.cast("string")), ",").alias("places"))
 
 
 def unlisted_assets(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +135,7 @@ def meta_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversion_profiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("in/doc_"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.lit("# T\n\n[a](b)\n").alias("text"), "n_chars")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("in/doc_"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.concat("text", F.lit("\n# T\n\n[a](b)\n")).alias("text"), "n_chars")
     return rows.select("doc_id", F.to_json(profiles.profile(F.col("path"), F.col("n_chars"), F.col("text"))).alias("profile"))
 
 
@@ -186,8 +189,13 @@ WITH p AS (SELECT id, stem || ext AS path, CASE WHEN k % 31 = 0 THEN false ELSE
 u AS (SELECT 'u' || page_id AS id, url AS path, {_PATH} AS up FROM pages),
 a AS (SELECT id, path, taken, kind, coordinates FROM p UNION ALL SELECT id, path, false, CASE WHEN lower(up) LIKE '%_.pdf' THEN 'pdf' ELSE 'web' END, NULL FROM u)
 SELECT id, kind, taken, CASE WHEN length(path) % 5 = 0 THEN 'subtitle' ELSE kind END AS route, coordinates FROM a""",
-    "output_names": f"SELECT id, stem || '.md' AS markdown, stem || '_files' AS assets, stem || '.conversion_profile.json' AS profile FROM ({_PATHS})",
-    "page_names": rf"SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'A_title_x' ELSE {_SAFE.format(f'''{_HOST} || CASE WHEN trim({_PATH}, '/') <> '' THEN '_' || trim({_PATH}, '/') ELSE '' END''')} END AS name FROM pages",
+    "output_names": rf"""
+WITH u AS (SELECT 'u' || page_id AS id, regexp_extract(url, '^(.*/)?[^/]*$', 1) AS dir, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages),
+s AS (SELECT id, stem FROM ({_PATHS}) UNION ALL SELECT id, dir || CASE WHEN regexp_matches(base, '^.+\.[^.]+$') THEN regexp_extract(base, '^(.+)\.[^.]+$', 1) ELSE base END FROM u)
+SELECT id, stem || '.md' AS markdown, stem || '_files' AS assets, stem || '.conversion_profile.json' AS profile FROM s""",
+    "page_names": rf"""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[-_|].*?(政府|门户|网站|委员会).*$', '')) END AS title, CASE WHEN page_id % 10 = 0 THEN '' ELSE url END AS url FROM pages)
+SELECT page_id, coalesce(nullif({_SAFE.format('title')}, ''), nullif({_SAFE.format(f'''{_HOST} || CASE WHEN trim({_PATH}, '/') <> '' THEN '_' || trim({_PATH}, '/') ELSE '' END''')}, ''), 'untitled_' || page_id) AS name FROM p""",
     "image_names": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'image_' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.webp' WHEN 1 THEN '.gif' ELSE '.jpg' END
   WHEN 1 THEN 'pic_' || p_partkey || '.png' WHEN 2 THEN 'pic_' || p_partkey || '.jpeg' ELSE 'pic_' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.webp' WHEN 1 THEN '.gif' ELSE '.jpg' END END AS name FROM part""",
     "natural_order": "SELECT c_custkey, 'ch|' || lpad((c_custkey % 120)::VARCHAR, 20, '0') || '|-|' || lpad((c_custkey % 7)::VARCHAR, 20, '0') || '|.srt' AS sort_key FROM customer",
@@ -195,9 +203,9 @@ SELECT id, kind, taken, CASE WHEN length(path) % 5 = 0 THEN 'subtitle' ELSE kind
   SELECT page_id, folder, stem, row_number() OVER (PARTITION BY folder, stem ORDER BY page_id) AS n FROM (
     SELECT page_id, string_split({_HOST}, '.')[-1] AS folder, string_split({_HOST}, '.')[1] AS stem FROM pages))""",
     "asset_refs": """
-WITH r AS (SELECT 'img_' || (doc_id % 300) || '.png' AS name, doc_id FROM documents),
-u AS (SELECT name, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:3], ',') AS p FROM r GROUP BY name)
-SELECT 'img_' || p_partkey || '.png' AS name, coalesce(n, 0) AS usage_count, coalesce(p, '') AS first_places FROM part LEFT JOIN u ON u.name = 'img_' || p_partkey || '.png'""",
+WITH r AS (SELECT 'img_' || (doc_id // 4) || '.png' AS name, doc_id FROM documents),
+u AS (SELECT name, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS p FROM r GROUP BY name)
+SELECT 'img_' || p_partkey || '.png' AS name, coalesce(n, 0) AS usage_count, coalesce(p, '') AS places FROM part LEFT JOIN u ON u.name = 'img_' || p_partkey || '.png'""",
     "unlisted_assets": "SELECT 'img_' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT doc_id FROM documents)",
     "spine_documents": "SELECT l_orderkey AS book, 't/' || (l_partkey % 50) || '.xhtml' AS href, min(l_linenumber) AS ord FROM lineitem WHERE (l_orderkey, l_partkey % 50) IN (SELECT (l_orderkey, l_partkey % 50) FROM lineitem WHERE l_partkey % 3 <> 0) GROUP BY 1, 2",
     "first_candidates": """
@@ -208,7 +216,8 @@ SELECT c_custkey, CASE WHEN 'a/' || (c_custkey % 97) IN (SELECT path FROM h) THE
   count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS skipped FROM orders GROUP BY o_orderpriority""",
     "merged_options": "SELECT p_partkey, '12' AS size, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE 'white' END AS fill, CASE WHEN p_partkey % 2 = 1 THEN 'x' END AS text FROM part",
     "conversion_profiles": """SELECT doc_id, '{"schema":"markdown-conversion.conversion_profile.v1","source":{"path":"in/doc_' || doc_id || '.html","name":"doc_' || doc_id || '.html","suffix":".html","type":"doc","size_bytes":' || n_chars
-  || '},"outputs":{"markdown":"in/doc_' || doc_id || '.md","assets":"in/doc_' || doc_id || '_files","profile":"in/doc_' || doc_id || '.conversion_profile.json"},"markdown":{"line_count":3,"char_count":12,"heading_count":1,"table_count":0,"image_ref_count":0,"link_count":1},"warnings":[]}' AS profile FROM documents""",
+  || '},"outputs":{"markdown":"in/doc_' || doc_id || '.md","assets":"in/doc_' || doc_id || '_files","profile":"in/doc_' || doc_id || '.conversion_profile.json"},"markdown":{"line_count":' || line_count || ',"char_count":' || char_count || ',"heading_count":' || heading_count || ',"table_count":' || table_count || ',"image_ref_count":' || image_ref_count || ',"link_count":' || link_count || '},"warnings":[]}' AS profile
+FROM documents JOIN (""" + stats_sql("SELECT doc_id, text || chr(10) || '# T' || chr(10) || chr(10) || '[a](b)' || chr(10) AS text FROM documents") + ") USING (doc_id)",
     "point_lines": "SELECT c_custkey, printf('%.4f,%.4f', 100 + c_custkey / 8.0::DOUBLE, 30 + c_custkey / 16.0::DOUBLE) AS text, printf('%.2f,%.2f', round_even(30 + c_custkey / 16.0::DOUBLE, 2), round_even(100 + c_custkey / 8.0::DOUBLE, 2)) AS csv FROM customer",
     "meta_map": """SELECT l_orderkey, max(l_linenumber) FILTER (WHERE l_returnflag = 'A') AS last_a, max(l_linenumber) FILTER (WHERE l_returnflag = 'N') AS last_n,
   max(l_linenumber) FILTER (WHERE l_returnflag = 'R') AS last_r FROM lineitem GROUP BY l_orderkey""",

@@ -51,8 +51,7 @@ def cp_parameter_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cp_report(spark: SparkSession, d: str) -> DataFrame:
-    p = power.curve_points(curves(spark, d), RHO, DIAMETER)
-    return power.csv_lines(p.select("l_partkey", "ord", F.col("wind").cast("int").alias("wind"), F.lit(1).alias("power"), F.lit(2.5).alias("theoretical_power_kw"), F.lit(0.25).alias("cp")), "l_partkey", "ord", digits=2)
+    return power.csv_lines(power.curve_points(curves(spark, d), RHO, DIAMETER), "l_partkey", "ord", digits=5)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (cp_points, cp_summary_by_part, cp_betz_gate, curve_line_parse, cp_parameter_gate, cp_report)}
@@ -73,6 +72,6 @@ FROM lineitem WHERE l_linenumber % 4 IN (1, 2)""",
     "cp_parameter_gate": """SELECT p_partkey, hint, CASE WHEN NOT rho BETWEEN 0.5 AND 1.5 THEN 'density' WHEN NOT dia BETWEEN 30 AND 350 THEN 'diameter'
   WHEN abs(dia - hint) > greatest(10.0, hint * 0.1) THEN 'model' END AS error
 FROM (SELECT p_partkey, (100 + p_partkey % 150)::DOUBLE AS hint, 0.4::DOUBLE + (p_partkey % 13) / 10.0::DOUBLE AS rho, (20 + p_partkey % 350)::DOUBLE AS dia FROM part)""",
-    "cp_report": """SELECT l_partkey, 'wind_speed_ms,power_kw,theoretical_power_kw,cp' || chr(10) || string_agg(CAST(CAST(l_quantity - 1 AS INT) AS VARCHAR) || ',1,2.50,0.25', chr(10) ORDER BY l_orderkey * 100 + l_linenumber, CAST(CAST(l_quantity - 1 AS INT) AS VARCHAR) || ',1') AS csv
-FROM lineitem WHERE l_quantity > 1 GROUP BY l_partkey""",
+    "cp_report": f"""WITH t AS (SELECT l_partkey, ord, wind::VARCHAR || ',' || power::VARCHAR || printf(',%.5f,%.5f', pw, power / pw) AS line FROM ({_P}))
+SELECT l_partkey, 'wind_speed_ms,power_kw,theoretical_power_kw,cp' || chr(10) || string_agg(line, chr(10) ORDER BY ord, line) AS csv FROM t GROUP BY l_partkey""",
 }

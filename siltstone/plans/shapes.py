@@ -42,14 +42,17 @@ def border_median(spark: SparkSession, d: str) -> DataFrame:
 def filled_boxes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_partkey")
     px = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") % 40).cast("int").alias("x"), (k % 30).cast("int").alias("y"), *[c.alias(n) for c, n in zip(_rgb(k), "rgb", strict=True)])
-    fills = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.array(F.lit(5), F.lit(5), F.lit(25), F.lit(15)).alias("box"), F.lit(255).alias("r"), F.lit(0).alias("g"), F.lit(128).alias("b"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    first = s.select("l_suppkey", F.lit(1).alias("ord"), F.array(F.lit(5), F.lit(5), F.lit(25), F.lit(15)).alias("box"), F.lit(255).alias("r"), F.lit(0).alias("g"), F.lit(128).alias("b"))
+    second = s.where("l_suppkey % 3 > 0").select("l_suppkey", F.lit(2).alias("ord"), F.array(F.lit(15), F.lit(10), F.lit(35), F.lit(20)).alias("box"), F.lit(1).alias("r"), (F.col("l_suppkey") % 256).cast("int").alias("g"), F.lit(7).alias("b"))
+    fills = second.unionByName(first)
     return layout.filled_boxes(px, fills, ["l_suppkey"]).groupBy("l_suppkey").agg(*[F.sum(c).cast("bigint").alias(c) for c in "rgb"])
 
 
 def _boxes(spark: SparkSession, d: str, name: str, key: str, m: int) -> DataFrame:
     k = F.col(key)
     x, y = (k * m % 500).cast("double"), (k * (m + 4) % 700).cast("double")
-    return table(spark, d, name).select((k % 40).alias("page"), k.alias("id"), shapes.rect(x, y, x + 40 + k % 60, y + 30 + k % 50).alias("bbox"))
+    return table(spark, d, name).select(F.floor(k / 40).alias("page"), k.alias("id"), shapes.rect(x, y, x + 40 + k % 60, y + 30 + k % 50).alias("bbox"))
 
 
 def rect_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +98,10 @@ def heading_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipe_table(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("sheet"), (F.floor(F.col("n_nationkey") / 5).cast("int") + 1).alias("row"), "n_name", "n_nationkey")
-    cells = n.select("sheet", F.col("n_nationkey").alias("row"), F.lit(1).alias("col"), F.col("n_name").alias("value"), F.lit("text").alias("kind")).unionByName(
-        n.select("sheet", F.col("n_nationkey").alias("row"), F.lit(2).alias("col"), F.col("n_nationkey").cast("string").alias("value"), F.lit("number").alias("kind"))
+    """An order is a sheet, its lines are rows."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row")).agg(F.max("l_returnflag").alias("flag"), F.max("l_partkey").alias("part"))
+    cells = n.select("sheet", "row", F.lit(1).alias("col"), F.col("flag").alias("value"), F.lit("text").alias("kind")).unionByName(
+        n.select("sheet", "row", F.lit(2).alias("col"), F.col("part").cast("string").alias("value"), F.lit("number").alias("kind"))
     )
     return layout.pipe_table(cells, ["sheet"])
 
@@ -151,7 +155,7 @@ QUERIES: dict[str, Query] = {
 
 
 def _sql_boxes(name: str, key: str, m: int) -> str:
-    return f"SELECT {key} % 40 AS page, {key} AS id, ({key}*{m} % 500)::DOUBLE AS x0, ({key}*{m + 4} % 700)::DOUBLE AS y0, ({key}*{m} % 500 + 40 + {key} % 60)::DOUBLE AS x1, ({key}*{m + 4} % 700 + 30 + {key} % 50)::DOUBLE AS y1 FROM {name}"
+    return f"SELECT {key} // 40 AS page, {key} AS id, ({key}*{m} % 500)::DOUBLE AS x0, ({key}*{m + 4} % 700)::DOUBLE AS y0, ({key}*{m} % 500 + 40 + {key} % 60)::DOUBLE AS x1, ({key}*{m + 4} % 700 + 30 + {key} % 50)::DOUBLE AS y1 FROM {name}"
 
 
 _PAIRS = f"""a AS ({_sql_boxes('customer', 'c_custkey', 13)}), b AS ({_sql_boxes('part', 'p_partkey', 17)}),
@@ -168,8 +172,8 @@ SELECT p_partkey FROM f WHERE greatest(w, h)::DOUBLE / least(w, h) <= 12 AND NOT
 FROM (SELECT l_suppkey, k*37 % 256 AS r, k*59 % 256 AS g, k*83 % 256 AS b FROM (SELECT l_suppkey, l_orderkey*7 + l_linenumber AS k FROM lineitem)) GROUP BY l_suppkey""",
     "border_median": f"""SELECT l_suppkey, coalesce(trunc(quantile_cont(r::DOUBLE, 0.5) FILTER (WHERE e))::INT, 255) AS r, coalesce(trunc(quantile_cont(g::DOUBLE, 0.5) FILTER (WHERE e))::INT, 255) AS g, coalesce(trunc(quantile_cont(b::DOUBLE, 0.5) FILTER (WHERE e))::INT, 255) AS b
 FROM (SELECT *, x BETWEEN 4 AND 35 AND y BETWEEN 4 AND 25 AND NOT (x BETWEEN 10 AND 29 AND y BETWEEN 10 AND 19) AS e FROM ({_PX})) GROUP BY l_suppkey""",
-    "filled_boxes": f"""SELECT l_suppkey, sum(CASE WHEN f THEN 255 ELSE r END)::BIGINT AS r, sum(CASE WHEN f THEN 0 ELSE g END)::BIGINT AS g, sum(CASE WHEN f THEN 128 ELSE b END)::BIGINT AS b
-FROM (SELECT *, l_suppkey % 3 = 0 AND x BETWEEN 5 AND 24 AND y BETWEEN 5 AND 14 AS f FROM ({_PX})) GROUP BY l_suppkey""",
+    "filled_boxes": f"""SELECT l_suppkey, sum(CASE f WHEN 2 THEN 1 WHEN 1 THEN 255 ELSE r END)::BIGINT AS r, sum(CASE f WHEN 2 THEN l_suppkey % 256 WHEN 1 THEN 0 ELSE g END)::BIGINT AS g, sum(CASE f WHEN 2 THEN 7 WHEN 1 THEN 128 ELSE b END)::BIGINT AS b
+FROM (SELECT *, CASE WHEN l_suppkey % 3 > 0 AND x BETWEEN 15 AND 34 AND y BETWEEN 10 AND 19 THEN 2 WHEN x BETWEEN 5 AND 24 AND y BETWEEN 5 AND 14 THEN 1 END AS f FROM ({_PX})) GROUP BY l_suppkey""",
     "rect_overlap": f"WITH {_PAIRS} SELECT id FROM a WHERE id NOT IN (SELECT id FROM p WHERE i / sa > 0.3)",
     "lines_in_rects": f"WITH {_PAIRS} SELECT a.id, coalesce(n, 0) AS lines FROM a LEFT JOIN (SELECT id, count(*) AS n FROM p WHERE i / sb > 0.3 GROUP BY id) USING (id)",
     "captioned_figures": f"""
@@ -215,6 +219,9 @@ SELECT 'events' AS chart, day, coalesce(max(v::VARCHAR) FILTER (WHERE u = 0), ''
     "colours": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ((p_partkey*7919 % 16777216) // 65536) || ',' || ((p_partkey*7919 % 65536) // 256) || ',' || (p_partkey*7919 % 256) WHEN 1 THEN '255,255,255' END AS rgb FROM part""",
     "file_sizes": """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round_even(n / 1024.0::DOUBLE, 0)::BIGINT || ' KB' WHEN n < 1073741824 THEN round_even(n / 1048576.0::DOUBLE, 0)::BIGINT || ' MB'
   ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT o_orderkey, o_orderkey*o_orderkey*7 + o_orderkey AS n FROM orders)""",
-    "pipe_table": """SELECT n_regionkey AS sheet, string_agg(CASE WHEN f THEN '| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10) || '| --- | ---: |' ELSE coalesce(repeat('|  |  |' || chr(10), (g - 1)::INT), '') || '| ' || n_name || ' | ' || n_nationkey || ' |' END, chr(10) ORDER BY n_nationkey) AS markdown
-FROM (SELECT *, lag(n_nationkey) OVER w IS NULL AS f, n_nationkey - lag(n_nationkey) OVER w AS g FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) GROUP BY n_regionkey""",
+    "pipe_table": """
+WITH n AS (SELECT l_orderkey AS sheet, l_linenumber AS row, max(l_returnflag) AS flag, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2),
+w AS (SELECT *, row - lag(row) OVER o AS gap, count(*) OVER (PARTITION BY sheet) AS rows FROM n WINDOW o AS (PARTITION BY sheet ORDER BY row))
+SELECT sheet, string_agg(CASE WHEN gap IS NULL THEN '' ELSE repeat('|  |  |' || chr(10), (gap - 1)::INT) END || '| ' || flag || ' | ' || part || ' |'
+  || CASE WHEN gap IS NULL THEN chr(10) || CASE WHEN rows > 1 THEN '| --- | ---: |' ELSE '| --- | --- |' END ELSE '' END, chr(10) ORDER BY row) AS markdown FROM w GROUP BY sheet""",
 }

@@ -15,8 +15,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marked_up(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with Markdown of every kind put around their first words."""
-    k, w = F.col("doc_id"), F.substring("text", 1, 20)
+    """Documents with Markdown of every kind put around their whole texts."""
+    k, w = F.col("doc_id"), F.col("text")
     text = F.concat(
         F.when(k % 2 == 0, "# Title\n").otherwise(""), w, F.lit("\n\n\n"), F.when(k % 3 == 0, "![a](x/pic.png?v=1) and [b](u)\n").otherwise("| a | b |\n|---|---|\n| 1 | 2 |\n"),
         F.when(k % 5 == 0, "![only](y.jpg)\n").otherwise("  tail  \n"), F.lit("[c](d)"),
@@ -89,9 +89,9 @@ def slot_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def translatable_text(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id")
-    t = F.when(k % 5 == 0, " 12 -- 3 ").when(k % 5 == 1, "https://x.org/a").when(k % 5 == 2, "me@x.org").when(k % 5 == 3, "  ").otherwise(F.substring("text", 1, 30))
-    return docs(spark, d).select("doc_id", md.is_translatable(t).alias("translatable"))
+    """All texts, and cases of every kind that isn't translatable with negative ids."""
+    cases = spark.createDataFrame([(-1, " 12 -- 3 "), (-2, "https://x.org/a"), (-3, "me@x.org"), (-4, "  "), (-5, "x 1")], "doc_id long, text string")
+    return docs(spark, d).select("doc_id", "text").unionByName(cases).select("doc_id", md.is_translatable(F.col("text")).alias("translatable"))
 
 
 def _srt(spark: SparkSession, d: str) -> DataFrame:
@@ -111,11 +111,12 @@ def block_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 def vtt_cues(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.col("srt"))
-    return _srt(spark, d).select("conv_id", F.size(text_units.vtt_cues(body)).alias("cues"), F.get(text_units.vtt_cues(body), F.lit(0))["start"].alias("first_start"))
+    cues = _srt(spark, d).select("conv_id", F.posexplode(text_units.vtt_cues(body)).alias("nth", "c"))
+    return cues.select("conv_id", "nth", F.col("c.start").alias("start"), F.col("c.text").alias("text"))
 
 
 def ass_cues(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lit("Dialogue: 0,0:00:0"), (F.col("turn") % 10).cast("string"), F.lit(".00,0:00:09.00,Default,,0,0,0,,{\\i1}Hello,\\N"), F.col("role"), F.lit("  there"))
+    line = F.concat(F.lit("Dialogue: 0,0:00:0"), (F.col("turn") % 10).cast("string"), F.lit(".00,0:00:09.00,Default,,0,0,0,,{\\i1}"), F.col("role"), F.lit(",\\N "), F.regexp_replace("text", r"\s+", " "))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("c"))
     text = F.concat(F.lit("[Script Info]\nTitle: x\n\n[Events]\nFormat: a\n"), F.array_join(F.transform("c", lambda x: x["l"]), "\n"), F.lit("\n[Fonts]\nDialogue: no"))
     cues = rows.select("conv_id", F.posexplode(text_units.ass_cues(text)).alias("nth", "c"))
@@ -133,25 +134,25 @@ def qa_cards(spark: SparkSession, d: str) -> DataFrame:
 def list_items(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     lead = F.get(F.array(*[F.lit(x) for x in ("• ", "- ", "* ", "12) ", "3、", "")]), (k % 6).cast("int"))
-    item = md.list_item(F.concat(lead, F.lit("item "), k.cast("string")))
+    item = md.list_item(F.concat(lead, F.col("text")))
     return docs(spark, d).select("doc_id", item.alias("i")).select("doc_id", "i.is_list", "i.kind", "i.content")
 
 
 def page_footers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     tail = F.when(k % 3 == 0, " November 2025 8").when(k % 3 == 1, " 2025年11月 12  ").otherwise(" end 2025 8")
-    return docs(spark, d).select("doc_id", md.without_page_footer(F.concat(F.lit("Body"), tail)).alias("text"))
+    return docs(spark, d).select("doc_id", md.without_page_footer(F.concat("text", tail)).alias("text"))
 
 
 def emphasis_runs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    t = md.merge_emphasis(F.concat(md.emphasis(F.lit(" one "), (k % 32).cast("int")), md.emphasis(F.lit("two"), (k % 32).cast("int"))))
+    t = md.merge_emphasis(F.concat(md.emphasis(F.col("text"), (k % 32).cast("int")), md.emphasis(F.lit("two"), (k % 32).cast("int"))))
     return docs(spark, d).select("doc_id", t.alias("text"))
 
 
 def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
     lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("nth", "text")).withColumns({"is_heading": F.col("nth") % 7 == 0, "is_list": F.col("nth") % 11 == 5})
-    return layout.paragraphs(lines, ["doc_id"], "nth").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    return layout.paragraphs(lines, ["doc_id"], "nth").select("doc_id", "para", "text")
 
 
 QUERIES: dict[str, Query] = {
@@ -163,7 +164,7 @@ QUERIES: dict[str, Query] = {
 }
 
 _NL = "chr(10)"
-_MD = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Title' || chr(10) ELSE '' END || substr(text, 1, 20) || chr(10) || chr(10) || chr(10)
+_MD = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Title' || chr(10) ELSE '' END || text || chr(10) || chr(10) || chr(10)
   || CASE WHEN doc_id % 3 = 0 THEN '![a](x/pic.png?v=1) and [b](u)' || chr(10) ELSE '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) END
   || CASE WHEN doc_id % 5 = 0 THEN '![only](y.jpg)' || chr(10) ELSE '  tail  ' || chr(10) END || '[c](d)' AS text FROM documents"""
 _LABELS = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 3 = 0 THEN 'plain' WHEN doc_id % 3 = 1 THEN 'a [t:0] b'
@@ -172,9 +173,12 @@ _TR = f"""WITH own AS ({_LABELS}), tr AS (SELECT doc_id AS id, translation FROM
   UNION ALL SELECT doc_id + 10000000, translation FROM own WHERE doc_id % 17 = 0)"""
 _CUES = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth,
   printf('%02d:00:%02d,000', (turn % 100)::INT, (turn % 60)::INT) AS start, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations"""
-SQL = {
-    "md_stats": rf"""
-WITH t AS ({_MD} UNION ALL SELECT -doc_id - 1, text FROM documents),
+
+
+def stats_sql(rows: str) -> str:
+    """The statistics of rows (doc_id, text) in SQL."""
+    return rf"""
+WITH t AS ({rows}),
 s AS (SELECT doc_id, text, string_split(CASE WHEN ends_with(text, {_NL}) THEN left(text, length(text) - 1) ELSE text END, {_NL}) AS l FROM t),
 x AS (SELECT doc_id, j, (starts_with(trim(l[j]), '|') AND ends_with(trim(l[j]), '|')) OR regexp_matches(trim(l[j]), '^\|?\s*:?-{{3,}}:?\s*(\|\s*:?-{{3,}}:?\s*)+\|?$') AS f FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM s)),
 r AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, f, lag(f, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS p FROM x) WHERE f AND NOT p GROUP BY doc_id)
@@ -182,7 +186,11 @@ SELECT s.doc_id, CASE WHEN text = '' THEN 0 ELSE len(l)::INT END AS line_count,
   len(list_filter(l, lambda y: regexp_matches(y, '^#{{1,6}}\s+')))::INT AS heading_count, coalesce(r.n, 0)::INT AS table_count,
   len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]+\)'))::INT AS image_ref_count,
   len(regexp_extract_all(text, '(?:^|[^!])\[[^\]]+\]\([^)]+\)'))::INT AS link_count
-FROM s LEFT JOIN r USING (doc_id)""",
+FROM s LEFT JOIN r USING (doc_id)"""
+
+
+SQL = {
+    "md_stats": stats_sql(f"{_MD} UNION ALL SELECT -doc_id - 1, text FROM documents"),
     "md_line_runs": f"""
 WITH x AS (SELECT doc_id, j, ends_with(l[j], '.') AS f FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM documents)))
 SELECT doc_id, (count(*) FILTER (WHERE f AND NOT p))::INT AS runs FROM (SELECT doc_id, f, lag(f, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS p FROM x) GROUP BY doc_id""",
@@ -219,29 +227,33 @@ UNION ALL SELECT DISTINCT id, 'placeholders' FROM tr WHERE translation = '[t:1]
     "slot_completeness": f"""{_TR}, m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM tr))
 SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents) - (SELECT count(*) FROM m) AS translated, (SELECT count(*) FROM m) AS missing,
   (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 20)) AS first_missing""",
-    "translatable_text": """
-SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN false ELSE trim(substr(text, 1, 30)) <> '' AND NOT regexp_matches(trim(substr(text, 1, 30)), '^[^\\pL]+$') AND NOT regexp_matches(trim(substr(text, 1, 30)), '^[\\pL\\pN_.-]+@[\\pL\\pN_.-]+$') END AS translatable FROM documents""".replace("\\\\", "\\"),
+    "translatable_text": r"""
+SELECT doc_id, s <> '' AND NOT regexp_matches(s, '^[^\pL]+$') AND NOT regexp_matches(s, '^(?:https?://\S+|[\pL\pN_.-]+@[\pL\pN_.-]+)$') AS translatable
+FROM (SELECT doc_id, trim(coalesce(text, '')) AS s FROM documents UNION ALL SELECT * FROM (VALUES (-1, '12 -- 3'), (-2, 'https://x.org/a'), (-3, 'me@x.org'), (-4, ''), (-5, 'x 1')))""",
     "srt_cues": f"SELECT conv_id, nth::INT AS nth, start, text FROM ({_CUES}) WHERE text <> ''".replace("\\\\", "\\"),
     "block_anchors": f"""SELECT conv_id, string_agg(CASE WHEN nth % 2 = 0 THEN CASE WHEN nth > 0 THEN {_NL} ELSE '' END || '<!-- Block ' || (nth // 2 + 1)::VARCHAR || ' --> <!-- ' || start || ' -->' || {_NL} || {_NL} ELSE '' END || text, {_NL} ORDER BY nth) AS transcript
 FROM ({_CUES}) GROUP BY conv_id""".replace("\\\\", "\\"),
-    "vtt_cues": f"SELECT conv_id, count(*)::INT AS cues, arg_min(start, nth) AS first_start FROM ({_CUES}) GROUP BY conv_id".replace("\\\\", "\\"),
-    "ass_cues": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS nth, '0:00:0' || (turn % 10)::VARCHAR || '.00' AS start, 'Hello, ' || role || ' there' AS text FROM conversations",
+    "vtt_cues": f"SELECT conv_id, nth::INT AS nth, start, text || ' 7' AS text FROM ({_CUES})".replace("\\\\", "\\"),  # numbers are text here
+    "ass_cues": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS nth, '0:00:0' || (turn % 10)::VARCHAR || '.00' AS start, trim(regexp_replace(regexp_replace(role || ',  ' || regexp_replace(text, '\\\\s+', ' ', 'g'), '\\\\{[^}]*\\\\}', '', 'g'), '\\\\s+', ' ', 'g')) AS text FROM conversations".replace("\\\\", "\\"),
     "qa_cards": r"""
 WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations),
 n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS t2 FROM c)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS nth, t AS question, t2 AS answer FROM n WHERE role = 'user' AND r2 = 'assistant'""",
-    "list_items": """
-SELECT doc_id, doc_id % 6 < 5 AS is_list, CASE WHEN doc_id % 6 < 3 THEN 'ul' WHEN doc_id % 6 < 5 THEN 'ol' END AS kind,
-  CASE WHEN doc_id % 6 < 3 THEN '- ' WHEN doc_id % 6 = 3 THEN '12. ' WHEN doc_id % 6 = 4 THEN '3. ' ELSE '' END || 'item ' || doc_id::VARCHAR AS content FROM documents""",
-    "page_footers": "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Body end 2025 8' ELSE 'Body' END AS text FROM documents",
-    "emphasis_runs": """
-SELECT doc_id, CASE WHEN f & 16 <> 0 AND f & 2 <> 0 THEN '***one two***' WHEN f & 16 <> 0 THEN '**one two**' WHEN f & 2 <> 0 THEN '*one**two*' ELSE 'onetwo' END AS text
-FROM (SELECT doc_id, (doc_id % 32)::INT AS f FROM documents)""",
+    "list_items": rf"""
+WITH t AS (SELECT doc_id, trim(['• ', '- ', '* ', '12) ', '3、', ''][doc_id % 6 + 1] || text) AS s FROM documents),
+k AS (SELECT *, regexp_matches(s, '^(?:[•●○◦▪▸►]\s*|[-–—]\s+|\*\s+)') AS ul, regexp_matches(s, '^(\d+)[.、)]\s*') AS ol FROM t)
+SELECT doc_id, ul OR ol AS is_list, CASE WHEN ul THEN 'ul' WHEN ol THEN 'ol' END AS kind,
+  CASE WHEN ul THEN '- ' || regexp_replace(s, '^(?:[•●○◦▪▸►]\s*|[-–—]\s+|\*\s+)', '') WHEN ol THEN regexp_replace(s, '^(\d+)[.、)]\s*', '\1. ') ELSE s END AS content FROM k""",
+    "page_footers": r"""
+SELECT doc_id, rtrim(regexp_replace(regexp_replace(text || [' November 2025 8', ' 2025年11月 12  ', ' end 2025 8'][doc_id % 3 + 1],
+  '(?i)\s*(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\s+\d{1,3}\s*$', ''), '\s*\d{4}年\d{1,2}月\s+\d{1,3}\s*$', '')) AS text FROM documents""",
+    "emphasis_runs": r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS s, CASE WHEN doc_id & 16 <> 0 THEN '**' ELSE '' END || CASE WHEN doc_id & 2 <> 0 THEN '*' ELSE '' END AS m FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN s = '' THEN '' ELSE m || s || m END || m || 'two' || m, '\*{6}', ' ', 'g'), '\*{4}', ' ', 'g') AS text FROM t""",
     "paragraph_merge": rf"""
 WITH x AS (SELECT doc_id, j - 1 AS nth, l[j] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM documents))),
 p AS (SELECT *, lag(t) OVER w AS b, nth % 7 = 0 OR nth % 11 = 5 AS sp, coalesce(lag(nth % 7 = 0 OR nth % 11 = 5) OVER w, false) AS bsp FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY nth)),
 g AS (SELECT *, b IS NULL OR sp OR bsp OR trim(b) = '' OR regexp_matches(b, '[.。!！?？:：;；]\s*$') AS fresh FROM p),
 q AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY nth) AS para FROM g),
-a AS (SELECT doc_id, para, coalesce(string_agg(nullif(trim(t), ''), ' ' ORDER BY nth), '') AS t FROM q GROUP BY doc_id, para)
-SELECT doc_id, count(*) AS paragraphs, sum(length(t))::BIGINT AS chars FROM a GROUP BY doc_id""",
+SELECT doc_id, para::BIGINT AS para, coalesce(string_agg(nullif(trim(t), ''), ' ' ORDER BY nth), '') AS text FROM q GROUP BY doc_id, para""",
 }
