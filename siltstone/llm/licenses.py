@@ -132,6 +132,9 @@ class Templates:
         for i, s in enumerate(self.shingles):
             self.by_class.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
         minima = np.array([[(s * m).min() for m in _MULTIPLIERS] for s in self.shingles])
+        self.all = np.unique(np.concatenate(self.shingles))
+        self.tops = np.zeros(1 << 16, bool)  # of their first 16 bits
+        self.tops[self.all >> np.uint64(48)] = True
         #: By class and band the members' minima, sorted, and whose they are.
         self.bands: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for c, members in self.by_class.items():
@@ -139,46 +142,39 @@ class Templates:
             order = np.argsort(own, axis=0, kind="stable")
             self.bands[c] = [(own[order[:, b], b], np.array(members)[order[:, b]]) for b in range(BANDS)]
 
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Where shingles stand that some template has."""
+        at = np.flatnonzero(self.tops[h >> np.uint64(48)])
+        return at[np.isin(h[at], self.all)]
+
 
 def _collisions(h: np.ndarray, first: np.ndarray, templates: Templates) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By class: the windows (from, to) that collide with a template in some band, and the template."""
-    counts = np.diff(first)
-    smallest, largest = min(templates.by_class), max(templates.by_class)
-    layout, c = {}, smallest
-    while c <= largest:
-        blocks = -(-counts // c)
-        doc = np.repeat(np.arange(len(counts)), blocks)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        layout[c] = doc, nth, np.append(doc[1:] == doc[:-1], False)  # whether the block after belongs to the same text
-        c *= 2
-    found: dict[int, list[np.ndarray]] = {c: [] for c in templates.by_class}
-    doc, nth, _ = layout[smallest]
-    start = first[doc] + nth * smallest
-    for b, m in enumerate(_MULTIPLIERS):
-        least = np.minimum.reduceat(h * m, start)
-        for c, (_, nth, more) in layout.items():
-            if c > smallest:  # a block is one or two of half its size
-                half = layout[c // 2]
-                even = np.flatnonzero(half[1] % 2 == 0)
-                least = np.where(half[2][even], np.minimum(least[even], least[np.minimum(even + 1, len(least) - 1)]), least[even])
-            if c not in templates.by_class:
-                continue
-            window = least.copy()
-            window[:-1] = np.where(more[:-1], np.minimum(least[:-1], least[1:]), least[:-1])
-            minima, owner = templates.bands[c][b]
-            lo, hi = np.searchsorted(minima, window, "left"), np.searchsorted(minima, window, "right")
-            hit = np.flatnonzero(hi > lo)
-            if len(hit):
-                at, which = expand(lo[hit], hi[hit])
-                found[c].append(np.stack([hit[which], owner[at]], 1))
+    """By class: the windows (from, to) that collide with a template in some band, and the template.
+
+    A window whose minimum is a template's holds that shingle of the template, so
+    bands are only made for windows that hold a shingle of some template.
+    """
+    at = templates.known(h)
+    doc = np.searchsorted(first, at, "right") - 1
     out = {}
-    for c, pairs in found.items():
-        if pairs:
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            doc, nth, _ = layout[c]
-            at = pairs[:, 0]
-            lo = first[doc[at]] + nth[at] * c
-            out[c] = lo, np.minimum(lo + 2 * c, first[doc[at] + 1]), pairs[:, 1]
+    for c in templates.by_class if len(at) else ():
+        block = (at - first[doc]) // c
+        windows = np.unique(np.concatenate([np.stack([doc, block], 1), np.stack([doc, block - 1], 1)]), axis=0)
+        windows = windows[windows[:, 1] >= 0]
+        lo = first[windows[:, 0]] + windows[:, 1] * c
+        hi = np.minimum(lo + 2 * c, first[windows[:, 0] + 1])
+        places, _ = expand(lo, hi)
+        starts, x, found = np.cumsum(hi - lo) - (hi - lo), h[places], []
+        for m, (minima, owner) in zip(_MULTIPLIERS, templates.bands[c], strict=True):
+            least = np.minimum.reduceat(x * m, starts)
+            a, z = np.searchsorted(minima, least, "left"), np.searchsorted(minima, least, "right")
+            hit = np.flatnonzero(z > a)
+            if len(hit):
+                which, of = expand(a[hit], z[hit])
+                found.append(np.stack([hit[of], owner[which]], 1))
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            out[c] = lo[pairs[:, 0]], hi[pairs[:, 0]], pairs[:, 1]
     return out
 
 
