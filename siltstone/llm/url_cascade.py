@@ -191,9 +191,16 @@ def lookup_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 RULE = "host string, path string, verdict string"
 
 
-def _listed(universe: DataFrame, keys: DataFrame) -> DataFrame:
-    """The universe with whether a key is on the list; the side that is small enough is broadcast, by Spark's own limit."""
-    return universe.join(keys.distinct().withColumn("_l", F.lit(True)), "key", "left").select("key", F.coalesce("_l", F.lit(False)).alias("listed"))
+#: Python lists of more entries than this are made tables; shorter ones are compared in place, without a join.
+SHORT_LIST = 1000
+
+
+def _listed(universe: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
+    """The universe with whether a key is on the list."""
+    if isinstance(keys, list):
+        return universe.select("key", (F.col("key").isin(keys) if keys else F.lit(False)).alias("listed"))
+    marked = universe.join(keys.distinct().withColumn("_l", F.lit(True)), "key", "left")  # broadcast only within Spark's own limit
+    return written(marked.select("key", F.coalesce("_l", F.lit(False)).alias("listed")), "marked-keys")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, blocked_hosts: list[str] | DataFrame, url: str = "url", literal_bytes: int = LITERAL_BYTES) -> DataFrame:
@@ -217,19 +224,26 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, blocked_hosts: l
     result; null hosts and paths on a list are ignored.
     """
     spark: SparkSession = pages.sparkSession
-    if not isinstance(rules, DataFrame):
+    if not isinstance(rules, DataFrame) and len(rules) > SHORT_LIST:
         rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], RULE)
-    if not isinstance(blocked_hosts, DataFrame):
+    if not isinstance(blocked_hosts, DataFrame) and len(blocked_hosts) > SHORT_LIST:
         blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
-    rules = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict").where("key IS NOT NULL")
-    allowing, blocking = (rules.where(F.col("verdict") == v).select("key") for v in ("allow", "block"))
-    if both := [r["key"] for r in allowing.intersect(blocking).limit(10).collect()]:
+    if isinstance(rules, DataFrame):
+        rows = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict").where("key IS NOT NULL")
+        allowing, blocking = (rows.where(F.col("verdict") == v).select("key") for v in ("allow", "block"))
+        both = [r["key"] for r in allowing.intersect(blocking).limit(10).collect()]
+        lengths = sorted({0, *(r["n"] for r in rows.select("n").distinct().collect())})  # no more than a path has characters
+    else:
+        allowing, blocking = ([r.key for r in rules if r.verdict == v] for v in ("allow", "block"))
+        both, lengths = set(allowing) & set(blocking), sorted({0, *(len(r.path) for r in rules)})
+    if both:
         raise ValueError(f"rules both allow and block {sorted(both)}")
-    lengths = sorted({0, *(r["n"] for r in rules.select("n").distinct().collect())})  # no more than a path has characters
+    hosts = blocked_hosts
+    if isinstance(blocked_hosts, DataFrame):
+        hosts = blocked_hosts.select(F.col("host").alias("key")).where("key IS NOT NULL")
     parts = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     seen = parts.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
     universe = written(seen.select(F.explode(lookup_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "url-keys")
-    hosts = blocked_hosts.select(F.col("host").alias("key")).where("key IS NOT NULL")
     cascades = [build_cascade(_listed(universe, keys), literal_bytes=literal_bytes) for keys in (allowing, blocking, hosts)]
     out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not all(c.literal for c in cascades):
