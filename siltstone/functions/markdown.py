@@ -210,3 +210,67 @@ def list_ready(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Backslashes before harmless punctuation gone, but kept where ``1.`` would begin a list (TXT-11)."""
     return F.regexp_replace(F.regexp_replace(text, r"\\([(){}!,:;\"'/-])", "$1"), r"(?m)(?<!^\d{1,3})\\\.", ".")
+
+
+def reference_name(target: Column) -> Column:
+    """The file that an image reference's target names, without angle brackets, title or quotes."""
+    s = F.trim(target)
+    place = F.when(s.startswith("<"), F.regexp_extract(s, r"^<([^>]*)", 1)).otherwise(F.regexp_replace(F.regexp_extract(s, r"^(\S*)", 1), "^[\"']+|[\"']+$", ""))
+    return F.regexp_extract(place, r"([^/]*)/*$", 1)
+
+
+def strip_named_images(text: Column, names: Column) -> Column:
+    """Without the references to files of an array of names; lines that only held some go, and runs of blank lines become one (TXT-08)."""
+    form = r"!\[[^\]]*\]\([^)]*\)"
+
+    def stripped(line: Column) -> Column:
+        named = F.filter(F.regexp_extract_all(line, F.lit(form), 0), lambda r: F.array_contains(names, reference_name(F.regexp_extract(r, r"\(([^)]*)\)$", 1))))
+        return F.aggregate(named, line, lambda acc, r: F.replace(acc, r, F.lit("")))
+
+    lines = F.transform(lines_of(text), lambda x: F.struct(x.alias("old"), stripped(x).alias("new")))
+    kept = F.filter(lines, lambda s: (F.trim(s["old"]) == "") | (F.trim(s["new"]) != ""))
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda s: s["new"]), "\n"), r"\n{3,}", "\n\n")
+
+
+#: What stays as it is in a link's target, besides letters, digits and ``_.-~``; the percent sign last.
+TARGET_SAFE = "/:?=&#@!$'+,;%"
+
+
+def link_target(target: Column) -> Column:
+    """A link's target, percent-encoded but for what separates its parts (TXT-20)."""
+    out = F.replace(F.replace(F.url_encode(F.trim(target)), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    for c in TARGET_SAFE:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def link(label: Column, target: Column) -> Column:
+    """A Markdown link (TXT-21)."""
+    return F.concat(F.lit("["), link_label(label), F.lit("]("), link_target(target), F.lit(")"))
+
+
+def tsv_field(html: Column) -> Column:
+    """HTML as one field of a TSV line: line breaks as spaces, in code as ``<br>``, tabs as four spaces (TXT-28)."""
+    code = r"(?s)<pre><code.*?</code></pre>"
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(code), 0), lambda b: F.replace(b, F.lit("\n"), F.lit("<br>")))
+    between = F.transform(F.split(html, code, -1), lambda p: F.regexp_replace(p, "\r\n|\r|\n", " "))
+    whole = F.array_join(F.zip_with(between, blocks, lambda p, b: F.concat(p, F.coalesce(b, F.lit("")))), "")
+    return F.regexp_replace(F.replace(whole, F.lit("\t"), F.lit("    ")), r"^\s+|\s+$", "")
+
+
+def with_section(text: Column, heading: str, entries: Column) -> Column:
+    """The text with a section of further paragraphs at its end; as it is without any."""
+    section = F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit(f"\n\n## {heading}\n\n"), F.array_join(entries, "\n\n"), F.lit("\n"))
+    return F.when(F.size(entries) > 0, section).otherwise(text)
+
+
+def with_vectors(text: Column, folder: Column, names: Column) -> Column:
+    """The text with a section of those vector files of a folder that it doesn't refer to; numbers follow the sorted names (TXT-38)."""
+    numbered = F.transform(F.array_sort(names), lambda n, i: F.struct(F.concat(folder, F.lit("/"), n).alias("path"), (i + 1).alias("n")))
+    missing = F.filter(numbered, lambda x: ~F.contains(text, x["path"]))
+    return with_section(text, "Extracted Office Vector Assets", F.transform(missing, lambda x: F.concat(F.lit("![Office vector "), x["n"].cast("string"), F.lit("]("), x["path"], F.lit(")"))))
+
+
+def titled(title: Column, content: Column) -> Column:
+    """A Markdown file's text: a title and its content (SNK-20)."""
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), content, F.lit("\n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .markdown import statistics
@@ -23,6 +23,22 @@ def profile(path: Column, size: Column, text: Column, warnings: Column | None =
     )
 
 
+def result(path: Column, markdown: Column, converter: Column, kind: Column, assets: Column, manifest: Column, profile_: Column, warnings: Column | None = None) -> Column:
+    """Struct of what a conversion has made; empty strings for what there isn't (SNK-28)."""
+    def text(c: Column) -> Column:
+        return F.coalesce(c, F.lit(""))
+
+    return F.struct(
+        path.alias("input"), markdown.alias("markdown"), text(assets).alias("asset_dir"), text(manifest).alias("image_manifest"), text(profile_).alias("conversion_profile"), text(profile_).alias("source_profile"),
+        converter.alias("converter"), kind.alias("conversion_type"), (F.array().cast("array<string>") if warnings is None else warnings).alias("warnings"),
+    )
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls included: one table of profiles or manifests instead of a file each (SNK-27, SNK-37)."""
+    rows.write.option("ignoreNullFields", "false").json(path)
+
+
 def point_text(lon: Column, lat: Column, fmt: str = "text", digits: int = 6, lat_first: bool = False) -> Column:
     """A point as ``lon,lat`` (text and csv) or as JSON; null for a missing point."""
     a, b = (F.bround(x, digits) for x in ((lat, lon) if lat_first else (lon, lat)))

@@ -105,3 +105,51 @@ def clamp_box(box: Column, width: Column, height: Column, padding: Column) -> Co
         F.greatest(zero, F.get(box, F.lit(0)) - padding), F.greatest(zero, F.get(box, F.lit(1)) - padding),
         F.least(width, F.get(box, F.lit(2)) + padding), F.least(height, F.get(box, F.lit(3)) + padding),
     )
+
+
+#: The least width, height and area of a drawing worth keeping, in points.
+VECTOR_SIDES, VECTOR_AREA = (72, 36), 3000
+
+
+def keep_vector(r: Column, page: Column, tables: Column, images: Column, filtered: bool = False) -> Column:
+    """Whether a drawing's rectangle is large enough and over no table or image of two arrays (FLT-15)."""
+    w, h = r["x1"] - r["x0"], r["y1"] - r["y0"]
+    ok = (w >= VECTOR_SIDES[0]) & (h >= VECTOR_SIDES[1]) & (w * h >= VECTOR_AREA)
+    for covers in (tables, images):
+        ok = ok & ~F.exists(covers, lambda c: overlap(r, c) > 0.6)
+    if filtered:
+        pw, ph = (F.greatest(page[b] - page[a], F.lit(1.0)) for a, b in (("x0", "x1"), ("y0", "y1")))
+        ok = ok & ~((w / pw < 0.08) & (h / ph < 0.08))
+    return ok
+
+
+def text_dominant(lines: Column, r: Column, page: Column) -> Column:
+    """Whether a wide and high rectangle with six text lines or more is only lines behind text (FLT-16)."""
+    w, h = ((r[b] - r[a]) / F.greatest(page[b] - page[a], F.lit(1.0)) for a, b in (("x0", "x1"), ("y0", "y1")))
+    return (lines >= 6) & (w > 0.55) & (h > 0.12)
+
+
+def image_kept(width: Column, height: Column, size: Column, drawn: Column, page: Column) -> Column:
+    """Both checks of a page's image by its pixels, bytes and the rectangle it is drawn in (FLT-12); copies are left to the caller."""
+    sides = lambda r: (r["x1"] - r["x0"], r["y1"] - r["y0"])
+    return early_image_checks(width, height, size) & late_image_checks(width, height, size, sides(page), sides(drawn))
+
+
+def picture_kept(width: Column, height: Column, size: Column, drawn: tuple[Column, Column], slide: tuple[Column, Column]) -> Column:
+    """The same for a slide's picture, by its bytes alone where its pixels can't be read (FLT-13)."""
+    known = early_image_checks(width, height, size) & late_image_checks(width, height, size, slide, drawn)
+    return F.when(width.isNull() | height.isNull(), size >= MIN_BYTES).otherwise(known)
+
+
+def ratio(width: Column, height: Column) -> Column:
+    """Width by height with six digits; null unless both are positive (MTH-15)."""
+    return F.when((width > 0) & (height > 0), F.bround(width / height, 6))
+
+
+def inches(emu: Column) -> Column:
+    return F.when(emu != 0, F.bround(emu / EMU["in"], 4))
+
+
+def safe_position(value: Column) -> Column:
+    """A whole number, 0 for what isn't one (MTH-17)."""
+    return F.coalesce(value.cast("string").try_cast("bigint"), F.lit(0).cast("bigint"))

@@ -21,6 +21,19 @@ def translation_errors(slots: DataFrame, translations: DataFrame, slot: str = "i
     return unknown.unionByName(twice).unionByName(blank).unionByName(wrong)
 
 
+def accepted(slots: DataFrame, translations: DataFrame, slot: str = "id", tags: str = "tags", text: str = "translation", allow_missing: bool = True) -> DataFrame:
+    """The translations that can be used: of a known slot, not blank, with all placeholders in order (TXT-30).
+
+    Where placeholders are wrong the slot counts as not translated, or, without
+    ``allow_missing``, the whole set is refused with an error.
+    """
+    both = translations.join(slots.select(slot, tags), slot).where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    fits = (F.col(tags) <= 0) | placeholder_error(F.col(text), F.col(tags)).isNull()
+    if not allow_missing and (wrong := [r[slot] for r in both.where(~fits).select(slot).limit(10).collect()]):
+        raise ValueError(f"wrong placeholders in {wrong}")
+    return both.where(fits).select(*translations.columns)
+
+
 def missing(slots: DataFrame, translations: DataFrame, slot: str = "id") -> DataFrame:
     """The slots without a translation."""
     return slots.join(translations.select(slot), slot, "left_anti")

@@ -268,3 +268,29 @@ def background_of(content: Column, background: Column, page: Column, most: float
     """The background rectangle if it holds the content and isn't much larger, else the content."""
     b = clip(background, page)
     return F.when(contained(content, b, 0.95) & (area(b) <= area(content) * most), b).otherwise(content)
+
+
+def page_markdown(elements: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The Markdown of each page from its elements in order: keys, markdown (WIN-06).
+
+    elements: kind (heading, list, code, table, image or text) and content. Code
+    lines next to each other become one fenced block, items of a list stand on
+    neighbouring lines, everything else is a paragraph. A fold over the elements
+    of a page inside its row.
+    """
+    none, text = F.array().cast("array<string>"), "array<string>"
+    rows = F.sort_array(F.collect_list(F.struct(order, "kind", "content")))
+    zero = F.struct(F.lit("").alias("out"), F.lit(False).alias("list"), none.cast(text).alias("code"))
+
+    def flushed(acc: Column) -> Column:
+        block = F.concat(F.lit("```\n"), F.array_join(acc["code"], "\n"), F.lit("\n```\n\n"))
+        return F.concat(acc["out"], F.when(F.size(acc["code"]) > 0, block).otherwise(""))
+
+    def step(acc: Column, e: Column) -> Column:
+        gap = F.when(acc["list"], "\n").otherwise("")
+        code = F.struct(F.concat(acc["out"], gap).alias("out"), F.lit(False).alias("list"), F.array_append(acc["code"], e["content"]).alias("code"))
+        item = F.struct(F.concat(flushed(acc), e["content"], F.lit("\n")).alias("out"), F.lit(True).alias("list"), none.alias("code"))
+        other = F.struct(F.concat(flushed(acc), gap, e["content"], F.lit("\n\n")).alias("out"), F.lit(False).alias("list"), none.alias("code"))
+        return F.when(e["kind"] == "code", code).when(e["kind"] == "list", item).otherwise(other)
+
+    return elements.groupBy(*keys).agg(F.aggregate(rows, zero, step, flushed).alias("markdown"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_code
-from . import coords, pages, power, shapes, texts
+from . import assets, coords, pages, power, shapes, texts
 from .base import Query
 
-_MODULES = (coords, power, texts, pages, shapes)
+_MODULES = (coords, power, texts, pages, shapes, assets)
 
 
 def _shipped(f: Query) -> Query:

@@ -46,7 +46,7 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", names.is_url(u).alias("is_url"), names.url_host(u).alias("host"), names.url_path(u).alias("path"), names.suffix(names.url_path(u)).alias("suffix"))
 
 
-def _paths(spark: SparkSession, d: str) -> DataFrame:
+def paths(spark: SparkSession, d: str) -> DataFrame:
     ends = ".pdf .SRT .xlsx .pptx .docx .md .txt .json .png .epub .ipynb .log".split()
     k = F.col("p_partkey")
     name = F.concat(F.lit("in/"), F.when(k % 31 == 0, ".").otherwise(""), F.lit("part_"), k.cast("string"), F.get(F.array(*[F.lit(e) for e in ends]), (k % 12).cast("int")))
@@ -55,12 +55,12 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 def route_detect(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
-    return _paths(spark, d).select("id", names.source_type(p).alias("kind"), names.is_directory_item(p).alias("taken"), names.route(p, F.when(F.length(p) % 5 == 0, "sub").otherwise("auto")).alias("route"), names.coordinate_format(p, F.lit(None).cast("string")).alias("coordinates"))
+    return paths(spark, d).select("id", names.source_type(p).alias("kind"), names.is_directory_item(p).alias("taken"), names.route(p, F.when(F.length(p) % 5 == 0, "sub").otherwise("auto")).alias("route"), names.coordinate_format(p, F.lit(None).cast("string")).alias("coordinates"))
 
 
 def output_names(spark: SparkSession, d: str) -> DataFrame:
     p = names.markdown_path(F.col("path"))
-    return _paths(spark, d).select("id", p.alias("markdown"), names.asset_folder(p).alias("assets"), names.profile_path(p).alias("profile"))
+    return paths(spark, d).select("id", p.alias("markdown"), names.asset_folder(p).alias("assets"), names.profile_path(p).alias("profile"))
 
 
 def page_names(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +170,7 @@ QUERIES: dict[str, Query] = {
 }
 
 _SAFE = r"left(regexp_replace(regexp_replace(regexp_replace({}, '\s+', '_', 'g'), '[^\x{{4e00}}-\x{{9fa5}}a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'), 80)"
-_PATHS = """SELECT 'p' || p_partkey AS id, 'in/' || CASE WHEN p_partkey % 31 = 0 THEN '.' ELSE '' END || 'part_' || p_partkey AS stem,
+PATHS = """SELECT 'p' || p_partkey AS id, 'in/' || CASE WHEN p_partkey % 31 = 0 THEN '.' ELSE '' END || 'part_' || p_partkey AS stem,
   ['.pdf', '.SRT', '.xlsx', '.pptx', '.docx', '.md', '.txt', '.json', '.png', '.epub', '.ipynb', '.log'][p_partkey % 12 + 1] AS ext, p_partkey AS k FROM part"""
 _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -185,13 +185,13 @@ SQL = {
     "route_detect": f"""
 WITH p AS (SELECT id, stem || ext AS path, CASE WHEN k % 31 = 0 THEN false ELSE ext NOT IN ('.json', '.log', '.png') END AS taken,
     CASE k % 12 WHEN 0 THEN 'pdf' WHEN 1 THEN 'subtitle' WHEN 2 THEN 'excel' WHEN 3 THEN 'pptx' WHEN 4 THEN 'doc' WHEN 5 THEN 'markdown' WHEN 6 THEN 'text'
-      WHEN 9 THEN 'doc' WHEN 10 THEN 'doc' ELSE 'unknown' END AS kind, CASE WHEN k % 12 = 7 THEN 'geojson' END AS coordinates FROM ({_PATHS})),
+      WHEN 9 THEN 'doc' WHEN 10 THEN 'doc' ELSE 'unknown' END AS kind, CASE WHEN k % 12 = 7 THEN 'geojson' END AS coordinates FROM ({PATHS})),
 u AS (SELECT 'u' || page_id AS id, url AS path, {_PATH} AS up FROM pages),
 a AS (SELECT id, path, taken, kind, coordinates FROM p UNION ALL SELECT id, path, false, CASE WHEN lower(up) LIKE '%_.pdf' THEN 'pdf' ELSE 'web' END, NULL FROM u)
 SELECT id, kind, taken, CASE WHEN length(path) % 5 = 0 THEN 'subtitle' ELSE kind END AS route, coordinates FROM a""",
     "output_names": rf"""
 WITH u AS (SELECT 'u' || page_id AS id, regexp_extract(url, '^(.*/)?[^/]*$', 1) AS dir, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages),
-s AS (SELECT id, stem FROM ({_PATHS}) UNION ALL SELECT id, dir || CASE WHEN regexp_matches(base, '^.+\.[^.]+$') THEN regexp_extract(base, '^(.+)\.[^.]+$', 1) ELSE base END FROM u)
+s AS (SELECT id, stem FROM ({PATHS}) UNION ALL SELECT id, dir || CASE WHEN regexp_matches(base, '^.+\.[^.]+$') THEN regexp_extract(base, '^(.+)\.[^.]+$', 1) ELSE base END FROM u)
 SELECT id, stem || '.md' AS markdown, stem || '_files' AS assets, stem || '.conversion_profile.json' AS profile FROM s""",
     "page_names": rf"""
 WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[-_|].*?(政府|门户|网站|委员会).*$', '')) END AS title, CASE WHEN page_id % 10 = 0 THEN '' ELSE url END AS url FROM pages)

@@ -49,30 +49,30 @@ def filled_boxes(spark: SparkSession, d: str) -> DataFrame:
     return layout.filled_boxes(px, fills, ["l_suppkey"]).groupBy("l_suppkey").agg(*[F.sum(c).cast("bigint").alias(c) for c in "rgb"])
 
 
-def _boxes(spark: SparkSession, d: str, name: str, key: str, m: int) -> DataFrame:
+def boxes(spark: SparkSession, d: str, name: str, key: str, m: int) -> DataFrame:
     k = F.col(key)
     x, y = (k * m % 500).cast("double"), (k * (m + 4) % 700).cast("double")
     return table(spark, d, name).select(F.floor(k / 40).alias("page"), k.alias("id"), shapes.rect(x, y, x + 40 + k % 60, y + 30 + k % 50).alias("bbox"))
 
 
 def rect_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return layout.uncovered(_boxes(spark, d, "customer", "c_custkey", 13), _boxes(spark, d, "part", "p_partkey", 17), ["page"], "id", 0.3).select("id")
+    return layout.uncovered(boxes(spark, d, "customer", "c_custkey", 13), boxes(spark, d, "part", "p_partkey", 17), ["page"], "id", 0.3).select("id")
 
 
 def lines_in_rects(spark: SparkSession, d: str) -> DataFrame:
-    return layout.lines_within(_boxes(spark, d, "customer", "c_custkey", 13), _boxes(spark, d, "part", "p_partkey", 17), ["page"], "id", 0.3).select("id", "lines")
+    return layout.lines_within(boxes(spark, d, "customer", "c_custkey", 13), boxes(spark, d, "part", "p_partkey", 17), ["page"], "id", 0.3).select("id", "lines")
 
 
 def captioned_figures(spark: SparkSession, d: str) -> DataFrame:
-    captions = _boxes(spark, d, "supplier", "s_suppkey", 29).select(F.lit(1).alias("doc"), "page", F.col("id").alias("caption"), "bbox")
-    drawings = _boxes(spark, d, "customer", "c_custkey", 13).select(F.lit(1).alias("doc"), "page", "bbox")
+    captions = boxes(spark, d, "supplier", "s_suppkey", 29).select(F.lit(1).alias("doc"), "page", F.col("id").alias("caption"), "bbox")
+    drawings = boxes(spark, d, "customer", "c_custkey", 13).select(F.lit(1).alias("doc"), "page", "bbox")
     page = shapes.rect(F.lit(0), F.lit(0), F.lit(600), F.lit(800))
     return layout.captioned_figures(captions, drawings, page).select("page", "caption", "figure.*")
 
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     o = layout.reading_order(F.col("bbox"))
-    return _boxes(spark, d, "part", "p_partkey", 17).select("id", o["sort_y"].alias("sort_y"), o["x0"].alias("x0"))
+    return boxes(spark, d, "part", "p_partkey", 17).select("id", o["sort_y"].alias("sort_y"), o["x0"].alias("x0"))
 
 
 def font_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -154,11 +154,11 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _sql_boxes(name: str, key: str, m: int) -> str:
+def sql_boxes(name: str, key: str, m: int) -> str:
     return f"SELECT {key} // 40 AS page, {key} AS id, ({key}*{m} % 500)::DOUBLE AS x0, ({key}*{m + 4} % 700)::DOUBLE AS y0, ({key}*{m} % 500 + 40 + {key} % 60)::DOUBLE AS x1, ({key}*{m + 4} % 700 + 30 + {key} % 50)::DOUBLE AS y1 FROM {name}"
 
 
-_PAIRS = f"""a AS ({_sql_boxes('customer', 'c_custkey', 13)}), b AS ({_sql_boxes('part', 'p_partkey', 17)}),
+_PAIRS = f"""a AS ({sql_boxes('customer', 'c_custkey', 13)}), b AS ({sql_boxes('part', 'p_partkey', 17)}),
 p AS (SELECT a.id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i,
   (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM a JOIN b USING (page))"""
 _PX = "SELECT l_suppkey, (l_orderkey % 40)::INT AS x, (l_partkey % 30)::INT AS y, (l_partkey*37 % 256)::INT AS r, (l_partkey*59 % 256)::INT AS g, (l_partkey*83 % 256)::INT AS b FROM lineitem"
@@ -177,12 +177,12 @@ FROM (SELECT *, CASE WHEN l_suppkey % 3 > 0 AND x BETWEEN 15 AND 34 AND y BETWEE
     "rect_overlap": f"WITH {_PAIRS} SELECT id FROM a WHERE id NOT IN (SELECT id FROM p WHERE i / sa > 0.3)",
     "lines_in_rects": f"WITH {_PAIRS} SELECT a.id, coalesce(n, 0) AS lines FROM a LEFT JOIN (SELECT id, count(*) AS n FROM p WHERE i / sb > 0.3 GROUP BY id) USING (id)",
     "captioned_figures": f"""
-WITH c AS ({_sql_boxes('supplier', 's_suppkey', 29)}), d AS ({_sql_boxes('customer', 'c_custkey', 13)}),
+WITH c AS ({sql_boxes('supplier', 's_suppkey', 29)}), d AS ({sql_boxes('customer', 'c_custkey', 13)}),
 u AS (SELECT c.page, c.id AS caption, c.y0 AS cy, min(d.x0) AS a0, min(d.y0) AS b0, max(d.x1) AS a1, max(d.y1) AS b1 FROM c JOIN d USING (page)
   WHERE greatest(c.x0 - d.x1, d.x0 - c.x1, 0) <= 90 AND d.y0 <= c.y0 AND c.y0 - d.y1 <= 380 GROUP BY ALL),
 f AS (SELECT page, caption, greatest(a0 - 10, 0) AS x0, greatest(b0 - 10, 0) AS y0, least(a1 + 10, 600) AS x1, least(least(b1 + 10, 800), cy - 2) AS y1 FROM u)
 SELECT page, caption, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM f WHERE x1 - x0 >= 40 AND y1 - y0 >= 40""",
-    "reading_order": f"SELECT id, round_even((y0 + y1) / 2 / 8, 0) * 8 AS sort_y, x0 FROM ({_sql_boxes('part', 'p_partkey', 17)})",
+    "reading_order": f"SELECT id, round_even((y0 + y1) / 2 / 8, 0) * 8 AS sort_y, x0 FROM ({sql_boxes('part', 'p_partkey', 17)})",
     "font_levels": """
 WITH s AS (SELECT l_suppkey AS doc, (9 + CASE WHEN k % 10 < 7 THEN 1 ELSE k % 10 END)::DOUBLE AS size, 'Heading ' || k || CASE WHEN k % 5 = 0 THEN '.' ELSE '' END AS text, k % 2 = 0 AS bold
   FROM (SELECT l_suppkey, l_orderkey + l_linenumber AS k FROM lineitem)),

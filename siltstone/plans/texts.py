@@ -61,30 +61,30 @@ def slot_batches(spark: SparkSession, d: str) -> DataFrame:
     return text_units.batches(docs(spark, d).select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 
-def _slots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    slots = docs(spark, d).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).cast("int").alias("tags"))
+def slots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).cast("int").alias("tags"))
     k = F.col("doc_id")
     text = F.when(k % 11 == 0, " ").when(k % 3 == 0, "plain").when(k % 3 == 1, "a [t:0] b").otherwise(F.when(k % 7 == 0, "[t:1] [t:0]").otherwise("[t:0] x [t:1]"))
     own = table(spark, d, "labels").select("doc_id", text.alias("translation"))
     more = own.where(k % 13 == 0).unionByName(own.where(k % 17 == 0).select((k + 10_000_000).alias("doc_id"), "translation"))
-    return slots, own.unionByName(more).withColumnRenamed("doc_id", "id")
+    return rows, own.unionByName(more).withColumnRenamed("doc_id", "id")
 
 
 def slot_check(spark: SparkSession, d: str) -> DataFrame:
-    return checks.translation_errors(*_slots(spark, d))
+    return checks.translation_errors(*slots(spark, d))
 
 
 def slot_missing(spark: SparkSession, d: str) -> DataFrame:
-    return checks.missing(*_slots(spark, d)).select("id")
+    return checks.missing(*slots(spark, d)).select("id")
 
 
 def slot_apply(spark: SparkSession, d: str) -> DataFrame:
-    slots, translations = _slots(spark, d)
-    return checks.apply_translations(slots.withColumn("source", F.lit("source")), translations).select("id", "translation")
+    rows, translations = slots(spark, d)
+    return checks.apply_translations(rows.withColumn("source", F.lit("source")), translations).select("id", "translation")
 
 
 def slot_completeness(spark: SparkSession, d: str) -> DataFrame:
-    out = checks.completeness(*_slots(spark, d))
+    out = checks.completeness(*slots(spark, d))
     return out.select("total", "translated", "missing", F.array_join(F.transform("first_missing", lambda x: x.cast("string")), ",").alias("first_missing"))
 
 
@@ -164,12 +164,12 @@ QUERIES: dict[str, Query] = {
 }
 
 _NL = "chr(10)"
-_MD = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Title' || chr(10) ELSE '' END || text || chr(10) || chr(10) || chr(10)
+MARKED_UP = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Title' || chr(10) ELSE '' END || text || chr(10) || chr(10) || chr(10)
   || CASE WHEN doc_id % 3 = 0 THEN '![a](x/pic.png?v=1) and [b](u)' || chr(10) ELSE '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) END
   || CASE WHEN doc_id % 5 = 0 THEN '![only](y.jpg)' || chr(10) ELSE '  tail  ' || chr(10) END || '[c](d)' AS text FROM documents"""
 _LABELS = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 3 = 0 THEN 'plain' WHEN doc_id % 3 = 1 THEN 'a [t:0] b'
   WHEN doc_id % 7 = 0 THEN '[t:1] [t:0]' ELSE '[t:0] x [t:1]' END AS translation FROM labels"""
-_TR = f"""WITH own AS ({_LABELS}), tr AS (SELECT doc_id AS id, translation FROM own UNION ALL SELECT doc_id, translation FROM own WHERE doc_id % 13 = 0
+TRANSLATED = f"""WITH own AS ({_LABELS}), tr AS (SELECT doc_id AS id, translation FROM own UNION ALL SELECT doc_id, translation FROM own WHERE doc_id % 13 = 0
   UNION ALL SELECT doc_id + 10000000, translation FROM own WHERE doc_id % 17 = 0)"""
 _CUES = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth,
   printf('%02d:00:%02d,000', (turn % 100)::INT, (turn % 60)::INT) AS start, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations"""
@@ -190,16 +190,16 @@ FROM s LEFT JOIN r USING (doc_id)"""
 
 
 SQL = {
-    "md_stats": stats_sql(f"{_MD} UNION ALL SELECT -doc_id - 1, text FROM documents"),
+    "md_stats": stats_sql(f"{MARKED_UP} UNION ALL SELECT -doc_id - 1, text FROM documents"),
     "md_line_runs": f"""
 WITH x AS (SELECT doc_id, j, ends_with(l[j], '.') AS f FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM documents)))
 SELECT doc_id, (count(*) FILTER (WHERE f AND NOT p))::INT AS runs FROM (SELECT doc_id, f, lag(f, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS p FROM x) GROUP BY doc_id""",
     "md_blank_collapse": rf"""
-WITH x AS (SELECT doc_id, j, regexp_replace(l[j], '\s+$', '') AS y FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM ({_MD})))),
+WITH x AS (SELECT doc_id, j, regexp_replace(l[j], '\s+$', '') AS y FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM ({MARKED_UP})))),
 k AS (SELECT doc_id, j, y, lag(y) OVER (PARTITION BY doc_id ORDER BY j) AS p FROM x)
 SELECT doc_id, string_agg(y, {_NL} ORDER BY j) AS text FROM k WHERE y <> '' OR p IS NULL OR p <> '' GROUP BY doc_id""",
     "md_strip_images": rf"""
-WITH x AS (SELECT doc_id, j, l[j] AS y, regexp_replace(l[j], '!\[[^\]]*\]\([^)]+\)', '', 'g') AS z FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM ({_MD})))),
+WITH x AS (SELECT doc_id, j, l[j] AS y, regexp_replace(l[j], '!\[[^\]]*\]\([^)]+\)', '', 'g') AS z FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM ({MARKED_UP})))),
 k AS (SELECT doc_id, regexp_replace(string_agg(z, {_NL} ORDER BY j), '\n{{3,}}', {_NL} || {_NL}, 'g') AS text FROM x WHERE NOT (y <> z AND trim(z) = '') GROUP BY doc_id)
 SELECT doc_id, text, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'pic.png' END, CASE WHEN doc_id % 5 = 0 THEN 'y.jpg' END], lambda y: y IS NOT NULL), ',') AS images FROM k""",
     "repeat_first_lines": f"""
@@ -217,14 +217,14 @@ f AS (SELECT source, doc_id, n_chars, i, 0::BIGINT AS batch, n_chars AS c, 1 AS
     CASE WHEN f.c + r.n_chars > 8000 OR f.k >= 20 THEN r.n_chars ELSE f.c + r.n_chars END,
     CASE WHEN f.c + r.n_chars > 8000 OR f.k >= 20 THEN 1 ELSE f.k + 1 END FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1)
 SELECT source, doc_id, n_chars, batch FROM f""",
-    "slot_check": f"""{_TR}
+    "slot_check": f"""{TRANSLATED}
 SELECT DISTINCT id, 'unknown' AS error FROM tr WHERE id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT id, 'duplicate' FROM tr GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT id, 'blank' FROM tr WHERE trim(translation) = '' AND id IN (SELECT doc_id FROM documents)
 UNION ALL SELECT DISTINCT id, 'placeholders' FROM tr WHERE translation = '[t:1] [t:0]' AND id IN (SELECT doc_id FROM documents)""",
-    "slot_missing": f"{_TR} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM tr)",
-    "slot_apply": f"{_TR} SELECT doc_id AS id, coalesce((SELECT min(translation) FROM tr WHERE tr.id = doc_id), 'source') AS translation FROM documents",
-    "slot_completeness": f"""{_TR}, m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM tr))
+    "slot_missing": f"{TRANSLATED} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM tr)",
+    "slot_apply": f"{TRANSLATED} SELECT doc_id AS id, coalesce((SELECT min(translation) FROM tr WHERE tr.id = doc_id), 'source') AS translation FROM documents",
+    "slot_completeness": f"""{TRANSLATED}, m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM tr))
 SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents) - (SELECT count(*) FROM m) AS translated, (SELECT count(*) FROM m) AS missing,
   (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 20)) AS first_missing""",
     "translatable_text": r"""

@@ -137,11 +137,11 @@ def xlsx_merges(content: bytes) -> Iterator[dict]:
 def pptx_shapes(content: bytes) -> Iterator[dict]:
     """Leaf shapes of all slides in reading order: slide, ord, kind (text, table, picture or note), top, left, text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        targets = _relations(z, "ppt/presentation.xml")
-        for number, ref in enumerate(_children(_first(_xml(z, "ppt/presentation.xml"), "sldIdLst"), "sldId"), 1):
-            part = targets.get(next((v for k, v in ref.attrib.items() if k.endswith("}id")), ""), "")
+        parts = _slides(z)
+        jumps = {part: f"#slide-{n}" for n, part in enumerate(parts, 1)}  # a link to a slide is one to its heading
+        for number, part in enumerate(parts, 1):
             root = _xml(z, part)
-            links = _relations(z, part)
+            links = {k: jumps.get(t, t) for k, t in _relations(z, part).items()}
             rows = sorted(_leaves(_first(root, "spTree"), links), key=lambda r: (r["top"], r["left"]))
             note = next((t for t in links.values() if "notesSlide" in t), "")
             text = "\n".join(_paragraphs(_xml(z, note), {}, "body")) if note in z.namelist() else ""
@@ -151,6 +151,35 @@ def pptx_shapes(content: bytes) -> Iterator[dict]:
                 yield {"slide": number, "ord": i, **r}
 
 
+def _slides(z: zipfile.ZipFile) -> list[str]:
+    """The parts of a presentation's slides, in order."""
+    targets = _relations(z, "ppt/presentation.xml")
+    refs = _children(_first(_xml(z, "ppt/presentation.xml"), "sldIdLst"), "sldId")
+    return [targets.get(next((v for k, v in ref.attrib.items() if k.endswith("}id")), ""), "") for ref in refs]
+
+
+def pptx_to_markdown(content: bytes, name: str) -> str:
+    """A presentation as Markdown: a heading per slide, its texts, tables and pictures in reading order, and notes."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        count = len(_slides(z))
+    rows = list(pptx_shapes(content))
+    stem = name.rpartition(".")[0] or name
+    out, pictures = [f"# {stem}", f"- Source: `{name}`\n- Total slides: {count}"], 0
+    for number in range(1, count + 1):
+        blocks, note = [], ""
+        for r in (r for r in rows if r["slide"] == number):
+            if r["kind"] == "note":
+                note = r["text"]
+            elif r["kind"] != "picture":
+                blocks.append(r["text"])
+            else:
+                pictures += 1
+                blocks.append(f"![Slide {number} Image {pictures}]({stem}_files/{r['text'].rpartition('/')[2]})")
+        out += [f"## Slide {number}", *(blocks or ["_No extractable text content._"])]
+        out += ["### Speaker Notes", note] if note else []
+    return "\n\n".join(out).strip() + "\n"
+
+
 def _leaves(tree: ET.Element | None, links: dict[str, str]) -> Iterator[dict]:
     for e in _children(tree, "sp", "pic", "graphicFrame", "grpSp"):
         if local(e.tag) == "grpSp":

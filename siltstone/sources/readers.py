@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import markdown, names
+from ..operators import text_units
 from . import office
 
 CELLS = "path string, sheet string, state string, row int, col int, value string, kind string"
@@ -80,13 +82,17 @@ CONVERTERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
+#: Converters that need the file's name, too.
+NAMED = {f".{x}": office.pptx_to_markdown for x in ("pptx", "pptm", "ppsx", "ppsm", "potx", "potm")}
+
+
 @F.pandas_udf(T.StructType([T.StructField("markdown", T.StringType()), T.StructField("error", T.StringType())]))
 def to_markdown(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     out = []
     for p, c in zip(path, content, strict=True):
         suffix = "." + p.rpartition(".")[2].lower()
         try:
-            out.append((CONVERTERS[suffix](bytes(c)), None))
+            out.append((NAMED[suffix](bytes(c), p.rpartition("/")[2]) if suffix in NAMED else CONVERTERS[suffix](bytes(c)), None))
         except KeyError:
             out.append((None, f"no reader for {suffix}"))
         except Exception as e:
@@ -99,6 +105,26 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).withColumn("m", to_markdown("path", "content")).select("path", "m.markdown", "m.error")
 
 
+def subtitles(spark: SparkSession, path: str, raw: bool = False, chapters: bool = False) -> DataFrame:
+    """Subtitle files of a folder as Markdown: path and markdown (SRC-51, SNK-20).
+
+    Flat: one text per file, titled by its stem. With ``chapters``, the folder's
+    folders are chapters: one text per folder, its files as sections in natural
+    order. Files and folders without captions give none.
+    """
+    found = files(spark, f"{path}/*" if chapters else path).where(names.source_type(F.col("path")) == "subtitle")
+    text, kind = decoded("content"), names.suffix(F.col("path"))
+    rows = found.select("path", text.alias("text"), kind.alias("kind"))
+    cues = F.when(F.col("kind") == ".srt", text_units.srt_cues(F.col("text"))).when(F.col("kind") == ".vtt", text_units.vtt_cues(F.col("text"))).otherwise(text_units.ass_cues(F.col("text")))
+    rows = rows.select("path", names.stem(F.col("path")).alias("stem"), text_units.transcript(cues, raw).alias("body")).where("body <> ''")
+    if not chapters:
+        return rows.select("path", markdown.titled(F.col("stem"), F.col("body")).alias("markdown"))
+    rows = rows.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    part = F.struct(names.natural_key(names.base_name(F.col("path"))).alias("k"), F.concat(F.lit("## "), "stem", F.lit("\n\n"), "body", F.lit("\n\n")).alias("t"))
+    joined = rows.groupBy("folder").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "").alias("t"))
+    return joined.select(F.col("folder").alias("path"), F.concat(F.lit("# "), names.base_name(F.col("folder")), F.lit("\n\n"), "t").alias("markdown"))
+
+
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def image_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([office.image_size(bytes(c)) or (None, None) if c is not None else (None, None) for c in content], columns=["width", "height"]).astype("Int32")
