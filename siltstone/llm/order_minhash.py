@@ -479,7 +479,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Classes are the connected components of the links. Texts with the same words
     are one class. A null or wordless text is never linked; a null id gets a null
     class. A text of fewer than five words is linked to equal ones only. Rows with
-    the same id are in the same class.
+    the same id are in the same class. Of equally central documents of a key the
+    one with the smallest id counts. Columns besides the two named aren't read, so
+    their names don't matter; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship_code(spark)

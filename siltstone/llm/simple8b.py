@@ -192,7 +192,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end: int, fold
     Each row: part (files in order), file, documents, ids, bytes. The folder must
     be one that all executors share; without one, a new one is made below
     ``spark.checkpoint.dir``. A null text has the end id alone; null ids come
-    first; equal ids keep any order among them.
+    first; equal ids keep any order among them. Texts are tokenized whole, of any
+    length. Only the two columns named are read; an empty table gives no files.
     """
     spark = docs.sparkSession
     ship_code(spark)

@@ -323,9 +323,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id
     the kept words joined by one space; n_words (before) and n_removed are added,
     replacing input columns of those names. Without ``rejoin`` the runs of removed
     words are cut out of the text and the rest stays as it is. A null or wordless
-    text gives an empty text (without ``rejoin``: stays as it is). A null id counts as larger than all others. Rows with the same id
-    don't take from each other. Words are what ``bytes.split()`` makes of the
-    UTF-8 text. All other columns are carried along.
+    text gives an empty text (without ``rejoin``: stays as it is). A null id counts
+    as larger than all others. Rows with the same id don't take from each other.
+    Words are what ``bytes.split()`` makes of the UTF-8 text. All other columns are
+    carried along, whatever their names; an empty table gives an empty result. A
+    text of any length is worked on whole, a very long one as a batch of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -184,6 +184,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     responses as well. A null page is an empty payload. A null id is none, and
     never the smallest; pages with null ids alone are all responses. A null URL
     is left out. Without a folder a new one is made below ``spark.checkpoint.dir``.
+    Only the three columns named are read, so others may have any names; an empty
+    table gives no files. All payloads are shuffled once, by page, as that keeps
+    copies of one payload apart.
     """
     spark = pages.sparkSession
     ship_code(spark)
