@@ -5,6 +5,8 @@ Lines are arrays inside a row, so nothing here shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,17 @@ MONOSPACE = (
 STRUCTURAL = r"^(?:\*\*)?(?:问题\s*\d*|回复|收\s*件\s*人|发\s*件\s*人|邮\s*箱|日\s*期|电\s*话|编\s*号|总\s*页\s*数|主\s*题|标段编号)"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body names it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text; a line feed at the end doesn't begin another one, and an empty text has none."""
-    parts = F.split(text, "\r\n|\n|\r", -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    def trimmed(parts: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return once(F.split(text, "\r\n|\n|\r", -1), trimmed)
 
 
 def count_lines(lines: Column, pattern: str) -> Column:
@@ -34,7 +43,7 @@ def count_lines(lines: Column, pattern: str) -> Column:
 
 def runs(flags: Column) -> Column:
     """The number of runs of true values in an array of booleans."""
-    return F.size(F.filter(flags, lambda x, i: x & ((i == 0) | ~F.coalesce(F.get(flags, F.greatest(i - 1, F.lit(0))), F.lit(False)))))
+    return once(flags, lambda f: F.size(F.filter(f, lambda x, i: x & ((i == 0) | ~F.coalesce(F.get(f, F.greatest(i - 1, F.lit(0))), F.lit(False))))))
 
 
 def is_table_line(line: Column) -> Column:
@@ -45,22 +54,24 @@ def is_table_line(line: Column) -> Column:
 def statistics(text: Column) -> Column:
     """Struct of line_count, char_count, heading_count, table_count, image_ref_count, link_count."""
     t = F.coalesce(text, F.lit(""))
-    lines = lines_of(t)
-    return F.struct(
-        F.size(lines).alias("line_count"),
-        F.length(t).alias("char_count"),
-        count_lines(lines, HEADING).alias("heading_count"),
-        runs(F.transform(lines, is_table_line)).alias("table_count"),
-        F.regexp_count(t, F.lit(IMAGE)).alias("image_ref_count"),
-        F.regexp_count(t, F.lit(LINK)).alias("link_count"),
-    )
+
+    def of(lines: Column) -> Column:
+        return F.struct(
+            F.size(lines).alias("line_count"),
+            F.length(t).alias("char_count"),
+            count_lines(lines, HEADING).alias("heading_count"),
+            runs(F.transform(lines, is_table_line)).alias("table_count"),
+            F.regexp_count(t, F.lit(IMAGE)).alias("image_ref_count"),
+            F.regexp_count(t, F.lit(LINK)).alias("link_count"),
+        )
+
+    return once(lines_of(t), of)
 
 
 def collapse_blank(text: Column) -> Column:
     """Lines without trailing white space, and one empty line for each run of blank ones (WIN-05)."""
     stripped = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    kept = F.filter(stripped, lambda x, i: (x != "") | (i == 0) | (F.get(stripped, F.greatest(i - 1, F.lit(0))) != ""))
-    return F.array_join(kept, "\n")
+    return once(stripped, lambda s: F.array_join(F.filter(s, lambda x, i: (x != "") | (i == 0) | (F.get(s, F.greatest(i - 1, F.lit(0))) != "")), "\n"))
 
 
 def strip_images(text: Column) -> Column:

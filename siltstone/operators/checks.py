@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markdown import placeholder_error
+from ..functions.markdown import once, placeholder_error
 
 
 def translation_errors(slots: DataFrame, translations: DataFrame, slot: str = "id", tags: str = "tags", text: str = "translation") -> DataFrame:
@@ -114,9 +114,10 @@ def merged_options(defaults: Column, own: Column) -> Column:
 
 def last_values(names: Column, values: Column) -> Column:
     """A map in which the last value of a name counts (AGG-15)."""
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+
+    return F.map_from_entries(once(F.arrays_zip(names.alias("k"), values.alias("v")), last))
 
 
 def unique_names(rows: DataFrame, folder: str, stem: str, order: str) -> DataFrame:

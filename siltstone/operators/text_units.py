@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markdown import once
+
 CUE = "array<struct<start:string,text:string>>"
 
 
@@ -87,7 +89,10 @@ RULE = r"^\s*\|[\s\-:|]+\|\s*$"
 
 def tables_as_bullets(text: Column) -> Column:
     """Markdown tables as lists of ``**header**: cell`` (TXT-26); a fold over the lines."""
-    lines = F.split(text, "\n", -1)
+    return once(F.split(text, "\n", -1), _bullets)
+
+
+def _bullets(lines: Column) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("head"), F.lit(0).alias("i"), F.lit(False).alias("rule"))
 
     def cells(x: Column) -> Column:
