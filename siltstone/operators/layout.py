@@ -104,6 +104,14 @@ def clusters(rects: DataFrame, keys: list[str], gap: float = 6.0) -> DataFrame:
     return flat.groupBy(*keys).applyInPandas(join, ",".join(f"{k} {types[k]}" for k in keys) + ",x0 double,y0 double,x1 double,y1 double")
 
 
+def figure_regions(captions: DataFrame, drawings: DataFrame, page: Column, gap: float = 6.0) -> DataFrame:
+    """Rows doc, page, x0, y0, x1, y1, kind: the captioned figures of pages that have any, the clusters of drawings of the others (JOIN-20)."""
+    sides = ("x0", "y0", "x1", "y1")
+    found = captioned_figures(captions, drawings, page).select("doc", "page", *[F.col(f"figure.{s}").cast("double").alias(s) for s in sides])
+    rest = drawings.join(found.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
+    return found.withColumn("kind", F.lit("captioned")).unionByName(clusters(rest, ["doc", "page"], gap).withColumn("kind", F.lit("cluster")))
+
+
 def paragraphs(lines: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """Wrapped lines joined to paragraphs (WIN-03, WIN-04): rows keys, para, text.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names, shapes
+from ..sources import html_tree
 
 
 def image_options(no_images: bool = False, filter_images: bool = False) -> None:
@@ -80,3 +83,33 @@ def picture_manifest(pictures: DataFrame, doc: str = "doc") -> DataFrame:
 def mask_files(items: DataFrame, file: str = "file") -> DataFrame:
     """The different files that masks are needed for, sorted (SET-06)."""
     return items.select(file).where(F.col(file).isNotNull()).distinct().orderBy(file)
+
+
+def placed_images(pages: DataFrame, files: DataFrame, into: str, web: bool = False, drop: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pages whose images point to a folder of kept files, and the rows of these files (HTM-07, HTM-09, HTM-11).
+
+    pages (page, folder, html), page being unique; files (path) that exist, URLs
+    of downloaded ones among them. Of an image in a data URI, or whose path is
+    among the files, the source becomes ``into``/name; others stay, or go with
+    ``drop``. Rows of files: page, place, name, path, data (of data URIs). A null
+    page text stays null; other columns of pages stay.
+    """
+    place = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in html_tree.PLACE.items()]))
+
+    @F.pandas_udf(place)
+    def found(html: pd.Series, folder: pd.Series) -> pd.Series:
+        return pd.Series([html_tree.image_places(h or "", f or "", web) for h, f in zip(html, folder, strict=True)], dtype=object)
+
+    @F.pandas_udf(T.StringType())
+    def put(html: pd.Series, places: pd.Series, sources: pd.Series) -> pd.Series:
+        maps = ({} if p is None else dict(zip(p, s, strict=True)) for p, s in zip(places, sources, strict=True))
+        return pd.Series([None if h is None else html_tree.rewritten_images(h, m, web, drop) for h, m in zip(html, maps, strict=True)], dtype=object)
+
+    seen = pages.select("page", F.explode(found("html", "folder")).alias("p")).select("page", "p.*")
+    inline = seen.where("kind = 'data' AND data IS NOT NULL")
+    kept = inline.unionByName(seen.where("kind <> 'data'").join(files.select("path").distinct(), "path", "left_semi"))
+    kept = kept.select("page", "place", "name", "path", "data")
+    # A page's own images, in two arrays of equal order.
+    own = kept.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit(into + "/"), "name").alias("source")))).alias("_kept"))
+    out = pages.join(own, "page", "left").withColumn("html", put("html", F.col("_kept.place"), F.col("_kept.source")))
+    return out.select(*pages.columns), kept

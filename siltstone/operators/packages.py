@@ -1,10 +1,11 @@
-"""Slots of many documents: ids in order, and translated documents (WIN-09, JOIN-06, JOIN-19)."""
+"""Slots of many documents: ids in order, and translated documents; mended packages (WIN-09, JOIN-03, JOIN-06, JOIN-19, SRC-31)."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import office
 
@@ -41,3 +42,9 @@ def translated_documents(documents: DataFrame, slots: DataFrame, key: str = "doc
 
     left, right = documents.select(key, "xml").groupBy(key), slots.select(key, "path", "attribute", "tags", "translation").groupBy(key)
     return left.cogroup(right).applyInPandas(rebuild, f"{key} {types[key]}, xml string, error string")
+
+
+@F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StringType()))]))
+def sane_package(content: pd.Series) -> pd.DataFrame:
+    """An EPUB without manifest items whose files are missing, and their hrefs (see ``office.sane_epub``); null stays null."""
+    return pd.DataFrame([(None, None) if c is None else office.sane_epub(bytes(c)) for c in content], columns=["content", "removed"])

@@ -63,11 +63,18 @@ def lines_in_rects(spark: SparkSession, d: str) -> DataFrame:
     return layout.lines_within(boxes(spark, d, "customer", "c_custkey", 13), boxes(spark, d, "part", "p_partkey", 17), ["page"], "id", 0.3).select("id", "lines")
 
 
-def captioned_figures(spark: SparkSession, d: str) -> DataFrame:
+def _figures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Column]:
     captions = boxes(spark, d, "supplier", "s_suppkey", 29).select(F.lit(1).alias("doc"), "page", F.col("id").alias("caption"), "bbox")
     drawings = boxes(spark, d, "customer", "c_custkey", 13).select(F.lit(1).alias("doc"), "page", "bbox")
-    page = shapes.rect(F.lit(0), F.lit(0), F.lit(600), F.lit(800))
-    return layout.captioned_figures(captions, drawings, page).select("page", "caption", "figure.*")
+    return captions, drawings, shapes.rect(F.lit(0), F.lit(0), F.lit(600), F.lit(800))
+
+
+def captioned_figures(spark: SparkSession, d: str) -> DataFrame:
+    return layout.captioned_figures(*_figures(spark, d)).select("page", "caption", "figure.*")
+
+
+def figure_regions(spark: SparkSession, d: str) -> DataFrame:
+    return layout.figure_regions(*_figures(spark, d)).drop("doc")
 
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +155,7 @@ def file_sizes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        image_filter, red_mask, border_median, filled_boxes, rect_overlap, lines_in_rects, captioned_figures, reading_order, font_levels, zone_texts, heading_merge,
+        image_filter, red_mask, border_median, filled_boxes, rect_overlap, lines_in_rects, captioned_figures, figure_regions, reading_order, font_levels, zone_texts, heading_merge,
         pipe_table, merged_cells, table_shape, chart_pivot, lengths, colours, file_sizes,
     )
 }

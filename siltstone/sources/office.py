@@ -16,6 +16,7 @@ import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from . import html_tree
 
@@ -332,6 +333,19 @@ def _docx_table(t: ET.Element, links: dict[str, str]) -> str:
     return markdown_table(rows)
 
 
+def has_media(table: ET.Element) -> bool:
+    """Whether an image stands anywhere in a table (FLT-27)."""
+    return any(local(e.tag) in ("drawing", "imagedata") for e in table.iter())
+
+
+def docx_tables(content: bytes) -> Iterator[dict]:
+    """The tables of a document's body in order: table (from 0), rows, has_media, markdown."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body, links = _first(_xml(z, "word/document.xml"), "body"), _relations(z, "word/document.xml")
+        for i, t in enumerate(_children(body, "tbl")):
+            yield {"table": i, "rows": len(_children(t, "tr")), "has_media": has_media(t), "markdown": _docx_table(t, links)}
+
+
 def ipynb_to_markdown(text: str) -> str:
     """Markdown cells as they are, code cells in fences with their text output; attachments keep their names."""
     book = json.loads(text)
@@ -375,7 +389,7 @@ def epub_documents(content: bytes) -> list[str]:
         items = {_attr(i, "id"): i for i in ([] if root is None else root.iter()) if local(i.tag) == "item"}
 
         def path(i: ET.Element) -> str:
-            return posixpath.normpath(posixpath.join(posixpath.dirname(opf), _attr(i, "href").partition("#")[0]))
+            return posixpath.normpath(posixpath.join(posixpath.dirname(opf), unquote(_attr(i, "href").partition("#")[0])))
 
         spine = [items[r] for x in root.iter() if local(x.tag) == "itemref" and (r := _attr(x, "idref")) in items]
         more = [i for i in items.values() if "nav" in _attr(i, "properties").split()] + [i for i in items.values() if "ncx" in _attr(i, "media-type")]
@@ -526,6 +540,32 @@ def rebuilt_epub(content: bytes, replaced: dict[str, str], language: str | None
     return out.getvalue()
 
 
+def sane_epub(content: bytes) -> tuple[bytes, list[str]]:
+    """The package without manifest items whose file is missing, nor their places in the spine, and the hrefs that went (SRC-31).
+
+    A package that lacks nothing, or can't be read, is returned as it is.
+    """
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            opf, entries = opf_path(z), set(z.namelist())
+            root = _xml(z, opf)
+        manifest = _first(root, "manifest")
+        broken = [i for i in _children(manifest, "item") if (h := _attr(i, "href")) and posixpath.normpath(posixpath.join(posixpath.dirname(opf), unquote(h))) not in entries]
+        if not broken:
+            return content, []
+        ids, spine = {_attr(i, "id") for i in broken} - {""}, _first(root, "spine")
+        for i in broken:
+            manifest.remove(i)
+        for x in [x for x in _children(spine, "itemref") if _attr(x, "idref") in ids]:
+            spine.remove(x)
+        for prefix, space in (("", "http://www.idpf.org/2007/opf"), ("dc", "http://purl.org/dc/elements/1.1/")):
+            ET.register_namespace(prefix, space)
+        xml = '<?xml version="1.0" encoding="utf-8"?>\n' + ET.tostring(root, encoding="unicode")
+        return rebuilt_epub(content, {opf: xml}), [_attr(i, "href") for i in broken]
+    except (zipfile.BadZipFile, ET.ParseError, KeyError):
+        return content, []
+
+
 # Images
 
 
