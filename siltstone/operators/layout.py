@@ -63,13 +63,28 @@ def lines_within(rects: DataFrame, lines: DataFrame, keys: list[str], ident: str
     return rects.join(hit.groupBy(ident).agg(F.count("*").alias("lines")), ident, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
-def captioned_figures(captions: DataFrame, drawings: DataFrame, page: Column, up: float = 380.0, aside: float = 90.0, least: float = 40.0) -> DataFrame:
-    """Per caption (doc, page, caption, bbox) the region of the drawings above it (JOIN-11)."""
+#: How much of a region a background must hold, and how often its area it may have.
+BACKGROUND_HOLDS, BACKGROUND_AREAS = 0.95, 1.9
+
+
+def captioned_figures(
+    captions: DataFrame, drawings: DataFrame, page: Column, up: float = 380.0, aside: float = 90.0, least: float = 40.0, backgrounds: DataFrame | None = None
+) -> DataFrame:
+    """Per caption (doc, page, caption, bbox) the region of the drawings above it (JOIN-11).
+
+    The first of the backgrounds (doc, page, ord, bbox) that holds the region and
+    isn't much larger takes its place.
+    """
     d = drawings.select("doc", "page", F.col("bbox").alias("d"))
     c = F.col("bbox")
     gap = F.greatest(c["x0"] - F.col("d.x1"), F.col("d.x0") - c["x1"], F.lit(0.0))
     near = captions.join(d, ["doc", "page"]).where((gap <= aside) & (F.col("d.y0") <= c["y0"]) & (c["y0"] - F.col("d.y1") <= up))
     union = near.groupBy("doc", "page", "caption", "bbox").agg(rect(F.min("d.x0"), F.min("d.y0"), F.max("d.x1"), F.max("d.y1")).alias("all"))
+    if backgrounds is not None:
+        behind = backgrounds.select("doc", "page", "ord", clip(F.col("bbox"), page).alias("back"))
+        fits = contained(F.col("all"), F.col("back"), BACKGROUND_HOLDS) & (area(F.col("back")) <= area(F.col("all")) * BACKGROUND_AREAS)
+        first = union.join(behind, ["doc", "page"]).where(fits).groupBy("doc", "page", "caption").agg(F.min_by("back", "ord").alias("back"))
+        union = union.join(first, ["doc", "page", "caption"], "left").withColumn("all", F.coalesce("back", "all"))
     grown = widen(F.col("all"), 10.0, page)
     cut = rect(grown["x0"], grown["y0"], grown["x1"], F.least(grown["y1"], c["y0"] - 2))
     return union.select("doc", "page", "caption", cut.alias("figure")).where((F.col("figure.x1") - F.col("figure.x0") >= least) & (F.col("figure.y1") - F.col("figure.y0") >= least))
@@ -104,10 +119,15 @@ def clusters(rects: DataFrame, keys: list[str], gap: float = 6.0) -> DataFrame:
     return flat.groupBy(*keys).applyInPandas(join, ",".join(f"{k} {types[k]}" for k in keys) + ",x0 double,y0 double,x1 double,y1 double")
 
 
-def figure_regions(captions: DataFrame, drawings: DataFrame, page: Column, gap: float = 6.0) -> DataFrame:
-    """Rows doc, page, x0, y0, x1, y1, kind: the captioned figures of pages that have any, the clusters of drawings of the others (JOIN-20)."""
+def figure_regions(captions: DataFrame, drawings: DataFrame, page: Column, gap: float = 6.0, backgrounds: DataFrame | None = None) -> DataFrame:
+    """Rows doc, page, x0, y0, x1, y1, kind: the captioned figures of pages that have any, the clusters of drawings of the others (JOIN-20).
+
+    Backgrounds are drawings too where clusters are made.
+    """
     sides = ("x0", "y0", "x1", "y1")
-    found = captioned_figures(captions, drawings, page).select("doc", "page", *[F.col(f"figure.{s}").cast("double").alias(s) for s in sides])
+    found = captioned_figures(captions, drawings, page, backgrounds=backgrounds).select("doc", "page", *[F.col(f"figure.{s}").cast("double").alias(s) for s in sides])
+    if backgrounds is not None:
+        drawings = drawings.select("doc", "page", "bbox").unionByName(backgrounds.select("doc", "page", "bbox"))
     rest = drawings.join(found.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
     return found.withColumn("kind", F.lit("captioned")).unionByName(clusters(rest, ["doc", "page"], gap).withColumn("kind", F.lit("cluster")))
 
@@ -272,12 +292,6 @@ def filled_boxes(pixels: DataFrame, fills: DataFrame, keys: list[str], order: st
     return painted.select(*keys, "x", "y", *[F.coalesce(F.col(f"_top.{c}"), F.col(c)).alias(c) for c in "rgb"])
 
 
-def background_of(content: Column, background: Column, page: Column, most: float = 4.0) -> Column:
-    """The background rectangle if it holds the content and isn't much larger, else the content."""
-    b = clip(background, page)
-    return F.when(contained(content, b, 0.95) & (area(b) <= area(content) * most), b).otherwise(content)
-
-
 def page_markdown(elements: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The Markdown of each page from its elements in order: keys, markdown (WIN-06).
 

@@ -83,3 +83,15 @@ def test_regions_of_figures(spark):
         (2, "cluster", 0.0, 0.0, 90.0, 50.0), (2, "cluster", 300.0, 300.0, 310.0, 310.0), (3, "cluster", 0.0, 100.0, 9.0, 109.0),
     ]
     assert layout.figure_regions(captions.limit(0), drawings.limit(0), page).count() == 0
+
+
+def test_backgrounds_of_figures(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    captions = spark.createDataFrame([(1, p, p, (100.0, 300.0, 200.0, 310.0)) for p in (1, 2)], f"doc int, page int, caption int, bbox {box}")
+    drawings = spark.createDataFrame([(1, p, (100.0, 200.0, 200.0, 280.0)) for p in (1, 2)], f"doc int, page int, bbox {box}")
+    # Too large, half of the region, fitting twice; on the third page nothing but a background.
+    behind = [(1, 1, (0.0, 0.0, 600.0, 300.0)), (1, 2, (100.0, 200.0, 150.0, 280.0)), (1, 3, (90.0, 195.0, 210.0, 285.0)), (1, 4, (95.0, 195.0, 205.0, 285.0)), (3, 1, (5.0, 5.0, 60.0, 60.0))]
+    backgrounds = spark.createDataFrame([(1, p, o, b) for p, o, b in behind], f"doc int, page int, ord int, bbox {box}")
+    page = shapes.rect(F.lit(0), F.lit(0), F.lit(600), F.lit(800))
+    got = sorted((r["page"], r["kind"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in layout.figure_regions(captions, drawings, page, backgrounds=backgrounds).collect())
+    assert got == [(1, "captioned", 80.0, 185.0, 220.0, 295.0), (2, "captioned", 90.0, 190.0, 210.0, 290.0), (3, "cluster", 5.0, 5.0, 60.0, 60.0)]
