@@ -109,4 +109,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
 FROM m
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_warc": OP2, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}
+#: Checksum of the column ``x`` (CRC-32, four bits a step). The remainders of the 16 values of four bits.
+_CRC = r"""xor(list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(range(0, 2 * strlen(x)), lambda i: (instr('0123456789ABCDEF', substr(hex(encode(x)), (xor(i, 1) + 1)::BIGINT, 1)) - 1)::UBIGINT)),
+    lambda s, b: xor(s >> 4, ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::UBIGINT[])[((xor(s, b) & 15) + 1)::BIGINT])), 4294967295::UBIGINT)"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, {_ITEM} AS w FROM documents),
+b AS (SELECT {_ITEM} AS w FROM benchmark),
+df AS (
+  SELECT doc_id, x, count(*) AS c FROM (
+    SELECT doc_id, unnest(w) AS x FROM d UNION ALL
+    SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM d)
+  GROUP BY doc_id, x),
+bf AS (
+  SELECT x, count(*) AS c FROM (
+    SELECT unnest(w) AS x FROM b UNION ALL
+    SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM b)
+  GROUP BY x),
+sums AS (SELECT x, {_CRC} % 10000 AS k FROM (SELECT x FROM df UNION SELECT x FROM bf)),
+s AS (SELECT k, sum(c) AS s FROM df JOIN sums USING (x) GROUP BY k),
+t AS (SELECT k, sum(c) AS t FROM bf JOIN sums USING (x) GROUP BY k),
+gain AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(c) FROM df)::DOUBLE + 10000)
+           / ((s::DOUBLE + 1) * ((SELECT coalesce(sum(c), 0) FROM bf)::DOUBLE + 10000))))::BIGINT AS g
+  FROM s LEFT JOIN t USING (k)),
+weights AS (SELECT doc_id, sum(c)::BIGINT AS n, floor(sum(c * g)::DOUBLE / sum(c)::DOUBLE)::BIGINT AS weight FROM df JOIN sums USING (x) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, (25 * count(*) OVER ()) // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+OP13 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w
+  FROM documents),
+sums AS (SELECT w, {_CRC} AS h FROM (SELECT w, doc_id || ':' || w AS x FROM runs WHERE length(w) >= 7)),
+words AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM sums)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+gone AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION
+  SELECT a.word, a.n, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word UNION
+  SELECT b.word, b.n, a.word, a.n FROM gone a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word, n),
+forms AS (SELECT word, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n, n_near FROM best),
+path AS (
+  SELECT word, form AS stop, 1 AS step FROM forms WHERE form IS NOT NULL UNION ALL
+  SELECT path.word, forms.form, step + 1 FROM path JOIN forms ON path.stop = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(stop, step) AS root FROM path GROUP BY word)
+SELECT words.word, form, coalesce(root, words.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)
+"""
+
+SQL: dict[str, str] = {"op12_importance_resampling": OP12, "op13_spelling_variants": OP13, "op1_substring_dedup": OP1, "op2_warc": OP2, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}

@@ -13,7 +13,9 @@ from .licenses import scan_licenses
 from .line_quality import judge_documents
 from .order_minhash import near_duplicates
 from .packing import pack_documents
+from .resample import resample
 from .simple8b import read_token_files, write_token_files
+from .spelling import spelling_variants
 from .substring import remove_repeats
 from .toxicity import fold, score_documents, train
 from .url_cascade import Rule, judge_urls
@@ -99,6 +101,15 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -110,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_line_quality": op10_line_quality,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 
