@@ -169,4 +169,27 @@ SELECT words.word, form, coalesce(root, words.word) AS root, n, coalesce(n_near,
 FROM words LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)
 """
 
-SQL: dict[str, str] = {"op12_importance_resampling": OP12, "op13_spelling_variants": OP13, "op1_substring_dedup": OP1, "op2_warc": OP2, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+ranked AS (
+  SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS place
+  FROM (SELECT doc_id, g, count(*) OVER (PARTITION BY g) AS df FROM shingles) JOIN sizes USING (doc_id)),
+prefix AS (SELECT doc_id, g, n FROM ranked WHERE 100 * (place - 1) <= 15 * n),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb
+  FROM prefix a JOIN prefix b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+links AS (
+  SELECT a, b FROM (SELECT a, b, na, nb, count(*) AS m FROM pairs JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND x.g = y.g GROUP BY a, b, na, nb)
+  WHERE 100 * m >= 85 * (na + nb - m)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT ends.b, reach.c FROM reach JOIN ends ON reach.a = ends.a)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op11_jaccard_components": OP11, "op12_importance_resampling": OP12, "op13_spelling_variants": OP13, "op1_substring_dedup": OP1, "op2_warc": OP2, "op9_decontamination": OP9, "op7_url_cascade": OP7, "op10_line_quality": OP10}

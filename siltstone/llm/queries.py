@@ -14,6 +14,7 @@ from .line_quality import judge_documents
 from .order_minhash import near_duplicates
 from .packing import pack_documents
 from .resample import resample
+from .signature_tree import jaccard_components
 from .simple8b import read_token_files, write_token_files
 from .spelling import spelling_variants
 from .substring import remove_repeats
@@ -101,6 +102,10 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_line_quality": op10_line_quality,
+    "op11_jaccard_components": op11_jaccard_components,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_spelling_variants": op13_spelling_variants,
 }
