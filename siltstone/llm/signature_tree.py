@@ -5,10 +5,10 @@ Two nodes link when their intersection is 85 % of their union or more.
 
 Which sets can link at all is found with prefixes: if both sets are sorted in one
 order of shingles, and floor(15 n / 100) + 1 of each are taken from its beginning,
-two linked sets have one of these in common. First the order is that of hashes,
-which needs no counts; for the sets left it is from rare to frequent shingles, so a
-passage that many documents share is in a prefix only where hardly anything else
-is. Sets that share such keys, directly or by way of others, are a family.
+two linked sets have one of these in common. The order is from rare to frequent
+shingles, so a passage that many documents share is in a prefix only where hardly
+anything else is. Sets that share such keys, directly or by way of others, are a
+family.
 
 Within a family sets are compared by signature trees. A set's signature is a bitmap
 in which each shingle marks a bit, its leaf. Nodes hold the OR of the bitmaps below,
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,8 @@ from .words import LOWER, SPACES, find_words, mix, rolling, sliced, text_bytes
 K, PERCENT = 4, 85
 #: Sets and shingles of a tree at most, about, and children of a node.
 BLOCK, BLOCK_SHINGLES, FAN = 128, 1 << 17, 8
+#: Shingles whose counts are found in one task, about.
+BUCKET = 1 << 20
 #: Shingles of the small families that are put into one task, about.
 PACK = 1 << 19
 _U = np.uint64
@@ -86,20 +88,21 @@ def shingle_sets(code: np.ndarray, first: np.ndarray, k: int = K) -> tuple[np.nd
     return x, np.searchsorted(of, np.arange(len(count) + 1))
 
 
-SETS = T.StructType(
+BATCH = T.StructType(
     [
-        T.StructField("row", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("whole", T.BinaryType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("batch", T.LongType()),
+        T.StructField("rows", T.ArrayType(T.LongType())),
+        T.StructField("ids", T.ArrayType(T.LongType())),
+        T.StructField("n", T.ArrayType(T.LongType())),
+        T.StructField("whole", T.ArrayType(T.BinaryType())),
+        T.StructField("counts", T.BinaryType()),
         T.StructField("words", T.BinaryType()),
     ]
 )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Per text the size of its set, 128 bits that stand for it, its prefix by hash, and its words as codes of 32 bits."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for some texts together: their ids, the sizes of their sets, 128 bits that stand for each set, and all words as codes of 32 bits."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for t in sliced(batches):
         buf, offsets = text_bytes(t.column("text"))
@@ -111,20 +114,16 @@ def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         for seed in (0, 0xD6E8FEB86659FD93):
             sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(x ^ _U(seed)))])
             marks.append(mix(sums[first[1:]] - sums[first[:-1]] + n.astype(_U)))
-        whole = np.stack(marks, 1).astype("<u8") if len(n) else np.empty((0, 2), "<u8")
-        p = prefix_length(n, percent)
-        doc = np.repeat(np.arange(len(n)), n)
-        keys = x[np.arange(len(x)) - first[doc] < p[doc]].view(np.int64)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "row": t.column("row").combine_chunks(),
-                "id": t.column("id").combine_chunks(),
-                "n": pa.array(n, pa.int64()),
-                "whole": pa.array([r.tobytes() if m else None for r, m in zip(whole, n, strict=True)], pa.binary()),
-                "keys": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(p)), pa.int32()), pa.array(keys)),
-                "words": pa.array([squeeze.compress(code[w.first[d] : w.first[d + 1]].tobytes()) if m else None for d, m in enumerate(n)], pa.binary()),
-            }
-        )
+        whole = [r.tobytes() if m else None for r, m in zip(np.stack(marks, 1).astype("<u8"), n, strict=True)]
+        rows = t.column("row").to_pylist()
+        lists = {"rows": [rows], "ids": [t.column("id").to_pylist()], "n": [n.tolist()], "whole": [whole]}
+        blobs = {"counts": [w.counts.astype("<i8").tobytes()], "words": [squeeze.compress(code.tobytes())]}
+        yield pa.RecordBatch.from_pydict({"batch": pa.array([rows[0]], pa.int64())} | {k: pa.array(v, pa.list_(pa.binary() if k == "whole" else pa.int64())) for k, v in lists.items()} | {k: pa.array(v, pa.binary()) for k, v in blobs.items()})
+
+
+def _opened(counts: bytes, words: bytes, open_: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a batch's words, and where those of each text begin."""
+    return np.frombuffer(open_.decompress(words), "<u4"), np.append(0, np.cumsum(np.frombuffer(counts, "<i8")))
 
 
 def _set_of(words: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -132,34 +131,113 @@ def _set_of(words: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
     return shingle_sets(code, np.array([0, len(code)]))[0]
 
 
-SHINGLES = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "id", "n")])
+def _cells(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Shingles as bucket (by their upper half) and 32 bits: where two of these are equal by chance, counts are only higher."""
+    return ((x >> _U(32)) * _U(buckets) & _U(0xFFFFFFFF00000000)) | (x & _U(0xFFFFFFFF))
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_ = zstandard.ZstdDecompressor()
-    for t in batches:
-        for row, words in zip(t.column(0).to_pylist(), t.column(1), strict=True):
-            x = _set_of(words.as_py(), open_).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(x), "id": pa.array(np.full(len(x), row)), "n": pa.array(np.full(len(x), len(x)))})
+def _packed(ascending: np.ndarray) -> bytes:
+    """Numbers of 32 bits in ascending order, as their differences with equal places of bytes side by side."""
+    steps = np.diff(ascending, prepend=np.zeros(1, np.uint32)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
+ASKED = T.StructType([T.StructField("batch", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("cells", T.BinaryType()), T.StructField("sets", T.BinaryType())])
+ANSWERED = T.StructType([T.StructField("batch", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("df", T.BinaryType())])
+
 
+def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of a batch by bucket, and how many of its sets have each (255 at most): a frequent one is one entry a batch."""
+    open_, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        for batch, counts, words in zip(*(b.column(b.schema.get_field_index(c)) for c in ("batch", "counts", "words")), strict=True):
+            x = shingle_sets(*_opened(counts.as_py(), words.as_py(), open_))[0]
+            cells, many = np.unique(_cells(x, buckets), return_counts=True)
+            bucket = (cells >> _U(32)).astype(np.int64)
+            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+            low, many = cells.astype(np.uint32), np.minimum(many, 255).astype(np.uint8)
+            ends = np.append(at[1:], len(bucket))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "batch": pa.array([batch.as_py()] * len(at), pa.int64()),
+                    "bucket": pa.array(bucket[at], pa.int64()),
+                    "cells": pa.array([_packed(low[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()),
+                    "sets": pa.array([squeeze.compress(many[i:j].tobytes()) for i, j in zip(at, ends, strict=True)], pa.binary()),
+                }
+            )
 
-def _rare_keys(live: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, id) of the prefixes from rare to frequent shingles, of the keys that several sets have, written.
 
-    A shingle that only one set has is in the prefix but leads to no other set, so
-    sets with enough of these are out. Counts are of the sets of ``live``, in
-    which both of two linked sets are.
+def _answer(t: pa.Table) -> pa.Table:
+    """How many sets of all batches have each shingle of a bucket, 255 at most, in the order asked."""
+    cells = [_unpacked(c.as_py()) for c in t.column("cells")]
+    many = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(c.as_py()), np.uint8) for c in t.column("sets")])
+    values, code = np.unique(np.concatenate(cells), return_inverse=True)
+    df = np.minimum(np.bincount(code, many, len(values)), 255).astype(np.uint8)[code]
+    squeeze = zstandard.ZstdCompressor(level=1)
+    parts = np.split(df, np.cumsum([len(c) for c in cells])[:-1])
+    return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "df": pa.array([squeeze.compress(p.tobytes()) for p in parts], pa.binary())})
+
+
+LIVE = T.StructType(
+    [T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())]
+)
+
+
+def _prefixes(asked: pa.Table, answers: pa.Table, buckets: int, percent: int) -> pa.Table:
+    """Of a batch the sets that may link: those with fewer shingles of their own than the prefix is long, with what else is in it."""
+    open_, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    counts, words, rows = (asked.column(c)[0].as_py() for c in ("counts", "words", "rows"))
+    code, begin = _opened(counts, words, open_)
+    x, first = shingle_sets(code, begin)
+    n = np.diff(first)
+    answers = answers.sort_by("bucket")
+    df = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(a.as_py()), np.uint8) for a in answers.column("df"))])
+    df = df[np.unique(_cells(x, buckets), return_inverse=True)[1]]
+    doc = np.repeat(np.arange(len(n)), n)
+    alone = np.bincount(doc[df < 2], minlength=len(n))
+    left = prefix_length(n, percent) - alone
+    pick = np.flatnonzero((df > 1) & (left[doc] > 0))
+    pick = pick[np.lexsort((x[pick], df[pick], doc[pick]))]
+    start = np.searchsorted(doc[pick], np.arange(len(n) + 1))
+    pick = pick[np.arange(len(pick)) - start[doc[pick]] < left[doc[pick]]]
+    start = np.searchsorted(doc[pick], np.arange(len(n) + 1))
+    live = np.flatnonzero(np.diff(start))
+    return pa.table(
+        {
+            "row": pa.array([rows[d] for d in live], pa.int64()),
+            "n": pa.array(n[live], pa.int64()),
+            "keys": pa.array([x[pick[start[d] : start[d + 1]]].view(np.int64) for d in live], pa.list_(pa.int64())),
+            "words": pa.array([squeeze.compress(code[begin[d] : begin[d + 1]].tobytes()) for d in live], pa.binary()),
+        }
+    )
+
+
+def _live_sets(batches: DataFrame, n_shingles: int, percent: int) -> DataFrame:
+    """Rows (row, n, keys, words) of the texts that may link, written. ``keys`` is the prefix from rare to frequent shingles.
+
+    A shingle that only one text has is in the prefix but leads to no other set.
+    Texts with enough of these are out. Counts come and go packed: a batch asks for
+    its distinct shingles by bucket, and gets a byte for each. Equal texts are
+    counted one by one here, which makes their shingles seem more frequent; any
+    order that is the same for all sets will do.
     """
-    rows = written(live.select("row", "words").mapInArrow(_shingles, SHINGLES), "shingles")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.hint("merge").join(sizes, "key")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
-    have = F.count("*").over(Window.partitionBy("id"))
-    length = F.expr(f"n - ({percent} * n + 99) DIV 100 + 1")
-    prefix = shared.withColumn("rank", rank).withColumn("alone", F.col("n") - have).where(F.col("rank") <= length - F.col("alone"))
-    prefix = written(prefix.select("key", "id"), "prefixes")
-    again = prefix.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    return written(prefix.hint("merge").join(again, "key"), "rare-keys")
+    buckets = n_shingles // BUCKET + 1
+    asked = batches.select("batch", "counts", "words").mapInArrow(lambda b: _ask(b, buckets), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWERED)
+    some = batches.select("batch", "rows", "counts", "words").groupBy("batch")
+    return written(some.cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: _prefixes(a, b, buckets, percent), LIVE), "live-texts")
+
+
+def _shared_keys(live: DataFrame) -> DataFrame:
+    """Rows (key, id) of the keys that several sets have, written."""
+    rows = live.select(F.explode("keys").alias("key"), F.col("row").alias("id"))
+    often = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    return written(rows.hint("merge").join(often, "key"), "shared-keys")
 
 
 def _families(shared: DataFrame) -> DataFrame:
@@ -401,17 +479,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     ship_code(spark)
     with scratch() as keep:
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-        known = written(rows.mapInArrow(lambda b: _sets(b, percent), SETS), "sets")
+        batches = written(rows.mapInArrow(_batches, BATCH), "batches")
+        known = batches.select(F.explode(F.arrays_zip(F.col("rows").alias("row"), F.col("ids").alias("id"), "n", "whole")).alias("d")).select("d.*")
         some = known.where("id IS NOT NULL AND n > 0")
         nodes = some.groupBy("whole").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("copies"))
         nodes = written(nodes.select("whole", F.col("first.id").alias("rep"), F.col("first.row").alias("row"), "copies"), "nodes")
         copies = some.select("id", "whole").hint("merge").join(nodes.where("copies > 1").select("whole", "rep"), "whole").where("id <> rep")
-        keyed = known.select("row", "keys").hint("merge").join(nodes.select("row"), "row").select(F.explode("keys").alias("key"), F.col("row").alias("id"))
-        keyed = written(keyed, "hash-keys")
-        often = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-        alive = keyed.hint("merge").join(often, "key").select(F.col("id").alias("row")).distinct()
-        live = written(known.select("row", "n", "words").hint("merge").join(alive, "row"), "live-sets")
-        classes = _set_links(live, _rare_keys(live, percent), percent)
+        n_shingles = known.agg(F.sum("n")).first()[0] or 0
+        live = _live_sets(batches, n_shingles, percent)
+        live = written(live.hint("merge").join(nodes.select("row"), "row"), "live-sets")
+        classes = _set_links(live, _shared_keys(live), percent)
         reps = classes.hint("merge").join(nodes.select(F.col("row").alias("id"), "rep"), "id")
         heads = reps.groupBy("class").agg(F.min("rep").alias("head"))
         edges = reps.hint("merge").join(heads, "class").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
