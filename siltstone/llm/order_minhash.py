@@ -1,20 +1,23 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 K-mers of five words are labelled with their occurrence in the document. Each of
-24 sketches takes the 4 k-mers with the smallest hashes under a hash function of
+32 sketches takes the 2 k-mers with the smallest hashes under a hash function of
 its own, and keeps them in the order of the text: its key is equal for two
 documents if these k-mers are the same and stand in the same order, so sketches
 follow edit similarity rather than that of sets. Documents with an equal key are
-candidates. They are verified by aligning their sequences of k-mers within a
-band, which gives the most k-mers m that both have in the same order; the
-similarity is m / (a + b - m) for a and b k-mers, and 0.8 or more links them. A
-long pair that is similar to 0.8 shares a given key with a probability of about
-0.8 ** 4 = 0.41, and at least one of 24 with more than 0.99999. Shorter ones share
-a key less often, at worst 1 in 3 (one of more than 0.9999), but for texts of 4 to
-6 k-mers: some of their keys are of whole sequences and of sequences with one
-k-mer left out, so that all similar pairs of 4 and 5 or 5 and 6 share one surely.
-For the alignment a word is 16 bits of its hash, so one pair of different words in
-65,536 passes for equal there.
+candidates. They are verified by aligning their words within a band, which gives
+the most words m that both have in the same order; the similarity is
+m / (a + b - m) for a and b words, and 0.8 or more links them: copies with up to a
+ninth of their words changed. An edited word takes five k-mers with it, so of a
+copy with a tenth of its words changed at random about 0.59 of the k-mers are
+left, 0.42 of the union of both. It shares a given key with a probability of about
+0.42 ** 2 = 0.17, and at least one of 32 with 0.997. A copy with a twentieth of its
+words changed shares one with more than 0.99999. Texts of few words share a key
+less often, as an edit in the middle may leave them no two k-mers; some keys of
+texts of 2 to 4 k-mers are of whole sequences and of sequences with one k-mer left
+out, so that those one k-mer apart share one surely. For the alignment a word is
+16 bits of its hash, so one pair of different words in 65,536 passes for equal
+there.
 
 Copies are put together first, by their whole word sequence. A group of equal
 keys isn't compared pairwise: its documents are compared with its most central
@@ -40,7 +43,9 @@ from .store import scratch, ship_code, shuffle_partitions, written
 from .substring import whole_hashes
 from .words import SPACES, find_words, mix, rolling, sliced, text_bytes, whole_windows
 
-K, SKETCHES, DEPTH, SIMILARITY = 5, 24, 4, 0.8
+K, SKETCHES, DEPTH, SIMILARITY = 5, 32, 2, 0.8
+#: K-mers of a text among which the smallest ones are looked for, about.
+PASS = 16
 _U = np.uint64
 _MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -83,7 +88,7 @@ def _folded(rows: np.ndarray) -> np.ndarray:
 
 
 def _short_keys(keys: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
-    """Put sure keys for texts of n = 4 to 6 k-mers in the place of some sketches.
+    """Put sure keys for texts of n = 2 to 4 k-mers in the place of some sketches.
 
     Whole sequences of n and those of n + 1 with one left out have the same
     columns, so texts that are one k-mer apart have an equal key there.
@@ -102,14 +107,14 @@ def _short_keys(keys: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
 def sketches(x: np.ndarray, first: np.ndarray, plain: np.ndarray | None = None) -> np.ndarray:
     """Keys (texts x SKETCHES) of labelled k-mers; every text must have a k-mer.
 
-    Per hash function only k-mers below a threshold that about 24 of a text pass
+    Per hash function only k-mers below a threshold that about 16 of a text pass
     are sorted; a text in which fewer than DEPTH pass is sorted whole. ``plain``:
     the k-mers without labels, for the sure keys of short texts.
     """
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     want = np.minimum(n, DEPTH)
-    limit = np.where(n > 24, (24 / np.maximum(n, 1) * 2.0**64).clip(0, 2.0**64 - 2048).astype(_U), _U(2**64 - 1))[doc]
+    limit = np.where(n > PASS, (PASS / np.maximum(n, 1) * 2.0**64).clip(0, 2.0**64 - 2048).astype(_U), _U(2**64 - 1))[doc]
     out = np.empty((len(n), SKETCHES), _U)
     for j, m in enumerate(_MULTIPLIERS):
         v = x * m
@@ -153,7 +158,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], text: str, doc_id: str) -> Iterat
         yield pa.RecordBatch.from_pydict(
             {
                 "id": ids.combine_chunks().take(pa.array(some)),
-                "n": pa.array(np.diff(first), pa.int32()),
+                "n": pa.array(w.counts[some], pa.int32()),
                 "whole": pa.array([whole[i] for i in some], pa.binary()),
                 "keys": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                 "words": pa.array(packed, pa.binary()),
@@ -166,15 +171,15 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
     What both begin and end with is matched at once. For the rest, the furthest
     reach on each diagonal is kept for a growing number of differences, within
-    the band of diagonals that ``least`` allows; runs of equal k-mers are skipped
+    the band of diagonals that ``least`` allows; runs of equal words are skipped
     with one comparison of slices.
     """
     la, lb = len(a), len(b)
-    # m >= least * (la + lb) / (1 + least), so at most so many k-mers stand unmatched in both together.
+    # m >= least * (la + lb) / (1 + least), so at most so many words stand unmatched in both together.
     most = int(la + lb - 2 * (least * (la + lb) / (1 + least)) + 1e-9)
     if abs(la - lb) > most:
         return 0.0
-    # K-mers that the other has at all can't be fewer than those in a common order.
+    # Words that the other has at all can't be fewer than those in a common order.
     common = min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
     if 2 * common < la + lb - most:
         return 0.0
@@ -230,14 +235,9 @@ def _differences(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def _kmers_of(words: bytes, expand_: zstandard.ZstdDecompressor) -> np.ndarray:
-    """The k-mers of a text from the 16-bit codes of its words."""
-    code = np.frombuffer(expand_.decompress(words), "<u2").astype(_U)
-    k = min(K, len(code))
-    out = np.zeros(len(code) - k + 1, _U)
-    for j in range(k):
-        out = out * _U(0x9E3779B97F4A7C15) + code[j : j + len(out)] + _U(1)
-    return (mix(out) >> _U(1)).astype(np.int64)
+def _words_of(words: bytes, expand_: zstandard.ZstdDecompressor) -> np.ndarray:
+    """The words of a text as codes of 16 bits."""
+    return np.frombuffer(expand_.decompress(words), "<u2").astype(np.int64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         for i in range(0, t.num_rows, 200):
             part = t.slice(i, 200)
             columns = {c: part.column(part.schema.get_field_index(c)) for c in part.schema.names}
-            s = [similarity(_kmers_of(x.as_py(), open_), _kmers_of(y.as_py(), open_), least) for x, y in zip(columns["wa"], columns["wb"], strict=True)]
+            s = [similarity(_words_of(x.as_py(), open_), _words_of(y.as_py(), open_), least) for x, y in zip(columns["wa"], columns["wb"], strict=True)]
             yield pa.RecordBatch.from_pydict({"a": columns["a"], "b": columns["b"], "similarity": pa.array(s, pa.float64())})
 
 
@@ -303,8 +303,8 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 SMALL = 16
 #: Orders in which larger groups are sorted for comparing neighbours.
 ORDERS = 3
-#: Documents and k-mers of a block at most, about. What is left of larger groups is compared block by block.
-BLOCK, BLOCK_KMERS = 128, 1 << 16
+#: Documents and words of a block at most, about. What is left of larger groups is compared block by block.
+BLOCK, BLOCK_WORDS = 128, 1 << 16
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
@@ -380,14 +380,14 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
 
     A pair is left out if it is in one class, also by links found here; if it
     shares an earlier key, whose group has it; or by its lengths or the number of
-    k-mers that the other text has at all, which rule out ``least``.
+    words that the other text has at all, which rule out ``least``.
     """
     ids, own, side, n = (t.column(c).to_numpy() for c in ("id", "class", "side", "n"))
     own = own.copy()
     keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
     group = t.column("key")[0].as_py()
     open_ = zstandard.ZstdDecompressor()
-    x = [_kmers_of(w.as_py(), open_) for w in t.column("words")]
+    x = [_words_of(w.as_py(), open_) for w in t.column("words")]
     code = np.unique(np.concatenate(x), return_inverse=True)[1]
     first = np.append(0, np.cumsum(n))
     flag = np.zeros(len(code), bool)
@@ -432,7 +432,7 @@ def _rest(rows: DataFrame, active: DataFrame, least: float) -> DataFrame:
     cell = ["key", "tier", "major"]
     own = own.join(top, "key").select("key", "id", "class", "n", F.floor(F.log("n") / step).alias("tier"), (F.col("class") == F.col("top")).alias("major"))
     own = written(own, "cells")
-    parts = own.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_KMERS)).alias("parts"))
+    parts = own.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("parts"))
     parts = written(parts, "cell-sizes")
     blocks = parts.select(*cell, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     x, y = (blocks.select("key", F.struct("tier", "major", "part").alias(s)) for s in "xy")
@@ -474,26 +474,34 @@ def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest id of its class) and copies (whether an equal text has a smaller id).
-
-    Classes are the connected components of the links. Texts with the same words
-    are one class. A null or wordless text is never linked; a null id gets a null
-    class. A text of fewer than five words is linked to equal ones only. Rows with
-    the same id are in the same class. Of equally central documents of a key the
-    one with the smallest id counts. Columns besides the two named aren't read, so
-    their names don't matter; an empty table gives an empty result.
+    """One row per document: doc_id, class_id (the smallest id of its class), copy (whether an equal text has a smaller id) and n_links.
+
+    Classes are the connected components of the links. ``n_links`` counts the
+    verified links between the document's text and different ones; pairs that
+    other links had put into one class before aren't compared, so of a large class
+    it has those that hold it together. Texts with the same words are one class. A
+    null or wordless text is never linked; a null id gets a null class. A text of
+    fewer than five words is linked to equal ones only. Rows with the same id are
+    in the same class. Ids must be whole numbers; others are an error. Of equally
+    central documents of a key the one with the smallest id counts. Columns besides
+    the two named aren't read, so their names don't matter; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     ship_code(spark)
     with scratch() as keep:
-        known = written(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: _sketch(b, "text", "id"), SKETCH), "sketches").where("id IS NOT NULL")
+        known = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: _sketch(b, "text", "id"), SKETCH), "sketches").where("id IS NOT NULL")
         first = written(known.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "texts")
         copies = written(known.select("id", "whole").join(first.where("n > 1").hint("merge"), "whole").where("id <> rep").select("id", "rep").distinct(), "copies")
         links = _rounds(known, first.select(F.col("rep").alias("id")).distinct(), least)
         classes = components(links.select("a", "b").unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
         classes = written(classes, "near-classes")
-        keep += [copies, classes]
-    out = docs.select(F.col(doc_id).alias("doc_id"))
+        ends = links.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+        of_copies = copies.hint("merge").join(ends.withColumnRenamed("id", "rep"), "rep").groupBy("id").agg(F.max("n_links").alias("n_links"))
+        counts = written(ends.unionByName(of_copies).groupBy("id").agg(F.max("n_links").alias("n_links")), "link-counts")
+        keep += [copies, classes, counts]
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     dup = copies.select(F.col("id").alias("doc_id"), F.lit(True).alias("copy")).distinct()
     out = out.join(classes.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id")), "doc_id", "left").join(dup, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    out = out.join(counts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
