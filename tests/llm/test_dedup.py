@@ -66,11 +66,6 @@ def test_words_and_windows():
     assert whole_windows(w, 2).tolist() == [0, 1, 2, 4] and r[0] == r[2] and r[1] == r[4]
 
 
-def shingles(t):
-    w = (t or "").encode().split()
-    return Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
-
-
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -81,6 +76,18 @@ def lcs(a, b):
     return row[-1]
 
 
+def near(x, y):
+    """Whether two texts link: 0.8 of their words in common order; texts of fewer than five words only if they are equal."""
+    x, y = (x or "").encode().split(), (y or "").encode().split()
+    if min(len(x), len(y)) < 5:
+        return bool(x) and x == y
+    most = sum((Counter(x) & Counter(y)).values())
+    if most < 0.8 * (len(x) + len(y) - most):
+        return False
+    m = len(x) if x == y else lcs(x, y)
+    return m >= 0.8 * (len(x) + len(y) - m)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_alignment_equals_longest_common_subsequence(seed):
     rng = random.Random(seed)
@@ -105,15 +112,11 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
             x = parent[x]
         return x
 
-    ids = sorted(i for i in texts if shingles(texts[i]))
-    for a in ids:
-        for b in ids:
-            if a < b:
-                x, y = shingles(texts[a]), shingles(texts[b])
-                m = sum((x & y).values())
-                if m / (sum(x.values()) + sum(y.values()) - m) >= 0.8:
-                    p, q = sorted((root(a), root(b)))
-                    parent[q] = p
+    for a in texts:
+        for b in texts:
+            if a < b and near(texts[a], texts[b]):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
     assert got == {i: root(i) for i in texts}
     assert got[1] == 1 and got[2] == 2 and got[3] == 3
 
@@ -137,7 +140,7 @@ def test_no_pair_of_a_large_group_is_left_out(spark):
             code = code.copy()
             code[j % 50] ^= 1
             keys = [77, *rng.integers(0, 2**62, om.SKETCHES - 1).tolist()]
-            rows.append((j, len(code) - om.K + 1, str(j).encode(), keys, zstandard.compress(code.tobytes())))
+            rows.append((j, len(code), str(j).encode(), keys, zstandard.compress(code.tobytes())))
     table = spark.createDataFrame(rows, om.SKETCH)
     links = om._rounds(table, table.select("id"), 0.8)
     assert {(r["a"], r["b"]) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(150)}
@@ -149,14 +152,18 @@ def test_drifting_family_equals_brute_force(spark, words):
     texts = [[rng.choice(words) for _ in range(90)]]
     for i in range(1, 400):
         w = list(texts[max(0, i - rng.randint(1, 20))])
-        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+        for _ in range(rng.choice([2, 4, 7, 11, 15])):
             w[rng.randrange(len(w))] = rng.choice(words)
         texts.append(w)
     got = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()}
-    grams = [np.array([hash(tuple(w[j : j + 5])) for j in range(len(w) - 4)]) for w in texts]
+    number = {w: i for i, w in enumerate(words)}
+    grams = [np.array([number[x] for x in w]) for w in texts]
+    w = find_words(*text_bytes(pa.array([" ".join(w) for w in texts])), SPACES)
+    x, first = om.kmers(w, w.hashes())
+    keys = om.sketches(om.labelled(x, first), first, x)
     want = list(range(len(texts)))
     for b in range(len(texts)):
-        for a in range(b):
+        for a in np.flatnonzero((keys[:b] == keys[b]).any(1)).tolist():  # pairs that share a key; that near ones do is tested by itself
             if want[a] != want[b] and om.similarity(grams[a], grams[b]):
                 p, q = sorted((want[a], want[b]))
                 want = [p if c == q else c for c in want]
@@ -169,27 +176,31 @@ def test_components_of_a_chain(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
-def test_sketch_recall_at_the_threshold():
-    """Pairs that are similar to 0.8 share a sketch."""
-    rng = np.random.default_rng(3)
-    missed = 0
-    for _ in range(60):
-        a = rng.integers(0, 2**63, 300, dtype=np.uint64)
-        b = a.copy()
-        b[rng.choice(300, 33, replace=False)] = rng.integers(0, 2**63, 33, dtype=np.uint64)  # 267 of 333: just over 0.8
-        x = om.labelled(np.concatenate([a, b]), np.array([0, 300, 600]))
-        k = om.sketches(x, np.array([0, 300, 600]))
-        missed += not (k[0] == k[1]).any()
-    assert missed == 0
+@pytest.mark.parametrize(("share", "least"), [(0.02, 1.0), (0.05, 1.0), (0.08, 0.99), (0.1, 0.98)])
+def test_recall_by_share_of_changed_words(spark, share, least):
+    """Copies of 200 words with so many of them changed at random places are in the class of their text; other texts aren't."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(150):
+        w = [rng.choice(vocabulary) for _ in range(200)]
+        rows.append((2 * i, " ".join(w)))
+        for j in rng.sample(range(200), round(share * 200)):
+            w[j] = "changed" + rng.choice(vocabulary)
+        rows.append((2 * i + 1, " ".join(w)))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in om.near_duplicates(frame(spark, rows)).collect()}
+    found = sum(got[2 * i + 1] == (2 * i, 1) for i in range(150))
+    assert found >= least * 150
+    assert all(got[2 * i][0] == 2 * i for i in range(150))
 
 
 def test_short_texts_one_word_apart_share_a_key():
-    """Texts of 4 and 5 or 5 and 6 k-mers, wherever the one word more stands, and with repeated k-mers."""
+    """Texts of 7 to 12 words that have one word more at an end, also with repeated k-mers."""
     import pyarrow as pa
 
     rng = random.Random(6)
     for _ in range(300):
-        n = rng.choice([9, 10])
+        n = rng.randint(7, 12)
         long = [rng.choice("abcdefghij" if rng.random() < 0.7 else "ab") + str(rng.randint(0, 3)) for _ in range(n)]
         short = long[1:] if rng.random() < 0.5 else long[:-1]
         w = find_words(*text_bytes(pa.array([" ".join(long), " ".join(short)])), SPACES)
@@ -204,5 +215,5 @@ def test_near_duplicates_null_texts_and_repeated_ids_in_a_large_group(spark, wor
     rows = [(i % 40, " ".join([*base[: i % 60], f"edit{i}", *base[i % 60 :]])) for i in range(80)] + [(i, None) for i in range(35, 45)] + [(None, " ".join(base))]
     docs = frame(spark, rows).withColumn("copy", F.lit("clash")).withColumn("words", F.lit(1))
     got = om.near_duplicates(docs)
-    assert got.columns == ["doc_id", "class_id", "copy"]
+    assert got.columns == ["doc_id", "class_id", "copy", "n_links"]
     assert Counter((r["doc_id"], r["class_id"]) for r in got.collect()) == Counter((i, None if i is None else 0 if i < 40 else i) for i, _ in rows)

@@ -14,7 +14,7 @@ from siltstone.llm import line_quality, queries
 from siltstone.llm.store import written
 
 from .conftest import frame
-from .test_dedup import brute_substring, shingles
+from .test_dedup import brute_substring, near
 from .test_filters import brute_clean, brute_contamination, item_words
 from .test_formats import check_packing
 
@@ -46,9 +46,7 @@ def test_stages_equal_plain_python(spark, corpus, tmp_path):
 
     for a in now:
         for b in now:
-            x, y = shingles(now[a]), shingles(now[b])
-            m = sum((x & y).values())
-            if a < b and m / (sum(x.values()) + sum(y.values()) - m) >= 0.8:
+            if a < b and near(now[a], now[b]):
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
     now = {i: t for i, t in now.items() if root(i) == i}
