@@ -166,22 +166,41 @@ def _sketch(batches: Iterator[pa.RecordBatch], text: str, doc_id: str) -> Iterat
         )
 
 
+def _bigrams(words: np.ndarray) -> np.ndarray:
+    return words[:-1] * 65536 + words[1:]
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two bags."""
+    x, nx = np.unique(a, return_counts=True)
+    y, ny = np.unique(b, return_counts=True)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = y[at] == x if len(y) else np.zeros(len(x), bool)
+    return int(np.minimum(nx[same], ny[at[same]]).sum())
+
+
+def _least_bigrams(n, other, most):
+    """How many bigrams of a text of n words the other one must have, if at most ``most`` words stand unmatched in both.
+
+    An unmatched word of its own takes two bigrams away, one of the other text
+    that stands between two matched words one.
+    """
+    return n - 1 - most - (most + n - other) // 2
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """m / (len(a) + len(b) - m) for the longest common subsequence m, or 0 where that is below ``least``.
 
-    What both begin and end with is matched at once. For the rest, the furthest
-    reach on each diagonal is kept for a growing number of differences, within
-    the band of diagonals that ``least`` allows; runs of equal words are skipped
-    with one comparison of slices.
+    What both begin and end with is matched at once, the rest within the band of
+    diagonals that ``least`` allows.
     """
     la, lb = len(a), len(b)
     # m >= least * (la + lb) / (1 + least), so at most so many words stand unmatched in both together.
     most = int(la + lb - 2 * (least * (la + lb) / (1 + least)) + 1e-9)
     if abs(la - lb) > most:
         return 0.0
-    # Words that the other has at all can't be fewer than those in a common order.
-    common = min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
-    if 2 * common < la + lb - most:
+    if _overlap(_bigrams(a), _bigrams(b)) < max(_least_bigrams(la, lb, most), _least_bigrams(lb, la, most)):
         return 0.0
     n = min(la, lb)
     same = a[:n] == b[:n]
@@ -191,48 +210,37 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
     tail = int(np.argmin(same)) if n and not same.all() else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        m = head + tail
-    else:
-        d = _differences(a, b, most)
-        if d is None:
-            return 0.0
-        m = head + tail + (len(a) + len(b) - d) // 2
+    m = head + tail
+    if len(a) and len(b):
+        m += _in_order(a, b, most, max(0, -(-(la + lb - most) // 2) - m))
     s = m / (la + lb - m)
     return s if s >= least else 0.0
 
 
-def _differences(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Insertions and deletions between a and b, if at most ``most`` (the O(ND) algorithm, all diagonals of a step at once)."""
-    la, lb = len(a), len(b)
-    # Padding that equals nothing ends every run.
-    a = np.concatenate([a, [-1]])
-    b = np.concatenate([b, [-2]])
-    size = 2 * most + 3
-    reach = np.full(size, -1, np.int64)  # of diagonal k (place in a minus place in b) at k + most + 1
-    mid = most + 1
-    reach[mid + 1] = 0
-    for d in range(most + 1):
-        k = np.arange(-d, d + 1, 2)
-        down, right = reach[mid + k + 1], reach[mid + k - 1] + 1
-        x = np.where((k == -d) | ((k != d) & (right - 1 < down)), down, right)
-        ok = (x <= la) & (x - k <= lb) & (x - k >= 0) & (x >= 0)
-        k, x = k[ok], x[ok]
-        open_ = np.arange(len(k))
-        step = 16
-        while len(open_):  # along the diagonal, in steps that grow
-            at = x[open_][:, None] + np.arange(step)
-            bt = at - k[open_][:, None]
-            eq = a[np.minimum(at, la)] == b[np.minimum(bt, lb)]
-            run = np.where(eq.all(1), step, eq.argmin(1))
-            x[open_] += run
-            open_ = open_[run == step]
-            step = min(4 * step, 1024)
-        reach[mid - d : mid + d + 1 : 2] = -1
-        reach[mid + k] = x
-        if ((x >= la) & (x - k >= lb)).any():
-            return d
-    return None
+def _in_order(a: np.ndarray, b: np.ndarray, most: int, need: int) -> int:
+    """The longest common subsequence of a and b within a band of ``most`` places, or 0 where it is below ``need``.
+
+    A row of the alignment is one whole number with a bit a place of a, in which a
+    bit is 0 where the row gains a match (Hyyro's recurrence, with the matches of
+    a row cut to the band), so a word of b takes a few operations on it.
+    """
+    at: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row, left = full, len(b)
+    band = (1 << (2 * most + 1)) - 1
+    for j, w in enumerate(b.tolist()):
+        here = at.get(w, 0)
+        if here:
+            here &= band << (j - most) if j > most else band >> (most - j)
+            met = row & here
+            row = ((row + met) | (row - met)) & full
+        left -= 1
+        if not left & 63 and len(a) - row.bit_count() + left < need:
+            return 0
+    found = len(a) - row.bit_count()
+    return found if found >= need else 0
 
 
 def _words_of(words: bytes, expand_: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -380,7 +388,7 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
 
     A pair is left out if it is in one class, also by links found here; if it
     shares an earlier key, whose group has it; or by its lengths or the number of
-    words that the other text has at all, which rule out ``least``.
+    bigrams that both texts have, which rule out ``least``.
     """
     ids, own, side, n = (t.column(c).to_numpy() for c in ("id", "class", "side", "n"))
     own = own.copy()
@@ -388,8 +396,9 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
     group = t.column("key")[0].as_py()
     open_ = zstandard.ZstdDecompressor()
     x = [_words_of(w.as_py(), open_) for w in t.column("words")]
-    code = np.unique(np.concatenate(x), return_inverse=True)[1]
-    first = np.append(0, np.cumsum(n))
+    pairs = [_bigrams(w) for w in x]
+    code = np.unique(np.concatenate([*pairs, np.zeros(1, np.int64)]), return_inverse=True)[1]  # the last one so that every text begins within
+    first = np.append(0, np.cumsum([len(p) for p in pairs]))
     flag = np.zeros(len(code), bool)
     right = np.flatnonzero(side > 0)
     out = []
@@ -400,11 +409,11 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
         if not len(other):
             continue
         flag[code[first[i] : first[i + 1]]] = True
-        common = np.add.reduceat(flag[code], first[:-1], dtype=np.int64)[other]
+        common = np.where(np.diff(first) > 0, np.add.reduceat(flag[code], first[:-1], dtype=np.int64), 0)[other]
         flag[code[first[i] : first[i + 1]]] = False
-        both = (n[other] + n[i]).astype(np.int64)
-        most = (both - 2 * (least * both / (1 + least)) + 1e-9).astype(np.int64)  # as in ``similarity``
-        likely = np.flatnonzero(2 * common >= both - most)
+        size = n[other].astype(np.int64)
+        most = (size + n[i] - 2 * (least * (size + n[i]) / (1 + least)) + 1e-9).astype(np.int64)  # as in ``similarity``
+        likely = np.flatnonzero(common >= _least_bigrams(size, int(n[i]), most))
         for j in other[likely[np.argsort(-common[likely], kind="stable")]]:
             if own[i] == own[j]:
                 continue
