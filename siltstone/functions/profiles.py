@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .markdown import statistics
 from .names import asset_folder, base_name, markdown_path, profile_path, source_type, suffix
+from .rounding import half_even
 
 SCHEMA = "markdown-conversion.conversion_profile.v1"
 
@@ -41,9 +42,9 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def point_text(lon: Column, lat: Column, fmt: str = "text", digits: int = 6, lat_first: bool = False) -> Column:
     """A point as ``lon,lat`` (text and csv) or as JSON; null for a missing point."""
-    a, b = (F.bround(x, digits) for x in ((lat, lon) if lat_first else (lon, lat)))
+    a, b = (half_even(x, digits) for x in ((lat, lon) if lat_first else (lon, lat)))
     if fmt == "json":
-        return F.when(lon.isNotNull() & lat.isNotNull(), F.to_json(F.struct(F.bround(lon, digits).alias("lon"), F.bround(lat, digits).alias("lat"))))
+        return F.when(lon.isNotNull() & lat.isNotNull(), F.to_json(F.struct(half_even(lon, digits).alias("lon"), half_even(lat, digits).alias("lat"))))
     if fmt not in ("text", "csv"):
         raise ValueError(f"no format {fmt!r}")
     return F.when(a.isNotNull() & b.isNotNull(), F.format_string(f"%.{digits}f,%.{digits}f", a, b))

@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markdown import once
+
 
 def half_even(value: Column, digits: int) -> Column:
-    """Ties to even, as Python's round does for numbers that are exact."""
-    return F.bround(value, digits)
+    """A double rounded to decimal places as Python's round does it: by its exact value, ties to even.
+
+    2.675 is a little less than that in binary, so it becomes 2.67. The product
+    with the power of ten is split into a double and the rest that it leaves out
+    (Dekker's product), and that rest decides where the double alone is a tie.
+    Exact as long as the product is below 2 ** 52; numbers beyond, infinities and
+    NaN stay as they are. ``digits`` is 0 to 22.
+    """
+    scale = 10.0**digits
+    high = 134217729.0 * scale - (134217729.0 * scale - scale)
+    low = scale - high
+
+    def rounded(x: Column) -> Column:
+        product = x * scale
+        c = x * 134217729.0
+        x_high = c - (c - x)
+        x_low = x - x_high
+        rest = ((x_high * high - product) + x_high * low + x_low * high) + x_low * low
+        whole = F.rint(product)
+        part = product - whole
+        up = F.when((part == 0.5) & (rest > 0), 1.0).when((part == -0.5) & (rest < 0), -1.0).otherwise(0.0)
+        return F.when(F.abs(product) < 2.0**52, F.when(up == 0, whole).otherwise(whole + up) / scale).otherwise(x)
+
+    return once(value.cast("double"), rounded)
 
 
 def general(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import half_even
+
 #: What makes an image worth keeping.
 MIN_SIDE, MIN_AREA, MIN_BYTES, MIN_PAGE_SHARE, MAX_ASPECT, LOW_BYTES, LOW_AREA = 100, 30000, 2048, 0.05, 12, 0.08, 500000
 #: Units of length in English Metric Units, and colours by name.
@@ -143,11 +145,11 @@ def picture_kept(width: Column, height: Column, size: Column, drawn: tuple[Colum
 
 def ratio(width: Column, height: Column) -> Column:
     """Width by height with six digits; null unless both are positive (MTH-15)."""
-    return F.when((width > 0) & (height > 0), F.bround(width / height, 6))
+    return F.when((width > 0) & (height > 0), half_even(width / height, 6))
 
 
 def inches(emu: Column) -> Column:
-    return F.when(emu != 0, F.bround(emu / EMU["in"], 4))
+    return F.when(emu != 0, half_even(emu / EMU["in"], 4))
 
 
 def safe_position(value: Column) -> Column:

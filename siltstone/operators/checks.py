@@ -115,7 +115,10 @@ def merged_options(defaults: Column, own: Column) -> Column:
 def last_values(names: Column, values: Column) -> Column:
     """A map in which the last value of a name counts (AGG-15)."""
     def last(pairs: Column) -> Column:
-        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+        by_name = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("j"), p["v"].alias("v"))))
+        kept = once(by_name, lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i - 1)["k"] != p["k"], F.lit(True))))
+        placed = F.array_sort(F.transform(kept, lambda p: F.struct((-p["j"]).alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+        return F.transform(placed, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
 
     return F.map_from_entries(once(F.arrays_zip(names.alias("k"), values.alias("v")), last))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import general
+from ..functions.rounding import general, half_even
 from ..functions.windpower import BETZ, cp, theoretical_kw
 
 
@@ -32,7 +32,7 @@ def physical(summary: DataFrame, allow: bool = False) -> DataFrame:
 
 def fixed(value: Column, digits: int) -> Column:
     """A number with so many digits after the point, ties to even, or nothing for null."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))).otherwise("")
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", half_even(value, digits))).otherwise("")
 
 
 def csv_lines(points: DataFrame, key: str, order: str, wind: str = "wind", power: str = "power", digits: int = 6) -> DataFrame:

@@ -9,44 +9,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markdown import once
+from ..session import checkpointed
 
-CUE = "array<struct<start:string,text:string>>"
 
-
-def _cues(lines: Column, start: Column, drop_numbers: bool) -> Column:
+def _cues(content: Column, drop_numbers: bool) -> Column:
     """Cues of SRT or VTT lines: what stands between a timing line and the next blank or timing line.
 
-    A fold over the line array inside the row. In SRT blank lines right after the
-    timing are skipped and captions of digits alone are dropped (D17).
+    The numbers of the timing lines cut the line array into islands, each of which
+    is sliced once, so time grows with the lines. In SRT blank lines right after
+    the timing are skipped and captions of digits alone are dropped (D17).
     """
-    zero = F.struct(F.array().cast(CUE).alias("done"), F.lit(None).cast("string").alias("start"), F.array().cast("array<string>").alias("text"))
 
-    def close(acc: Column) -> Column:
-        full = acc["start"].isNotNull() & (F.size(acc["text"]) > 0)
-        cue = F.struct(acc["start"].alias("start"), F.array_join(acc["text"], " ").alias("text"))
-        return F.when(full, F.array_append(acc["done"], cue)).otherwise(acc["done"])
+    def text(body: Column) -> Column:
+        shown = once(body, lambda b: F.slice(b, F.greatest(F.array_position(F.transform(b, lambda x: x != ""), F.lit(True)), F.lit(1)).cast("int"), F.greatest(F.size(b), F.lit(0)))) if drop_numbers else body
+        return once(shown, lambda b: once(F.array_position(b, "").cast("int"), lambda e: F.slice(b, F.lit(1), F.when(e == 0, F.size(b)).otherwise(e - 1))))
 
-    def step(acc: Column, line: Column) -> Column:
-        s = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
-        timing = line.contains("-->")
-        opened = F.struct(close(acc).alias("done"), F.trim(F.substring_index(line, "-->", 1)).alias("start"), F.array().cast("array<string>").alias("text"))
-        waiting = (F.size(acc["text"]) == 0) & F.lit(drop_numbers)  # blank lines before the caption
-        closed = F.struct(close(acc).alias("done"), F.lit(None).cast("string").alias("start"), F.array().cast("array<string>").alias("text"))
-        number = s.rlike(r"^\d+$") & F.lit(drop_numbers)
-        more = F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.when(number, acc["text"]).otherwise(F.array_append(acc["text"], s)).alias("text"))
-        return F.when(timing, opened).when(acc["start"].isNull(), acc).when(s == "", F.when(waiting, acc).otherwise(closed)).otherwise(more)
+    def cue(lines: Column, at: Column, end: Column) -> Column:
+        body = F.transform(F.slice(lines, at + 1, end - at - 1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+        if drop_numbers:
+            body = F.filter(body, lambda x: ~x.rlike(r"^\d+$"))
+        return F.struct(F.trim(F.substring_index(F.element_at(lines, at), "-->", 1)).alias("start"), text(body).alias("text"))
+
+    def cut(lines: Column) -> Column:
+        timings = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).contains("-->"))
+        cues = once(timings, lambda t: F.transform(t, lambda at, k: cue(lines, at, F.coalesce(F.get(t, k + 1), F.size(lines) + 1))))
+        return F.transform(F.filter(cues, lambda c: F.size(c["text"]) > 0), lambda c: F.struct(c["start"].alias("start"), F.array_join(c["text"], " ").alias("text")))
 
-    return F.aggregate(lines, zero, step, close)
+    return once(F.split(content, "\r?\n", -1), cut)
 
 
 def srt_cues(content: Column) -> Column:
     """Array of (start, text) of a SubRip text."""
-    return _cues(F.split(content, "\r?\n", -1), F.lit(0), True)
+    return _cues(content, True)
 
 
 def vtt_cues(content: Column) -> Column:
     """The same for WebVTT. The header is skipped up to its first blank or timing line, so no cue is lost (D3 mended)."""
-    return _cues(F.split(content, "\r?\n", -1), F.lit(0), False)
+    return _cues(content, False)
 
 
 def ass_cues(content: Column) -> Column:
@@ -121,31 +120,104 @@ def _bullets(lines: Column) -> Column:
     return F.array_join(F.aggregate(lines, zero, step, lambda acc: acc["out"]), "\n")
 
 
-def batches(slots: DataFrame, group: str, order: str, size: str, max_chars: int = 8000, max_items: int = 20) -> DataFrame:
-    """The rows with ``batch`` (from 0): a new one begins where the characters or the items would exceed a limit.
+class _Batch:
+    """Batches of one group, row by row: a new one begins where the characters or the items would exceed a limit."""
+
+    def __init__(self, max_chars: int, max_items: int, chars: int = 0, items: int = 0, batch: int = 0) -> None:
+        self.max_chars, self.max_items = max_chars, max_items
+        self.chars, self.items, self.batch = chars, items, batch
+
+    def add(self, size: int) -> int:
+        if self.items and (self.chars + size > self.max_chars or self.items >= self.max_items):
+            self.chars, self.items, self.batch = 0, 0, self.batch + 1
+        self.chars, self.items = self.chars + size, self.items + 1
+        return self.batch
+
+    @property
+    def state(self) -> tuple[int, int, int]:
+        return self.chars, self.items, self.batch
+
+
+#: What a task says of its rows: the first and last group, whether they are one, the sizes that its first group begins
+#: with, the state (characters, items, batch) at the end of the first group if a batch begins at each of these rows,
+#: and that at the end of the last group if it begins here.
+_SUMMARY = "part int, first string, last string, one boolean, head array<bigint>, ends array<array<bigint>>, tail array<bigint>"
+
+
+def _summaries(frames: Iterator[pd.DataFrame], max_chars: int, max_items: int) -> Iterator[pd.DataFrame]:
+    part, first, last, head = None, None, None, []
+    runs: dict[int, _Batch] = {}  # batches that begin at a row of the head; those that meet go on as one
+    same: list[int] = []
+    tail = _Batch(max_chars, max_items)
+    for f in frames:
+        for p, g, n in zip(f["_part"], f["_key"], f["_size"], strict=True):
+            if part is None:
+                part, first, last = p, g, g
+            if g != last:
+                last, tail = g, _Batch(max_chars, max_items)
+            tail.add(n)
+            if g == first:
+                if len(head) < max_items:
+                    head.append(n)
+                    same.append(len(head) - 1)
+                    runs[len(head) - 1] = _Batch(max_chars, max_items)
+                for r in runs.values():
+                    r.add(n)
+    if part is not None:
+        ends = [list(runs[i].state) for i in same]
+        yield pd.DataFrame({"part": [part], "first": [first], "last": [last], "one": [first == last], "head": [head], "ends": [ends], "tail": [list(tail.state)]})
+
+
+def _entries(summaries: list, max_chars: int, max_items: int) -> dict[int, tuple[int, int, int]]:
+    """The state that each task's first group is in where its rows begin, from the tasks before."""
+    out, before, key = {}, (0, 0, 0), None
+    for s in sorted(summaries, key=lambda s: s["part"]):
+        now = _Batch(max_chars, max_items, *(before if key == s["first"] else (0, 0, 0)))
+        out[s["part"]] = now.state
+        for i, n in enumerate(s["head"]):
+            old, fresh = now.batch, not now.items
+            if now.add(n) != old or fresh:  # a batch begins here, so all that follows is known
+                chars, items, more = s["ends"][i]
+                now = _Batch(max_chars, max_items, chars, items, now.batch + more)
+                break
+        before, key = (now.state if s["one"] else tuple(s["tail"])), s["last"]
+    return out
+
 
-    The sum starts afresh with each batch, which no window frame expresses, so
-    rows are dealt by group and sorted, and each task folds its groups as they
-    stream past; memory doesn't depend on a group's size.
+def batches(slots: DataFrame, group: str, order: str, size: str, max_chars: int = 8000, max_items: int = 20) -> DataFrame:
+    """The rows with ``batch`` (from 0): a new one begins where the characters or the items would exceed a limit (WIN-01).
+
+    The sum starts afresh with each batch, which no window frame expresses. Rows
+    are dealt by ranges of group and order, so a large group is in many tasks. Each
+    task first says how its first group would go on from any row at which a batch
+    can begin, which is one of the first ``max_items``; a few numbers a task come
+    to the driver, which follows them from task to task. Then every task numbers
+    its rows from the state that it begins in. A null group is a group of its own,
+    a null size counts 0; rows of equal order are in any order.
     """
-    schema = f"{slots.schema.simpleString()[7:-1]},batch:bigint"
     names = slots.columns
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, chars, items, batch = object(), 0, 0, 0
+    schema = f"{slots.schema.simpleString()[7:-1]},batch:bigint"
+    spark = slots.sparkSession
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = slots.repartitionByRange(parts, group, order).sortWithinPartitions(group, order)
+    kept = checkpointed(dealt.select(*names, F.spark_partition_id().alias("_part"), key.alias("_key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("_size")))
+    summaries = kept.select("_part", "_key", "_size").mapInPandas(lambda f: _summaries(f, max_chars, max_items), _SUMMARY).collect()
+    begin = _entries(summaries, max_chars, max_items)
+
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at = None, None
         for f in frames:
             out = []
-            for g, n in zip(f[group], f[size], strict=True):
-                if g != now:
-                    now, chars, items, batch = g, 0, 0, 0
-                if items and (chars + n > max_chars or items >= max_items):
-                    batch, chars, items = batch + 1, 0, 0
-                chars, items = chars + n, items + 1
-                out.append(batch)
+            for p, g, n in zip(f["_part"], f["_key"], f["_size"], strict=True):
+                if g != at:
+                    now = _Batch(max_chars, max_items, *(begin[p] if at is None else (0, 0, 0)))
+                    at = g
+                out.append(now.add(n))
             f["batch"] = out
             yield f[[*names, "batch"]]
 
-    return slots.repartition(F.col(group)).sortWithinPartitions(group, order).mapInPandas(fold, schema)
+    return kept.mapInPandas(number, schema)
 
 
 def first_of_copies(rows: DataFrame, content: str, order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import windpower
+from ..functions.rounding import half_even
 from ..operators import power
 from .base import Query, table
 
@@ -54,7 +55,14 @@ def cp_report(spark: SparkSession, d: str) -> DataFrame:
     return power.csv_lines(power.curve_points(curves(spark, d), RHO, DIAMETER), "l_partkey", "ord", digits=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (cp_points, cp_summary_by_part, cp_betz_gate, curve_line_parse, cp_parameter_gate, cp_report)}
+def rounded_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Prices rounded by their exact binary values: eighths have true ties, discounted ones near ties."""
+    price = F.col("l_extendedprice")
+    near = half_even(price * (1 - F.col("l_discount")), 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", near.alias("discounted"), half_even(F.floor(price) / 8, 2).alias("eighth"), half_even(price / 1000, 4).alias("thousandth"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (cp_points, cp_summary_by_part, cp_betz_gate, curve_line_parse, cp_parameter_gate, cp_report, rounded_prices)}
 _P = """SELECT l_partkey, l_orderkey * 100 + l_linenumber AS ord, l_quantity - 1 AS wind, l_extendedprice / 100 AS power,
   0.5 * 1.02::DOUBLE * (l_quantity - 1) * (l_quantity - 1) * (l_quantity - 1) * (pi() * 220.0::DOUBLE * 220.0::DOUBLE / 4) / 1000 AS pw FROM lineitem WHERE l_quantity > 1"""
 _S = f"""SELECT l_partkey, count(*) AS row_count, round(max(power / pw), 9) AS cp_max, arg_max(wind, (power / pw, -ord)) AS cp_max_wind_speed_ms,
@@ -72,6 +80,8 @@ FROM lineitem WHERE l_linenumber % 4 IN (1, 2)""",
     "cp_parameter_gate": """SELECT p_partkey, hint, CASE WHEN NOT rho BETWEEN 0.5 AND 1.5 THEN 'density' WHEN NOT dia BETWEEN 30 AND 350 THEN 'diameter'
   WHEN abs(dia - hint) > greatest(10.0, hint * 0.1) THEN 'model' END AS error
 FROM (SELECT p_partkey, (100 + p_partkey % 150)::DOUBLE AS hint, 0.4::DOUBLE + (p_partkey % 13) / 10.0::DOUBLE AS rho, (20 + p_partkey % 350)::DOUBLE AS dia FROM part)""",
+    "rounded_prices": """SELECT l_orderkey, l_linenumber, format('{:.2f}', l_extendedprice * (1 - l_discount))::DOUBLE AS discounted,
+  format('{:.2f}', floor(l_extendedprice) / 8)::DOUBLE AS eighth, format('{:.4f}', l_extendedprice / 1000)::DOUBLE AS thousandth FROM lineitem""",
     "cp_report": f"""WITH t AS (SELECT l_partkey, ord, wind::VARCHAR || ',' || power::VARCHAR || printf(',%.5f,%.5f', pw, power / pw) AS line FROM ({_P}))
 SELECT l_partkey, 'wind_speed_ms,power_kw,theoretical_power_kw,cp' || chr(10) || string_agg(line, chr(10) ORDER BY ord, line) AS csv FROM t GROUP BY l_partkey""",
 }
