@@ -312,7 +312,7 @@ SMALL = 16
 #: Orders in which larger groups are sorted for comparing neighbours.
 ORDERS = 3
 #: Documents and words of a block at most, about. What is left of larger groups is compared block by block.
-BLOCK, BLOCK_WORDS = 128, 1 << 16
+BLOCK, BLOCK_WORDS = 512, 1 << 17
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
@@ -428,7 +428,7 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
 def _rest(rows: DataFrame, active: DataFrame, least: float) -> DataFrame:
     """Links between the classes of large groups, written: every pair across classes is compared, or excluded by a sure bound.
 
-    A group is cut into cells by length, in steps such that similar texts are in
+    A group that fits into one block is one. A larger one is cut into cells by length, in steps such that similar texts are in
     the same or in neighbouring ones, and by whether a document is in the group's
     largest class, within which nothing is to be compared. Cells are cut into
     blocks by the hash of the id, and each two blocks that may have a pair are
@@ -439,7 +439,10 @@ def _rest(rows: DataFrame, active: DataFrame, least: float) -> DataFrame:
     top = classes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
     own = rows.select("key", "id", "class").join(active.select("id", "n", "keys"), "id").where(F.array_contains("keys", F.col("key"))).drop("keys")
     cell = ["key", "tier", "major"]
-    own = own.join(top, "key").select("key", "id", "class", "n", F.floor(F.log("n") / step).alias("tier"), (F.col("class") == F.col("top")).alias("major"))
+    own = written(own, "lengths")
+    whole = own.groupBy("key").agg(((F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_WORDS)).alias("whole"))
+    tier, major = F.floor(F.log("n") / step), F.col("class") == F.col("top")
+    own = own.join(top.join(whole, "key"), "key").select("key", "id", "class", "n", F.when(F.col("whole"), 0).otherwise(tier).alias("tier"), (~F.col("whole") & major).alias("major"))
     own = written(own, "cells")
     parts = own.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("parts"))
     parts = written(parts, "cell-sizes")
