@@ -98,7 +98,7 @@ def test_near_stage_keeps_different_texts_of_one_id(spark):
 
 def test_names():
     assert [n for n in queries.queries() if n.startswith("op")] == sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
