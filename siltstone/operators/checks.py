@@ -1,10 +1,7 @@
-"""Checks of translations, assets and inputs (JOIN-01 to 09, JOIN-12, JOIN-15, AGG-12 to 15, SNK-21/22/30/31, SET-*)."""
+"""Checks of translations, assets and inputs (JOIN-01 to 09, JOIN-12, JOIN-15, AGG-12 to 15, SNK-30/31, SET-*)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,33 +118,3 @@ def last_values(names: Column, values: Column) -> Column:
         return F.transform(placed, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
 
     return F.map_from_entries(once(F.arrays_zip(names.alias("k"), values.alias("v")), last))
-
-
-def unique_names(rows: DataFrame, folder: str, stem: str, order: str) -> DataFrame:
-    """``name`` for each row, none twice in a folder: stem.md, or the first free stem_2.md, stem_3.md ... (SNK-22, D12).
-
-    Whether a name is free depends on all names before it, literal ``x_2`` stems
-    included, so a folder is worked through in order. Names are kept per folder,
-    as a file system would have to.
-    """
-    schema = f"{rows.schema.simpleString()[7:-1]},name:string"
-    names = rows.columns
-
-    def give(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, after = object(), set(), {}
-        for f in frames:
-            out = []
-            for d, s in zip(f[folder], f[stem], strict=True):
-                if d != now:
-                    now, used, after = d, set(), {}
-                s = s or "output"
-                name, n = s, after.get(s, 2)
-                while name in used:
-                    name, n = f"{s}_{n}", n + 1
-                used.add(name)
-                after[s] = n
-                out.append(f"{name}.md")
-            f["name"] = out
-            yield f[[*names, "name"]]
-
-    return rows.repartition(F.col(folder)).sortWithinPartitions(folder, order).mapInPandas(give, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import is_sentence_end, is_structural_label
 from ..functions.shapes import area, clip, contained, overlap, rect, widen
+from .spatial import clusters, meeting
 
 
 def dominant(rows: DataFrame, group: str, value: str, weight: Column) -> DataFrame:
@@ -50,19 +51,25 @@ def reading_order(bbox: Column, bucket: float = 8.0) -> Column:
 
 
 def uncovered(texts: DataFrame, covers: DataFrame, keys: list[str], ident: str, share: float = 0.6) -> DataFrame:
-    """Texts that no cover on their page overlaps by more than a share; both have ``bbox`` (JOIN-10)."""
-    right = covers.select(*keys, F.col("bbox").alias("_cover"))
-    hit = texts.select(*keys, ident, "bbox").join(right, keys).where(overlap(F.col("bbox"), F.col("_cover")) > share).select(ident).distinct()
-    return texts.join(hit, ident, "left_anti")
+    """Texts that no cover on their page overlaps by more than a share (0 or more); both have ``bbox`` (JOIN-10)."""
+    hit = _overlapping(texts.select(*keys, ident, F.col("bbox").alias("_of")), covers.select(*keys, F.col("bbox").alias("_by")), keys, "_of", "_by", share)
+    return texts.join(hit.select(ident).distinct(), ident, "left_anti")
 
 
 def lines_within(rects: DataFrame, lines: DataFrame, keys: list[str], ident: str, share: float = 0.5) -> DataFrame:
-    """Per rectangle how many lines of its page it covers (AGG-06)."""
-    right = lines.select(*keys, F.col("bbox").alias("_line"))
-    hit = rects.select(*keys, ident, "bbox").join(right, keys).where(overlap(F.col("_line"), F.col("bbox")) > share)
+    """Per rectangle how many lines of its page it covers by more than a share (0 or more) (AGG-06)."""
+    hit = _overlapping(rects.select(*keys, ident, F.col("bbox").alias("_by")), lines.select(*keys, F.col("bbox").alias("_of")), keys, "_of", "_by", share)
     return rects.join(hit.groupBy(ident).agg(F.count("*").alias("lines")), ident, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
+def _overlapping(left: DataFrame, right: DataFrame, keys: list[str], of: str, by: str, share: float) -> DataFrame:
+    """Pairs in which box ``by`` covers more than a share of box ``of``."""
+    if share < 0:
+        raise ValueError("what overlaps by less than nothing is every pair of a page")
+    a, b = (of, by) if of in left.columns else (by, of)
+    return meeting(left, right, keys, a, b).where(overlap(F.col(of), F.col(by)) > share)
+
+
 #: How much of a region a background must hold, and how often its area it may have.
 BACKGROUND_HOLDS, BACKGROUND_AREAS = 0.95, 1.9
 
@@ -75,50 +82,22 @@ def captioned_figures(
     The first of the backgrounds (doc, page, ord, bbox) that holds the region and
     isn't much larger takes its place.
     """
-    d = drawings.select("doc", "page", F.col("bbox").alias("d"))
-    c = F.col("bbox")
-    gap = F.greatest(c["x0"] - F.col("d.x1"), F.col("d.x0") - c["x1"], F.lit(0.0))
-    near = captions.join(d, ["doc", "page"]).where((gap <= aside) & (F.col("d.y0") <= c["y0"]) & (c["y0"] - F.col("d.y1") <= up))
+    c, d = F.col("bbox"), F.col("d")
+    gap = F.greatest(c["x0"] - d["x1"], d["x0"] - c["x1"], F.lit(0.0))
+    around = rect(c["x0"] - aside - 1, c["y0"] - up - 1, c["x1"] + aside + 1, c["y0"] + 1)  # 1: the exact limits are asked below
+    near = meeting(captions.select("doc", "page", "caption", "bbox", around.alias("_around")), drawings.select("doc", "page", F.col("bbox").alias("d")), ["doc", "page"], "_around", "d")
+    near = near.where((gap <= aside) & (d["y0"] <= c["y0"]) & (c["y0"] - d["y1"] <= up))
     union = near.groupBy("doc", "page", "caption", "bbox").agg(rect(F.min("d.x0"), F.min("d.y0"), F.max("d.x1"), F.max("d.y1")).alias("all"))
     if backgrounds is not None:
         behind = backgrounds.select("doc", "page", "ord", clip(F.col("bbox"), page).alias("back"))
         fits = contained(F.col("all"), F.col("back"), BACKGROUND_HOLDS) & (area(F.col("back")) <= area(F.col("all")) * BACKGROUND_AREAS)
-        first = union.join(behind, ["doc", "page"]).where(fits).groupBy("doc", "page", "caption").agg(F.min_by("back", "ord").alias("back"))
+        first = meeting(union, behind, ["doc", "page"], "all", "back").where(fits).groupBy("doc", "page", "caption").agg(F.min_by("back", "ord").alias("back"))
         union = union.join(first, ["doc", "page", "caption"], "left").withColumn("all", F.coalesce("back", "all"))
     grown = widen(F.col("all"), 10.0, page)
     cut = rect(grown["x0"], grown["y0"], grown["x1"], F.least(grown["y1"], c["y0"] - 2))
     return union.select("doc", "page", "caption", cut.alias("figure")).where((F.col("figure.x1") - F.col("figure.x0") >= least) & (F.col("figure.y1") - F.col("figure.y0") >= least))
 
 
-def clusters(rects: DataFrame, keys: list[str], gap: float = 6.0) -> DataFrame:
-    """Regions of rectangles that are within a gap of each other on a page (JOIN-20).
-
-    A page's rectangles are few and joined in one task; pages are dealt out.
-    """
-    flat = rects.select(*keys, *[F.col(f"bbox.{s}").alias(s) for s in ("x0", "y0", "x1", "y1")])
-    types = dict(flat.dtypes)
-
-    def join(f: pd.DataFrame) -> pd.DataFrame:
-        boxes = [tuple(b) for b in f[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
-        done: list[tuple] = []
-        while boxes:
-            now = boxes.pop()
-            while True:
-                near = [b for b in boxes if b[0] - gap <= now[2] and now[0] - gap <= b[2] and b[1] - gap <= now[3] and now[1] - gap <= b[3]]
-                if not near:
-                    break
-                boxes = [b for b in boxes if b not in near]
-                sides = list(zip(*near, now, strict=True))
-                now = (min(sides[0]), min(sides[1]), max(sides[2]), max(sides[3]))
-            done.append(now)
-        out = pd.DataFrame(sorted(done), columns=["x0", "y0", "x1", "y1"])
-        for k in reversed(keys):
-            out.insert(0, k, f[k].iloc[0])
-        return out
-
-    return flat.groupBy(*keys).applyInPandas(join, ",".join(f"{k} {types[k]}" for k in keys) + ",x0 double,y0 double,x1 double,y1 double")
-
-
 def figure_regions(captions: DataFrame, drawings: DataFrame, page: Column, gap: float = 6.0, backgrounds: DataFrame | None = None) -> DataFrame:
     """Rows doc, page, x0, y0, x1, y1, kind: the captioned figures of pages that have any, the clusters of drawings of the others (JOIN-20).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, profiles
 from ..operators import checks
+from ..operators.free_names import unique_names
 from ..sources import html_tree
 from .base import Query, table
 from .texts import stats_sql
@@ -85,7 +86,15 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
 
 def unique_paths(spark: SparkSession, d: str) -> DataFrame:
     rows = pages(spark, d).select("page_id", F.substring_index(names.url_host(F.col("url")), ".", -1).alias("folder"), F.substring_index(names.url_host(F.col("url")), ".", 1).alias("stem"))
-    return checks.unique_names(rows, "folder", "stem", "page_id").select("page_id", "folder", "name")
+    return unique_names(rows, "folder", "stem", "page_id").select("page_id", "folder", "name")
+
+
+def free_names(spark: SparkSession, d: str) -> DataFrame:
+    """Stems that are numbered forms of other stems, which compete with them for names."""
+    k = F.col("doc_id")
+    stem = F.when(k % 3 == 0, "doc").when(k % 3 == 1, F.concat(F.lit("doc_"), (2 + k % 40).cast("string"))).otherwise(F.concat(F.lit("doc_2_"), (k % 10).cast("string")))
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("folder"), stem.alias("stem"))
+    return unique_names(rows, "folder", "stem", "doc_id").select("doc_id", "folder", "name")
 
 
 def asset_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +173,7 @@ def html_metadata(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        html_title, html_strip, html_link_count, html_meta_dates, safe_filename, url_parts, route_detect, output_names, page_names, image_names, natural_order, unique_paths,
+        html_title, html_strip, html_link_count, html_meta_dates, safe_filename, url_parts, route_detect, output_names, page_names, image_names, natural_order, unique_paths, free_names,
         asset_refs, unlisted_assets, spine_documents, first_candidates, batch_outcomes, merged_options, meta_map, conversion_profiles, point_lines, html_to_text, html_to_markdown, html_main_content, html_metadata,
     )
 }
@@ -202,6 +211,15 @@ SELECT page_id, coalesce(nullif({_SAFE.format('title')}, ''), nullif({_SAFE.form
     "unique_paths": f"""SELECT page_id, folder, stem || CASE WHEN n = 1 THEN '' ELSE '_' || n END || '.md' AS name FROM (
   SELECT page_id, folder, stem, row_number() OVER (PARTITION BY folder, stem ORDER BY page_id) AS n FROM (
     SELECT page_id, string_split({_HOST}, '.')[-1] AS folder, string_split({_HOST}, '.')[1] AS stem FROM pages))""",
+    "free_names": """
+WITH RECURSIVE d AS (SELECT doc_id, source AS folder, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
+  CASE doc_id % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'doc_' || (2 + doc_id % 40) ELSE 'doc_2_' || (doc_id % 10) END AS stem FROM documents),
+g(folder, i, used, doc_id, name) AS (
+  SELECT DISTINCT folder, 0::BIGINT, []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR FROM d
+  UNION ALL SELECT folder, i, list_append(used, name), doc_id, name FROM (
+    SELECT d.folder, d.i, g.used, d.doc_id, list_filter(list_transform(range(1, len(g.used) + 2), lambda n: d.stem || CASE WHEN n = 1 THEN '' ELSE '_' || n END), lambda x: NOT list_contains(g.used, x))[1] AS name
+    FROM g JOIN d ON d.folder IS NOT DISTINCT FROM g.folder AND d.i = g.i + 1))
+SELECT doc_id, folder, name || '.md' AS name FROM g WHERE i > 0""",
     "asset_refs": """
 WITH r AS (SELECT 'img_' || (doc_id // 4) || '.png' AS name, doc_id FROM documents),
 u AS (SELECT name, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS p FROM r GROUP BY name)

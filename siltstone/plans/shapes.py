@@ -168,6 +168,11 @@ def sql_boxes(name: str, key: str, m: int) -> str:
 _PAIRS = f"""a AS ({sql_boxes('customer', 'c_custkey', 13)}), b AS ({sql_boxes('part', 'p_partkey', 17)}),
 p AS (SELECT a.id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i,
   (a.x1 - a.x0) * (a.y1 - a.y0) AS sa, (b.x1 - b.x0) * (b.y1 - b.y0) AS sb FROM a JOIN b USING (page))"""
+_CAPTIONED = f"""c AS ({sql_boxes('supplier', 's_suppkey', 29)}), d AS ({sql_boxes('customer', 'c_custkey', 13)}),
+u AS (SELECT c.page, c.id AS caption, c.y0 AS cy, min(d.x0) AS a0, min(d.y0) AS b0, max(d.x1) AS a1, max(d.y1) AS b1 FROM c JOIN d USING (page)
+  WHERE greatest(c.x0 - d.x1, d.x0 - c.x1, 0) <= 90 AND d.y0 <= c.y0 AND c.y0 - d.y1 <= 380 GROUP BY ALL),
+f AS (SELECT page, caption, greatest(a0 - 10, 0) AS x0, greatest(b0 - 10, 0) AS y0, least(a1 + 10, 600) AS x1, least(least(b1 + 10, 800), cy - 2) AS y1 FROM u)"""
+_CAPTIONED_ROWS = """SELECT page, caption, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM f WHERE x1 - x0 >= 40 AND y1 - y0 >= 40"""
 _PX = "SELECT l_suppkey, (l_orderkey % 40)::INT AS x, (l_partkey % 30)::INT AS y, (l_partkey*37 % 256)::INT AS r, (l_partkey*59 % 256)::INT AS g, (l_partkey*83 % 256)::INT AS b FROM lineitem"
 SQL = {
     "image_filter": """
@@ -183,12 +188,14 @@ FROM (SELECT *, x BETWEEN 4 AND 35 AND y BETWEEN 4 AND 25 AND NOT (x BETWEEN 10
 FROM (SELECT *, CASE WHEN l_suppkey % 3 > 0 AND x BETWEEN 15 AND 34 AND y BETWEEN 10 AND 19 THEN 2 WHEN x BETWEEN 5 AND 24 AND y BETWEEN 5 AND 14 THEN 1 END AS f FROM ({_PX})) GROUP BY l_suppkey""",
     "rect_overlap": f"WITH {_PAIRS} SELECT id FROM a WHERE id NOT IN (SELECT id FROM p WHERE i / sa > 0.3)",
     "lines_in_rects": f"WITH {_PAIRS} SELECT a.id, coalesce(n, 0) AS lines FROM a LEFT JOIN (SELECT id, count(*) AS n FROM p WHERE i / sb > 0.3 GROUP BY id) USING (id)",
-    "captioned_figures": f"""
-WITH c AS ({sql_boxes('supplier', 's_suppkey', 29)}), d AS ({sql_boxes('customer', 'c_custkey', 13)}),
-u AS (SELECT c.page, c.id AS caption, c.y0 AS cy, min(d.x0) AS a0, min(d.y0) AS b0, max(d.x1) AS a1, max(d.y1) AS b1 FROM c JOIN d USING (page)
-  WHERE greatest(c.x0 - d.x1, d.x0 - c.x1, 0) <= 90 AND d.y0 <= c.y0 AND c.y0 - d.y1 <= 380 GROUP BY ALL),
-f AS (SELECT page, caption, greatest(a0 - 10, 0) AS x0, greatest(b0 - 10, 0) AS y0, least(a1 + 10, 600) AS x1, least(least(b1 + 10, 800), cy - 2) AS y1 FROM u)
-SELECT page, caption, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM f WHERE x1 - x0 >= 40 AND y1 - y0 >= 40""",
+    "captioned_figures": f"WITH {_CAPTIONED} {_CAPTIONED_ROWS}",
+    # A page has at most 40 boxes, so 40 rounds in which each takes in all that is near it are enough.
+    "figure_regions": f"""
+WITH RECURSIVE {_CAPTIONED}, k AS ({_CAPTIONED_ROWS}),
+g AS (SELECT 0 AS n, page, id, x0, y0, x1, y1 FROM d WHERE page NOT IN (SELECT page FROM k)
+  UNION ALL SELECT a.n + 1, a.page, a.id, min(b.x0), min(b.y0), max(b.x1), max(b.y1) FROM g a JOIN g b
+    ON a.page = b.page AND b.x0 - 6 <= a.x1 AND a.x0 - 6 <= b.x1 AND b.y0 - 6 <= a.y1 AND a.y0 - 6 <= b.y1 WHERE a.n < 40 GROUP BY a.n, a.page, a.id)
+SELECT page, x0, y0, x1, y1, 'captioned' AS kind FROM k UNION ALL SELECT DISTINCT page, x0, y0, x1, y1, 'cluster' FROM g WHERE n = 40""",
     "reading_order": f"SELECT id, round_even((y0 + y1) / 2 / 8, 0) * 8 AS sort_y, x0 FROM ({sql_boxes('part', 'p_partkey', 17)})",
     "font_levels": """
 WITH s AS (SELECT l_suppkey AS doc, (9 + CASE WHEN k % 10 < 7 THEN 1 ELSE k % 10 END)::DOUBLE AS size, 'Heading ' || k || CASE WHEN k % 5 = 0 THEN '.' ELSE '' END AS text, k % 2 = 0 AS bold
