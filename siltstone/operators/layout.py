@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markdown import is_sentence_end, is_structural_label
+from ..functions.markdown import is_sentence_end, is_structural_label, once
 from ..functions.shapes import area, clip, contained, overlap, rect, widen
 from .spatial import clusters, meeting
 
@@ -187,32 +187,54 @@ def pipe_table(cells: DataFrame, keys: list[str], max_rows: int = 0, max_cols: i
 
     Rows and columns beyond the limits go (0: no limit; ``table_limits`` tells where);
     empty cells at the ends of rows go and rows are padded again. A column is right-aligned
-    if all its cells below the first row that have content are numbers.
+    if all its cells below the first row that have content are numbers. Of several
+    values for one place the largest is shown. One shuffle brings a sheet's cells
+    with content together in order; each then adds itself and what is empty
+    between it and the one before. Sheets without content have no table.
     """
-    b = cells.join(grid_bounds(cells, keys), keys)
-    inside = b.where((F.col("row") >= F.col("row0")) & (F.col("col") >= F.col("col0")))
-    if max_rows:
-        inside = inside.where(F.col("row") < F.col("row0") + max_rows)
-    if max_cols:
-        inside = inside.where(F.col("col") < F.col("col0") + max_cols)
-    full = inside.where(F.coalesce(F.trim("value"), F.lit("")) != "")
-    number = (F.col("kind") == "number").cast("int")
-    columns = full.groupBy(*keys, "col").agg(F.min(F.when(F.col("row") > F.col("row0"), number)).alias("below"), F.min(number).alias("any"), F.max("row").alias("last"), F.first("row0").alias("row0"))
-    align = F.coalesce(F.col("below"), F.lit(0)) == 1
-    shape = full.groupBy(*keys).agg(F.max("col").alias("last_col"), F.first("col0").alias("col0"), F.first("row0").alias("row0"), F.max("row").alias("last_row"))
-    by_col = columns.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col", align.alias("r")))).alias("right"))
-    rows = full.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("v"))
-    by_row = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("row", "v"))).alias("rows"))
-    t = shape.join(by_col, keys).join(by_row, keys)
-    span = F.sequence("col0", "last_col")
-
-    def line(v: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(F.transform(span, lambda c: F.coalesce(F.try_element_at(v, c), F.lit(""))), " | "), F.lit(" |"))
-
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(span, lambda c: F.when(F.coalesce(F.try_element_at(F.col("right"), c), F.lit(False)), "---:").otherwise("---")), " | "), F.lit(" |"))
-    none = F.create_map().cast("map<int,string>") if dict(cells.dtypes)["col"] == "int" else F.create_map().cast("map<bigint,string>")
-    body = F.transform(F.sequence("row0", "last_row"), lambda r: line(F.coalesce(F.try_element_at(F.col("rows"), r), none)))
-    return t.select(*keys, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n").alias("markdown"))
+    place = F.struct("row", "col", "value", (F.coalesce(F.col("kind") == "number", F.lit(False))).alias("number"))
+    sheet = cells.where(F.coalesce(F.trim("value"), F.lit("")) != "").groupBy(*keys).agg(F.min("row").alias("_row0"), F.min("col").alias("_col0"), F.sort_array(F.collect_list(place)).alias("_cells"))
+    row0, col0 = F.col("_row0"), F.col("_col0")
+
+    def shown(x: Column) -> Column:
+        return (x["row"] < row0 + max_rows if max_rows else F.lit(True)) & (x["col"] < col0 + max_cols if max_cols else F.lit(True))
+
+    def single(c: Column) -> Column:
+        later = lambda x, i: F.struct(F.get(c, i + 1)["row"], F.get(c, i + 1)["col"]).eqNullSafe(F.struct(x["row"], x["col"]))
+        return F.filter(c, lambda x, i: ~later(x, i))
+
+    def table(c: Column) -> Column:
+        below = F.filter(c, lambda x: x["row"] > row0)
+        right = F.array_sort(F.array_except(F.transform(below, lambda x: x["col"]), F.transform(F.filter(below, lambda x: ~x["number"]), lambda x: x["col"])))
+        last = F.array_max(F.transform(c, lambda x: x["col"]))
+        return once(F.struct(right.alias("right"), last.alias("last"), F.element_at(c, -1).alias("end")), lambda t: once(_rule(t["right"], col0, t["last"]), lambda rule: _body(c, t["last"], t["end"], rule, row0, col0)))
+
+    return sheet.withColumn("_cells", F.filter("_cells", shown)).where(F.size("_cells") > 0).select(*keys, once(once(F.col("_cells"), single), table).alias("markdown"))
+
+
+def _times(text: str | Column, n: Column) -> Column:
+    return F.repeat(F.lit(text) if isinstance(text, str) else text, n.cast("int"))
+
+
+def _rule(right: Column, first: Column, last: Column) -> Column:
+    """The line below the head: right-aligned columns in order, each after the plain ones between it and the one before."""
+    marks = F.transform(right, lambda c, i: F.concat(_times(" --- |", c - F.coalesce(F.get(right, i - 1), first - 1) - 1), F.lit(" ---: |")))
+    return F.concat(F.lit("|"), F.array_join(marks, ""), _times(" --- |", last - F.coalesce(F.get(right, F.size(right) - 1), first - 1)))
+
+
+def _body(cells: Column, last: Column, end: Column, rule: Column, row0: Column, col0: Column) -> Column:
+    """Lines of the cells, which are in order and one a place, with the rule after the first line."""
+    blank = F.concat(F.lit("|"), _times("  |", last - col0 + 1), F.lit("\n"))
+
+    def ended(row: Column, col: Column) -> Column:
+        return F.concat(_times("  |", last - col), F.when(row == row0, F.concat(F.lit("\n"), rule)).otherwise(""))
+
+    def add(x: Column, i: Column) -> Column:
+        row, col = F.coalesce(F.get(cells, i - 1)["row"], row0), F.coalesce(F.get(cells, i - 1)["col"], col0 - 1)
+        fresh = F.concat(ended(row, col), F.lit("\n"), _times(blank, x["row"] - row - 1), F.lit("|"), _times("  |", x["col"] - col0))
+        return F.concat(F.when(x["row"] == row, _times("  |", x["col"] - col - 1)).otherwise(fresh), F.lit(" "), x["value"], F.lit(" |"))
+
+    return F.concat(F.lit("|"), F.array_join(F.transform(cells, add), ""), ended(end["row"], end["col"]))
 
 
 def table_limits(cells: DataFrame, keys: list[str], max_rows: int = 0, max_cols: int = 0) -> DataFrame:

@@ -103,7 +103,7 @@ def clusters(rects: DataFrame, keys: list[str], gap: float = 6.0) -> DataFrame:
         slack = gap + 1e-6 * (1 + gap)
         a = held.select("_page", "_id", rect(F.col("x0") - slack, F.col("y0") - slack, F.col("x1") + slack, F.col("y1") + slack).alias("_wide"), F.struct(*RECT).alias("_a"))
         b = held.select("_page", F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id").alias("_other"), F.struct(*RECT).alias("_b"))
-        levels = sorted({*_levels(a, "_wide"), *_levels(b, "_b")})
+        levels = sorted(r[0] for r in a.select(F.explode(F.array(_level(F.col("_wide")), _level(F.col("_a"))))).distinct().collect())
         A, B = F.col("_a"), F.col("_b")
         near = (B["x0"] - gap <= A["x1"]) & (A["x0"] - gap <= B["x1"]) & (B["y0"] - gap <= A["y1"]) & (A["y0"] - gap <= B["y1"])
         chosen = meeting(a, b, ["_page"], "_wide", "_b", levels).where(near).groupBy("_page", "_id", "_a").agg(F.min("_other").alias("_to"))

@@ -161,3 +161,39 @@ def test_clusters_of_a_crowded_page(spark):
     got = spatial.clusters(frame(spark, np.vstack([*spots, inside]), page=1), ["page"], 6.0).collect()
     assert sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in got) == sorted((x, y, x + 100, y + 100) for x, y in at)
     assert time.time() - begin < 180
+
+
+def plain_table(cells, max_rows, max_cols):
+    full = {}
+    for r, c, v, kind in sorted(cells, key=lambda x: (x[0], x[1], x[2] or "", x[3] == "number")):
+        if (v or "").strip(" "):
+            full[r, c] = (v, kind)
+    if not full:
+        return None
+    r0, c0 = min(r for r, _ in full), min(c for _, c in full)
+    full = {(r, c): x for (r, c), x in full.items() if (not max_rows or r < r0 + max_rows) and (not max_cols or c < c0 + max_cols)}
+    if not full:
+        return None
+    rows, cols = range(r0, max(r for r, _ in full) + 1), range(c0, max(c for _, c in full) + 1)
+    lines = ["| " + " | ".join(full.get((r, c), ("",))[0] for c in cols) + " |" for r in rows]
+    below = {c: [k for (r, d), (_, k) in full.items() if d == c and r > r0] for c in cols}
+    lines.insert(1, "| " + " | ".join("---:" if below[c] and set(below[c]) == {"number"} else "---" for c in cols) + " |")
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize(("max_rows", "max_cols"), [(0, 0), (3, 0), (0, 2), (4, 3)])
+def test_pipe_tables(spark, max_rows, max_cols):
+    rng = random.Random(7)
+    rows = [(s, r, c, rng.choice([None, "", " ", "a", "b c", "7", "\t"]), rng.choice(["number", "number", "text", None])) for s in range(60) for r, c in rng.sample([(r, c) for r in range(2, 9) for c in range(1, 7)], rng.randrange(1, 14))]
+    rows += [(s, r, c, "other", "text") for s, r, c, *_ in rows[::9]] + [(99, 5, 5, " ", "text"), (None, 1, 400, "wide", "number"), (None, 500, 1, "tall", "number")]
+    got = layout.pipe_table(spark.createDataFrame(rows, "sheet int, row int, col int, value string, kind string"), ["sheet"], max_rows, max_cols).collect()
+    want = {s: t for s in {r[0] for r in rows} if (t := plain_table([r[1:] for r in rows if r[0] == s], max_rows, max_cols))}
+    assert {r["sheet"]: r["markdown"] for r in got} == want
+
+
+def test_pipe_table_of_a_large_sheet(spark):
+    cells = spark.range(60_000).select(F.lit(1).alias("sheet"), F.floor(F.col("id") / 30).cast("int").alias("row"), (F.col("id") % 30).cast("int").alias("col"), F.col("id").cast("string").alias("value"), F.lit("number").alias("kind"))
+    begin = time.time()
+    lines = layout.pipe_table(cells, ["sheet"]).first()["markdown"].split("\n")
+    assert len(lines) == 2001 and lines[1] == "|" + " ---: |" * 30 and lines[-1].endswith(" 59999 |") and lines[2].startswith("| 30 | 31 |")
+    assert time.time() - begin < 30
