@@ -177,12 +177,34 @@ def removable_lines(table: DataFrame, order: str = "doc_id", max_docs: int = MAX
     The document with the smallest id keeps the line.
     """
     lines = table.select("_row", F.col(order).alias("_id"), F.explode("_lines").alias("x"))
-    lines = lines.select("_row", "_id", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    common = written(frequent_lines(table, order, max_docs), "frequent-lines")
-    hit = lines.join(common, "line").where(~F.col("_id").eqNullSafe(F.col("first")))
+    hit = _hits(lines.select("_row", "_id", F.col("x.line").alias("line"), F.col("x.words").alias("words")), table, order, max_docs)
     return hit.groupBy("_row", "line").agg(F.sum("words").alias("words"))
 
 
+def _hits(lines: DataFrame, table: DataFrame, order: str, max_docs: int) -> DataFrame:
+    """Those of ``lines`` that are to be removed from their document."""
+    common = written(frequent_lines(table, order, max_docs), "frequent-lines")
+    return lines.join(common, "line").where(~F.col("_id").eqNullSafe(F.col("first")))
+
+
+def _cut_places(table: DataFrame, order: str, max_docs: int) -> DataFrame:
+    """Per document with lines to remove: ``n`` words that go, ``_cut`` the places of the lines among its lines with a word."""
+    lines = table.select("_row", F.col(order).alias("_id"), F.posexplode("_lines").alias("_at", "x"))
+    hit = _hits(lines.select("_row", "_id", "_at", F.col("x.line").alias("line"), F.col("x.words").alias("words")), table, order, max_docs)
+    return hit.groupBy("_row").agg(F.sum("words").alias("n"), F.collect_list("_at").alias("_cut"))
+
+
+def without_lines(text: Column, cut: Column) -> Column:
+    """``text`` without the lines at the places ``cut`` (from 0, of the lines with a word), in time linear in its lines."""
+
+    def left(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        gone = bound(F.filter(every, lambda i: F.get(lines, i).rlike(WORD)), lambda worded: F.transform(cut, lambda j: F.get(worded, j)))
+        return F.transform(F.array_except(every, gone), lambda i: F.get(lines, i))
+
+    return F.array_join(bound(F.split(text, "\n", -1), left), "\n")
+
+
 def judge_documents(
     docs: DataFrame, text: str = "text", host: str = "source", order: str = "doc_id", max_docs: int = MAX_DOCS_PER_LINE, min_share: float = MIN_KEPT_SHARE, carry: list[str] | None = None
 ) -> DataFrame:
@@ -218,7 +240,7 @@ def clean_documents(docs: DataFrame, text: str = "text", host: str = "source", o
     flat = docs.select(*[F.col(c).alias(name[c]) for c in docs.columns])
     with scratch() as keep:
         table = measured(docs.select(*dict.fromkeys([text, host, order])), text, host, order)
-        drop = removable_lines(table, order, max_docs).groupBy("_row").agg(F.sum("words").alias("n"), F.collect_set("line").alias("_cut"))
+        drop = _cut_places(table, order, max_docs)
         judged = table.select("_row", F.col(order).alias("_id"), "_host", "_content", "n_words", "n_repeat_words").join(drop, "_row", "left")
         left = F.col("n_words") - F.coalesce("n", F.lit(0))
         good = (F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")) & (left >= min_share * F.col("n_words"))
@@ -228,11 +250,7 @@ def clean_documents(docs: DataFrame, text: str = "text", host: str = "source", o
     host_hash, content = _host(F.col(name[host])), _content(F.col(name[text]))
     ok = ok.withColumnsRenamed({"_host": "_h", "_content": "_c"})
     out = flat.join(ok, F.col(name[order]).eqNullSafe(F.col("_id")) & (host_hash == F.col("_h")) & (content == F.col("_c")))
-    left = F.filter(
-        F.split(F.col(name[text]), "\n", -1),
-        lambda line: ~F.array_contains(F.col("_cut"), F.xxhash64(host_hash, line_hash(line)["hash"])) | ~line.rlike(WORD),
-    )
-    cut = F.when(F.col("_cut").isNull(), F.col(name[text])).otherwise(F.array_join(left, "\n"))
+    cut = F.when(F.col("_cut").isNull(), F.col(name[text])).otherwise(without_lines(F.col(name[text]), F.col("_cut")))
     out = out.withColumn(name[text], cut)
     if "n_chars" in name:
         out = out.withColumn(name["n_chars"], F.when(F.col("_cut").isNull(), F.col(name["n_chars"])).otherwise(F.length(name[text])).cast(docs.schema["n_chars"].dataType))

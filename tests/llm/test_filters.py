@@ -375,3 +375,13 @@ def test_toxicity_scores_equal_plain_python(spark, words):
     assert toxicity.train(docs, labels.where("doc_id <> 0")).toxic == less.toxic
     assert toxicity.train(docs.limit(0), labels).scores(*text_bytes(pa.array(["x", ""]))).tolist() == [0.0, 0.0]
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_thousands_of_cut_lines_in_a_text(spark):
+    """Eight texts share 20,000 lines, which go from all but one; blank lines and their own lines stay in place."""
+    shared = [f"shared line {i}" for i in range(20_000)]
+    rows = [(d, "\n".join([f"own {d} {i}\n\n{line}" for i, line in enumerate(shared)] + [f"tail {d} {i}" for i in range(10)])) for d in range(8)]
+    out = {r["doc_id"]: r["text"] for r in clean_documents(frame(spark, rows), min_share=0.1).collect()}
+    assert out[0] == rows[0][1]
+    for d in range(1, 8):
+        assert out[d] == "\n".join([f"own {d} {i}\n" for i in range(len(shared))] + [f"tail {d} {i}" for i in range(10)])
