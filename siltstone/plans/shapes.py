@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown, rounding, shapes
-from ..operators import layout
+from ..operators import layout, raster
 from .base import Query, table
 
 
@@ -77,6 +77,18 @@ def figure_regions(spark: SparkSession, d: str) -> DataFrame:
     return layout.figure_regions(*_figures(spark, d)).drop("doc")
 
 
+def vector_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Five-pointed shapes of a page, filled at 36 dpi within a region: the pixels of each, and those of them that stay visible."""
+    k = F.col("c_custkey")
+    ring = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((k * 13 % 450 + (k * 7 + i * 37) % 61).cast("double").alias("x"), (k * 17 % 560 + (k * 11 + i * 53) % 47 / 4).cast("double").alias("y")))
+    region = shapes.rect(F.lit(50), F.lit(60), F.lit(400), F.lit(501))
+    drawn = table(spark, d, "customer").select(F.floor(k / 40).alias("page"), k.alias("id"), ring.alias("ring"), region.alias("region"))
+    runs = raster.filled_runs(drawn, ["page", "id"], 36)
+    inside = runs.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.countDistinct("row").alias("rows"))
+    seen = raster.painted(runs, ["page"], "id").groupBy("id").agg(F.count("*").alias("visible"), F.sum("x").alias("sum_x"), F.sum("row").alias("sum_y"))
+    return inside.join(seen, "id", "left").select("id", "pixels", "rows", F.coalesce("visible", F.lit(0)).alias("visible"), "sum_x", "sum_y")
+
+
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     o = layout.reading_order(F.col("bbox"))
     return boxes(spark, d, "part", "p_partkey", 17).select("id", o["sort_y"].alias("sort_y"), o["x0"].alias("x0"))
@@ -155,7 +167,7 @@ def file_sizes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        image_filter, red_mask, border_median, filled_boxes, rect_overlap, lines_in_rects, captioned_figures, figure_regions, reading_order, font_levels, zone_texts, heading_merge,
+        image_filter, red_mask, border_median, filled_boxes, rect_overlap, lines_in_rects, captioned_figures, figure_regions, vector_regions, reading_order, font_levels, zone_texts, heading_merge,
         pipe_table, merged_cells, table_shape, chart_pivot, lengths, colours, file_sizes,
     )
 }
@@ -196,6 +208,16 @@ g AS (SELECT 0 AS n, page, id, x0, y0, x1, y1 FROM d WHERE page NOT IN (SELECT p
   UNION ALL SELECT a.n + 1, a.page, a.id, min(b.x0), min(b.y0), max(b.x1), max(b.y1) FROM g a JOIN g b
     ON a.page = b.page AND b.x0 - 6 <= a.x1 AND a.x0 - 6 <= b.x1 AND b.y0 - 6 <= a.y1 AND a.y0 - 6 <= b.y1 WHERE a.n < 40 GROUP BY a.n, a.page, a.id)
 SELECT page, x0, y0, x1, y1, 'captioned' AS kind FROM k UNION ALL SELECT DISTINCT page, x0, y0, x1, y1, 'cluster' FROM g WHERE n = 40""",
+    # Every pixel of the region against every side: inside where an odd number of sides cross its row at or before its centre.
+    "vector_regions": """
+WITH i AS (SELECT unnest(range(5)) AS i), p AS (SELECT c_custkey AS id, c_custkey // 40 AS page, i, (c_custkey*13 % 450 + (c_custkey*7 + i*37) % 61)::DOUBLE AS px, (c_custkey*17 % 560 + ((c_custkey*11 + i*53) % 47) / 4.0::DOUBLE) AS py FROM customer, i),
+s AS (SELECT a.id, a.page, (a.px - 50) * 0.5::DOUBLE AS x, (a.py - 60) * 0.5::DOUBLE AS y, (b.px - 50) * 0.5::DOUBLE AS u, (b.py - 60) * 0.5::DOUBLE AS v FROM p a JOIN p b ON a.id = b.id AND b.i = (a.i + 1) % 5),
+box AS (SELECT id, greatest(floor(min(x))::INT - 1, 0) AS l, least(ceil(max(x))::INT + 1, 174) AS r, greatest(floor(min(y))::INT - 1, 0) AS t, least(ceil(max(y))::INT + 1, 220) AS b FROM s GROUP BY id),
+g AS (SELECT id, x, unnest(range(t, b + 1)) AS y FROM (SELECT id, t, b, unnest(range(l, r + 1)) AS x FROM box)),
+f AS (SELECT s.id, s.page, g.x, g.y FROM g JOIN s USING (id)
+  WHERE (s.y <= g.y + 0.5::DOUBLE) <> (s.v <= g.y + 0.5::DOUBLE) AND s.x + (g.y + 0.5::DOUBLE - s.y) * (s.u - s.x) / (s.v - s.y) <= g.x + 0.5::DOUBLE GROUP BY ALL HAVING count(*) % 2 = 1),
+o AS (SELECT *, max(id) OVER (PARTITION BY page, x, y) AS top FROM f)
+SELECT id, count(*) AS pixels, count(DISTINCT y) AS rows, count(*) FILTER (WHERE id = top) AS visible, (sum(x) FILTER (WHERE id = top))::BIGINT AS sum_x, (sum(y) FILTER (WHERE id = top))::BIGINT AS sum_y FROM o GROUP BY id""",
     "reading_order": f"SELECT id, round_even((y0 + y1) / 2 / 8, 0) * 8 AS sort_y, x0 FROM ({sql_boxes('part', 'p_partkey', 17)})",
     "font_levels": """
 WITH s AS (SELECT l_suppkey AS doc, (9 + CASE WHEN k % 10 < 7 THEN 1 ELSE k % 10 END)::DOUBLE AS size, 'Heading ' || k || CASE WHEN k % 5 = 0 THEN '.' ELSE '' END AS text, k % 2 = 0 AS bold
