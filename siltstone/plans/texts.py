@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..operators import checks, layout, text_units
+from ..session import shared_folder
+from ..sources import textfiles
 from .base import Query, table
 
 
@@ -155,11 +159,21 @@ def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
     return layout.paragraphs(lines, ["doc_id"], "nth").select("doc_id", "para", "text")
 
 
+def written_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as titled Markdown files in the shared folder, and what is read back from them."""
+    k = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = table(spark, d, "documents").select(F.concat(k, F.lit("-"), F.monotonically_increasing_id(), F.lit(".md")).alias("name"), md.titled(k, F.coalesce("text", F.lit(""))).alias("text"))
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    textfiles.write_texts(docs, folder)
+    number = F.regexp_extract("name", r"^(\d*)-", 1).try_cast("bigint")
+    return textfiles.read_texts(spark, folder).select(number.alias("doc_id"), F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         md_stats, md_line_runs, md_blank_collapse, md_strip_images, repeat_first_lines, dominant_source, dedup_first, slot_batches, slot_check, slot_missing, slot_apply,
-        slot_completeness, translatable_text, srt_cues, block_anchors, vtt_cues, ass_cues, qa_cards, list_items, page_footers, emphasis_runs, paragraph_merge,
+        slot_completeness, translatable_text, srt_cues, block_anchors, vtt_cues, ass_cues, qa_cards, list_items, page_footers, emphasis_runs, paragraph_merge, written_texts,
     )
 }
 
@@ -190,6 +204,7 @@ FROM s LEFT JOIN r USING (doc_id)"""
 
 
 SQL = {
+    "written_texts": f"SELECT doc_id, length(t) AS chars, sha256(t) AS digest FROM (SELECT doc_id, '# ' || coalesce(doc_id::VARCHAR, '') || {_NL} || {_NL} || coalesce(text, '') || {_NL} AS t FROM documents)",
     "md_stats": stats_sql(f"{MARKED_UP} UNION ALL SELECT -doc_id - 1, text FROM documents"),
     "md_line_runs": f"""
 WITH x AS (SELECT doc_id, j, ends_with(l[j], '.') AS f FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM documents)))

@@ -27,19 +27,25 @@ def session(name: str = "siltstone", master: str | None = None, **more: str) ->
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as it is in the files of a checkpoint, with the same partitions, so that it is the same wherever it is read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names the folder. Only where that is unset and all
+    ``spark.checkpoint.dir`` names where it is. Only where that is unset and all
     runs on one machine (tests) a folder of our own is made; otherwise it is an
     error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {context.master} share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as it is in the files of a checkpoint in the shared folder, with the same partitions, so that it is the same wherever it is read again."""
+    shared_folder(df.sparkSession)
     ship_code(df.sparkSession)
     return df.checkpoint()
 
