@@ -272,26 +272,42 @@ def _links(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return written(two.mapInArrow(lambda t: _verify(t, least), LINK).where("similarity > 0"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): rows (id, class), the class being the smallest id.
-
-    Every document takes the smallest class among its own and its neighbours',
-    and then the class of that class, until nothing changes; each round is
-    written to the shared folder.
-    """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+def _ends(edges: DataFrame) -> DataFrame:
+    """Rows (id, class): where one comes to from each end of the edges by going to the smallest neighbour as long as that is smaller, written."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "classes")
     while True:
-        near = both.join(now.select(F.col("id").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("m"))
-        step = now.join(near, now["id"] == near["a"]).select("id", F.col("class").alias("was"), F.least("class", "m").alias("class"))
-        step = written(step, "component-step")
-        jump = step.select(F.col("id").alias("class"), F.col("class").alias("far"))
-        after = written(step.join(jump, "class", "left").select("id", "was", F.least("class", "far").alias("class")), "component-round")
+        jump = now.select(F.col("id").alias("class"), F.col("class").alias("far"))
+        after = written(now.join(jump, "class").select("id", F.col("class").alias("was"), F.col("far").alias("class")), "component-round")
         now = after.select("id", "class")
         if not after.where("class <> was").limit(1).count():
             return now
 
 
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of links (a, b): rows (id, class), the class being the smallest id.
+
+    Every document goes to the smallest one that it reaches by ever smaller
+    neighbours. Links then are those between the ends of these ways, each once, and
+    what is within one is dropped, until none is left; so a link is read once as
+    long as it isn't between ends. Each round is written to the shared folder.
+    """
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    known = None
+    while known is None or edges.limit(1).count():
+        ends = _ends(edges)
+        for end in ("a", "b"):
+            edges = edges.join(ends.select(F.col("id").alias(end), F.col("class").alias(f"c{end}")), end)
+        edges = edges.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        edges = written(edges.distinct(), "edges")
+        if known is None:
+            known = ends
+        else:
+            further = known.join(ends.select(F.col("id").alias("class"), F.col("class").alias("to")), "class", "left")
+            known = written(further.select("id", F.coalesce("to", "class").alias("class")), "classes")
+    return known
+
+
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """The classes (id, class) after further links: components of the links between classes."""
     ends = links.select("a", "b")
@@ -351,34 +367,35 @@ def _across(rows: DataFrame) -> DataFrame:
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of consecutive rows of one key and different classes."""
+def _adjacent(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of consecutive rows of one key and different classes whose lengths don't rule out ``least``."""
     last = None
     for t in batches:
-        key, ids, cls = (t.column(t.schema.get_field_index(c)).to_numpy() for c in ("key", "id", "class"))
+        key, ids, cls, n = (t.column(t.schema.get_field_index(c)).to_numpy() for c in ("key", "id", "class", "n"))
         if last is not None:
-            key, ids, cls = (np.concatenate([[x], y]) for x, y in zip(last, (key, ids, cls), strict=True))
+            key, ids, cls, n = (np.concatenate([[x], y]) for x, y in zip(last, (key, ids, cls, n), strict=True))
         if not len(key):
             continue
-        last = key[-1], ids[-1], cls[-1]
-        hit = np.flatnonzero((key[1:] == key[:-1]) & (cls[1:] != cls[:-1]))
+        last = key[-1], ids[-1], cls[-1], n[-1]
+        near = np.minimum(n[1:], n[:-1]) >= least * np.maximum(n[1:], n[:-1])
+        hit = np.flatnonzero((key[1:] == key[:-1]) & (cls[1:] != cls[:-1]) & near)
         a, b = ids[hit], ids[hit + 1]
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _neighbours(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def _neighbours(rows: DataFrame, keys: DataFrame, least: float) -> DataFrame:
     """Pairs of documents of one key that stand next to each other in orders by their other keys.
 
     Documents that are more similar have longer beginnings of such orders in
     common. Rows are dealt by ranges, so a large group is sorted by many tasks.
     """
-    full = written(rows.join(keys, "id").select("key", "id", "class", "keys"), "neighbour-keys")  # read by each order, and by its sampling of ranges
+    full = written(rows.join(keys, "id").select("key", "id", "class", "n", "keys"), "neighbour-keys")  # read by each order, and by its sampling of ranges
     out = None
     for i in range(ORDERS):
         at = F.pmod(F.xxhash64("key", F.lit(i)), F.lit(SKETCHES)).cast("int")
         order = F.concat(F.slice("keys", at + 1, F.lit(SKETCHES)), F.slice("keys", F.lit(1), at))
-        dealt = full.select("key", order.alias("order"), "id", "class").repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id")
-        pairs = dealt.select("key", "id", "class").mapInArrow(_adjacent, PAIR)
+        dealt = full.select("key", order.alias("order"), "id", "class", "n").repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id")
+        pairs = dealt.select("key", "id", "class", "n").mapInArrow(lambda t: _adjacent(t, least), PAIR)
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()
 
@@ -473,12 +490,12 @@ def _rounds(table: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     buckets = written(table.join(reps.hint("merge"), "id", "left_semi").select("id", F.explode("keys").alias("key")).distinct(), "keys")
     shared = _shared(buckets)
     active = written(table.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "n", "words", "keys"), "active")
-    sequences, keys = active.select("id", "n", "words"), active.select("id", "keys")
+    sequences, keys = active.select("id", "n", "words"), active.select("id", "n", "keys")
     tested = written(_stars(shared), "pairs")
     links = _links(tested, sequences, least)
     classes = components(links)
     mixed = _mixed(shared, classes)
-    fresh = _neighbours(mixed.where(F.col("size") > SMALL), keys).unionByName(_across(mixed.where(F.col("size") <= SMALL)))
+    fresh = _neighbours(mixed.where(F.col("size") > SMALL), keys, least).unionByName(_across(mixed.where(F.col("size") <= SMALL)))
     fresh = written(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     more = _links(fresh, sequences, least)
     mixed = _mixed(shared, merged(classes, more)).where(F.col("size") > SMALL)

@@ -177,6 +177,32 @@ def test_components_of_a_chain(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
+def test_components_read_a_link_once(spark, monkeypatch):
+    """What is within a class is dropped after a round; links of one star don't come back in each of them."""
+    rows, keep = [], om.written
+
+    def counted(df, name, *more):
+        out = keep(df, name, *more)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(om, "written", counted)
+    rng = random.Random(9)
+    ids = rng.sample(range(3000), 3000)
+    pairs = [(ids[0], x) for x in ids[1:2000]] + [(x, y) for x, y in zip(ids[2000:], ids[2001:], strict=False)]
+    got = {r["id"]: r["class"] for r in om.components(spark.createDataFrame(pairs + pairs[:9], "a long, b long")).collect()}
+    assert got == {x: min(ids[:2000]) for x in ids[:2000]} | {x: min(ids[2000:]) for x in ids[2000:]}
+    edges = [n for name, n in rows if name == "edges"]
+    assert edges[0] == len(pairs) and sum(edges[1:]) < 0.6 * len(pairs) + 10 and edges[-1] == 0
+
+
+def test_neighbours_of_other_lengths_are_no_pairs(spark):
+    rows = spark.createDataFrame([(1, i, i) for i in range(40)], "key long, id long, class long")
+    keys = spark.createDataFrame([(i, 20 + 180 * (i % 2), [1, *([i // 2] * (om.SKETCHES - 1))]) for i in range(40)], "id long, n int, keys array<long>")
+    found = [(r["a"], r["b"]) for r in om._neighbours(rows, keys, 0.8).collect()]
+    assert all((a + b) % 2 == 0 for a, b in found)
+
+
 @pytest.mark.parametrize(("share", "least"), [(0.02, 1.0), (0.05, 1.0), (0.08, 0.99), (0.1, 0.98)])
 def test_recall_by_share_of_changed_words(spark, share, least):
     """Copies of 200 words with so many of them changed at random places are in the class of their text; other texts aren't."""
