@@ -36,14 +36,26 @@ def half_even(value: Column, digits: int) -> Column:
 
 
 def general(value: Column) -> Column:
-    """A double as ``%g`` gives it: six significant digits, no trailing zeros, an exponent outside 1e-5 to 1e6."""
-    size = F.floor(F.log10(F.abs(value))).cast("int")
-    sci = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(sci, r"e([-+]\d+)$", 1).cast("int")
-    plain = F.concat(*[F.when(exponent == e, F.format_string(f"%.{5 - e}f", value)).otherwise("") for e in range(-4, 6)])
-    trimmed = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    mantissa = F.regexp_replace(F.regexp_extract(sci, r"^(.*)e", 1), r"\.?0+$", "")
-    return F.when(value == 0, "0").when(exponent.between(-4, 5) & size.isNotNull(), trimmed).otherwise(F.concat(mantissa, F.regexp_extract(sci, r"(e[-+]\d+)$", 1)))
+    """A double as ``%g`` gives it: six significant digits, no trailing zeros, an exponent outside 1e-5 to 1e6.
+
+    Formatting costs most here: whole numbers of up to six digits need none, others
+    are formatted once to learn the exponent and once with as many places as it asks for.
+    """
+
+    def formatted(sci: Column) -> Column:
+        def placed(exponent: Column) -> Column:
+            plain = F.lit(None).cast("string")
+            for e in range(-4, 6):
+                plain = F.when(exponent == e, F.format_string(f"%.{5 - e}f", value)).otherwise(plain)
+            mantissa = F.regexp_replace(F.regexp_extract(sci, r"^(.*)e", 1), r"\.?0+$", "")
+            trimmed = once(plain, lambda p: F.when(p.contains("."), F.regexp_replace(p, r"\.?0+$", "")).otherwise(p))
+            return F.when(exponent.between(-4, 5), trimmed).otherwise(F.concat(mantissa, F.regexp_extract(sci, r"(e[-+]\d+)$", 1)))
+
+        return once(F.regexp_extract(sci, r"e([-+]\d+)$", 1).cast("int"), placed)
+
+    whole = (F.rint(value) == value) & (F.abs(value) < 1e6)
+    finite = F.when(F.abs(value) < float("inf"), once(F.format_string("%.5e", value), formatted)).when(F.isnan(value), "nan").otherwise(F.when(value > 0, "inf").otherwise("-inf"))
+    return F.when(whole, value.cast("bigint").cast("string")).when(value.isNotNull(), finite)
 
 
 def file_size(n: Column) -> Column:

@@ -129,6 +129,14 @@ def test_general_numbers(spark, x):
     assert one(spark, rounding.general(F.lit(x))) == f"{x:g}"
 
 
+def test_general_formats_a_number_at_most_twice(spark):
+    """Formatting is most of what a report costs; the expression names each format once."""
+    values = [None, float("inf"), float("-inf"), float("nan"), 12.0, -7.0, 0.25, 1234567.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounding.general(F.col("v"))).collect()]
+    assert got == [None if v is None else f"{v:g}" for v in values]
+    assert str(rounding.general(F.col("v"))).count("format_string") <= 11
+
+
 @pytest.mark.parametrize(("n", "want"), [(0, "0 B"), (1023, "1023 B"), (2048, "2 KB"), (5 << 20, "5 MB"), (3 << 30, "3.0 GB")])
 def test_file_sizes(spark, n, want):
     assert one(spark, rounding.file_size(F.lit(n))) == want
