@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..session import ship_code
+
 SCHEMA = "name string, text string"
 _PENDING = "_temporary"
 
@@ -106,7 +108,44 @@ def write_texts(rows: DataFrame, folder: str, name: str = "name", text: str = "t
     rows.select(F.col(name).cast("string").alias("name"), F.col(text).cast("string").alias("text")).write.format("textfiles").mode("append").save(folder)
 
 
+#: Tasks that read a folder of a writer's task, and bytes of texts that they hand on at once, about.
+READERS, BATCH_BYTES = 4, 4 << 20
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each row's folder whose places among its names are ``nth`` modulo READERS."""
+    schema = pa.schema([("name", pa.string()), ("text", pa.string())])
+    for t in batches:
+        for folder, nth in zip(t.column("folder").to_pylist(), t.column("nth").to_pylist(), strict=True):
+            system, path = fs.FileSystem.from_uri(folder)
+            files = sorted((f.base_name, f.path) for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and f.size)
+            names, texts, held = [], [], 0
+            for name, place in files[nth::READERS]:
+                if name[0] in "._":
+                    continue
+                with system.open_input_stream(place) as f:
+                    body = f.read()
+                names.append(name)
+                texts.append(body.decode("utf-8", "replace"))
+                held += len(body)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pydict({"name": names, "text": texts}, schema)
+                    names, texts, held = [], [], 0
+            yield pa.RecordBatch.from_pydict({"name": names, "text": texts}, schema)
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """``name`` and ``text`` of the files that ``write_texts`` left in a folder; Spark leaves out files without a byte."""
-    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/part-*")
-    return files.select(F.col("_metadata.file_name").alias("name"), F.decode("content", "utf-8").alias("text"))
+    """``name`` and ``text`` of the files that ``write_texts`` left in a folder; files without a byte are left out.
+
+    The driver lists the folders of the writer's tasks only, whose files are listed
+    and read by tasks: Spark's own reader lists every file on the driver and puts
+    few of them into a task, however small they are.
+    """
+    ship_code(spark)
+    system, root = fs.FileSystem.from_uri(folder.rstrip("/"))
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    parts = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("part-"))
+    rows = [(f"{folder.rstrip('/')}/{p}", nth) for p in parts for nth in range(READERS)]
+    if not rows:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "folder string, nth int").mapInArrow(_read, SCHEMA)

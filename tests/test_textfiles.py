@@ -28,6 +28,16 @@ def test_texts_come_back(spark, tmp_path):
     assert not seen(tmp_path / "none")
 
 
+def test_tasks_that_read_grow_with_those_that_write(spark, tmp_path):
+    """Not with the files, of which a task of Spark's own reader gets 32 at most."""
+    rows = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"), F.col("id").cast("string").alias("text")).coalesce(2)
+    textfiles.write_texts(rows, f"file://{tmp_path}/out")
+    got = textfiles.read_texts(spark, f"file://{tmp_path}/out")
+    assert got.rdd.getNumPartitions() <= 2 * textfiles.READERS
+    assert {(r["name"], r["text"]) for r in got.collect()} == {(f"n{i}", str(i)) for i in range(3000)} and got.count() == 3000
+    assert textfiles.read_texts(spark, f"file://{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("bad", ["a/b", "..", "", None, "_x", "n3"])
 def test_a_failing_task_leaves_no_file(spark, tmp_path, bad):
     good = spark.range(40).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("t").alias("text"))
