@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markdown import is_sentence_end, is_structural_label, once
 from ..functions.shapes import area, clip, contained, overlap, rect, widen
-from .spatial import clusters, meeting
+from .spatial import TASK_ROWS, clusters, dealt, meeting
 
 
 def dominant(rows: DataFrame, group: str, value: str, weight: Column) -> DataFrame:
@@ -53,13 +53,15 @@ def reading_order(bbox: Column, bucket: float = 8.0) -> Column:
 def uncovered(texts: DataFrame, covers: DataFrame, keys: list[str], ident: str, share: float = 0.6) -> DataFrame:
     """Texts that no cover on their page overlaps by more than a share (0 or more); both have ``bbox`` (JOIN-10)."""
     hit = _overlapping(texts.select(*keys, ident, F.col("bbox").alias("_of")), covers.select(*keys, F.col("bbox").alias("_by")), keys, "_of", "_by", share)
-    return texts.join(hit.select(ident).distinct(), ident, "left_anti")
+    n = -(-texts.count() // TASK_ROWS)
+    return dealt(texts, n, ident).join(dealt(hit.select(ident), n, ident).distinct(), ident, "left_anti")
 
 
 def lines_within(rects: DataFrame, lines: DataFrame, keys: list[str], ident: str, share: float = 0.5) -> DataFrame:
     """Per rectangle how many lines of its page it covers by more than a share (0 or more) (AGG-06)."""
     hit = _overlapping(rects.select(*keys, ident, F.col("bbox").alias("_by")), lines.select(*keys, F.col("bbox").alias("_of")), keys, "_of", "_by", share)
-    return rects.join(hit.groupBy(ident).agg(F.count("*").alias("lines")), ident, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    n = -(-rects.count() // TASK_ROWS)
+    return dealt(rects, n, ident).join(dealt(hit.select(ident), n, ident).groupBy(ident).agg(F.count("*").alias("lines")), ident, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
 def _overlapping(left: DataFrame, right: DataFrame, keys: list[str], of: str, by: str, share: float) -> DataFrame:

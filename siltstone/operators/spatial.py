@@ -10,6 +10,8 @@ from ..session import checkpointed
 
 #: The smallest cells are 2 ** LOWEST wide.
 LOWEST = -10
+#: Rows of boxes in cells that a task is given, about.
+TASK_ROWS = 1 << 18
 
 
 def is_finite(box: Column) -> Column:
@@ -24,9 +26,9 @@ def _level(box: Column) -> Column:
     return F.greatest(F.ceil(F.log2(side)).cast("int"), F.lit(LOWEST))
 
 
-def _levels(rows: DataFrame, box: str) -> list[int]:
-    """The levels that occur; at most as many as there are exponents of doubles."""
-    return sorted(r[0] for r in rows.where(is_finite(F.col(box))).select(_level(F.col(box))).distinct().collect())
+def _levels(rows: DataFrame, box: str) -> dict[int, int]:
+    """The levels that occur, at most as many as there are exponents of doubles, and the rows of each."""
+    return {r[0]: r[1] for r in rows.where(is_finite(F.col(box))).groupBy(_level(F.col(box))).count().collect()}
 
 
 def _cell(x: Column, level: Column) -> Column:
@@ -43,25 +45,44 @@ def _placed(rows: DataFrame, box: str, own: str, levels: list[int]) -> DataFrame
     return out
 
 
-def meeting(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, levels: list[int] | None = None) -> DataFrame:
+def _placed_rows(own: dict[int, int], levels: dict[int, int]) -> int:
+    """About how many rows ``_placed`` makes: up to four cells at a box's own level, mostly one or two at larger ones."""
+    return sum(n * (4 + 2 * sum(x > level for x in levels)) for level, n in own.items())
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """``rows`` in so many tasks by the columns ``by``, or as Spark likes where one is enough.
+
+    Spark joins small partitions by their compressed bytes, and boxes compress so
+    well that one task would get all of a large table.
+    """
+    return rows if n <= 1 else rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, levels: dict[int, int] | None = None) -> DataFrame:
     """Rows of left with those of right that have equal keys and whose boxes ``a`` and ``b`` meet or touch; each pair once.
 
     Columns of left and right other than keys must have different names. Cells of
     a box's size keep their numbers small whatever the sizes: a box is entered in
-    its cells, and in those of the larger levels of the other side (``levels``, if
-    known to be those of both). A pair is
+    its cells, and in those of the larger levels of the other side (``levels``
+    with their rows, if known to be those of both). A pair is
     judged at the level of its larger box and belongs to the cell that the first
     corner of what they share is in. Boxes with a side that is null, NaN or
-    infinite meet nothing; sides in the wrong order are swapped for this.
+    infinite meet nothing; sides in the wrong order are swapped for this. Cells
+    are dealt out by their number, so a task has about as many of them for any input.
     """
-    l = _placed(left, a, "_la", _levels(right, b) if levels is None else levels)
-    r = _placed(right, b, "_lb", _levels(left, a) if levels is None else levels)
+    of_l, of_r = (_levels(left, a), _levels(right, b)) if levels is None else (levels, levels)
+    l, r = _placed(left, a, "_la", sorted(of_r)), _placed(right, b, "_lb", sorted(of_l))
+    cell = [*keys, "_m", "_cx", "_cy"]
+    n = -(-(_placed_rows(of_l, of_r) + _placed_rows(of_r, of_l)) // TASK_ROWS)
+    if n > 1:
+        l, r = dealt(l, n, *cell).hint("merge"), dealt(r, n, *cell)
     A, B, m = F.col(a), F.col(b), F.col("_m")
     meet = m == F.greatest("_la", "_lb")
     for c, lo, hi in (("_cx", "x0", "x1"), ("_cy", "y0", "y1")):
         first = F.greatest(F.least(A[lo], A[hi]), F.least(B[lo], B[hi]))
         meet = meet & (first <= F.least(F.greatest(A[lo], A[hi]), F.greatest(B[lo], B[hi]))) & (_cell(first, m) == F.col(c))
-    return l.join(r, [*keys, "_m", "_cx", "_cy"]).where(meet).drop("_m", "_cx", "_cy", "_la", "_lb")
+    return l.join(r, cell).where(meet).drop("_m", "_cx", "_cy", "_la", "_lb")
 
 
 def _around(*by: str) -> list[Column]:
@@ -103,7 +124,7 @@ def clusters(rects: DataFrame, keys: list[str], gap: float = 6.0) -> DataFrame:
         slack = gap + 1e-6 * (1 + gap)
         a = held.select("_page", "_id", rect(F.col("x0") - slack, F.col("y0") - slack, F.col("x1") + slack, F.col("y1") + slack).alias("_wide"), F.struct(*RECT).alias("_a"))
         b = held.select("_page", F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id").alias("_other"), F.struct(*RECT).alias("_b"))
-        levels = sorted(r[0] for r in a.select(F.explode(F.array(_level(F.col("_wide")), _level(F.col("_a"))))).distinct().collect())
+        levels = {r[0]: r[1] for r in a.select(F.explode(F.array(_level(F.col("_wide")), _level(F.col("_a")))).alias("level")).groupBy("level").count().collect()}
         A, B = F.col("_a"), F.col("_b")
         near = (B["x0"] - gap <= A["x1"]) & (A["x0"] - gap <= B["x1"]) & (B["y0"] - gap <= A["y1"]) & (A["y0"] - gap <= B["y1"])
         chosen = meeting(a, b, ["_page"], "_wide", "_b", levels).where(near).groupBy("_page", "_id", "_a").agg(F.min("_other").alias("_to"))

@@ -101,6 +101,24 @@ def test_overlaps_on_a_crowded_page(spark):
     assert pairs.count() == pairs.distinct().count() and "Cartesian" not in pairs._jdf.queryExecution().toString() and "_cx" in pairs._jdf.queryExecution().toString()
 
 
+def test_tasks_of_meeting_boxes_grow_in_number(spark, monkeypatch):
+    """Large tables are dealt into a number of tasks that Spark doesn't join again by bytes; small ones aren't."""
+    rng = np.random.default_rng(2)
+    a, b = boxes(rng, 4000, 3000, 20), boxes(rng, 4000, 3000, 20)
+    want = int((shared(a, b) > 0).sum())
+
+    def pairs():
+        found = spatial.meeting(frame(spark, a, page=1).withColumnRenamed("id", "t"), frame(spark, b, page=1).withColumnRenamed("bbox", "other"), ["page"], "bbox", "other")
+        return found, found._jdf.queryExecution().toString()
+
+    small, plan = pairs()
+    assert "REPARTITION_BY_NUM" not in plan and small.count() == want
+    monkeypatch.setattr(spatial, "TASK_ROWS", 5000)
+    large, plan = pairs()
+    assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan and large.count() == want
+    assert large.select(F.spark_partition_id()).distinct().count() >= 4
+
+
 def test_meeting_boxes_of_all_sizes(spark):
     rng = np.random.default_rng(5)
     a = np.round(boxes(rng, 300, 100, 1) * 4) / 4
