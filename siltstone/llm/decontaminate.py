@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .fm_index import FIRST_SYMBOL, FMIndex, expand
 from .store import ship_code, written
-from .words import LOWER, NOT_ALNUM, Words, find_words, sliced, spans, text_bytes
+from .words import LOWER, NOT_ALNUM, Words, find_words, lean, sliced, spans, text_bytes
 
 #: Bytes of the arrays of one block of the benchmark, and of them for each of its words at most.
 BLOCK_BYTES, WORD_BYTES = 32 << 20, 32
@@ -70,11 +70,10 @@ def _search(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[list[int]]]:
         return hit, found
     vocabulary, symbol = np.unique(w.hashes(), return_inverse=True)
     # Texts are parted by symbol 1; word i of text d stands at place i + d.
-    seq = np.ones(n + n_docs, np.int64)
-    doc = w.doc_of()
-    place = np.arange(n) + doc
-    seq[place] = symbol + FIRST_SYMBOL
+    seq = np.ones(n + n_docs, np.int32)
+    seq[np.arange(n) + w.doc_of()] = symbol + FIRST_SYMBOL
     seq[-1] = 0
+    del symbol
     known = np.searchsorted(vocabulary, phrases.words)
     known[known == len(vocabulary)] = 0
     absent = (vocabulary[known] != phrases.words)[phrases.code]
@@ -95,34 +94,6 @@ def _search(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[list[int]]]:
         for d, i in np.unique(np.stack([docs, owners[here[who][which]]], 1), axis=0).tolist():
             found[d].append(i)
     return hit, found
-    vocabulary, symbol = np.unique(w.hashes(), return_inverse=True)
-    # Texts are parted by symbol 1; word i of text d stands at place i + d.
-    seq = np.ones(n + n_docs, np.int64)
-    doc = w.doc_of()
-    place = np.arange(n) + doc
-    seq[place] = symbol + FIRST_SYMBOL
-    seq[-1] = 0
-    index = None
-    for rows, first, owners in phrases.by_length:
-        at = np.searchsorted(vocabulary, rows)
-        at[at == len(vocabulary)] = 0
-        here = np.flatnonzero((vocabulary[at] == rows).all(1))
-        if not len(here):
-            continue
-        index = index or FMIndex(seq)
-        who, lo, hi = index.search(at[here] + FIRST_SYMBOL)
-        if not len(who):
-            continue
-        suffixes, which = expand(lo, hi)
-        places = index.locate(suffixes)
-        docs = np.searchsorted(w.first[1:] + np.arange(1, n_docs + 1), places, "right")
-        hit |= spans(places - docs, np.full(len(places), rows.shape[1]), n)
-        pattern = here[who][which]
-        pairs = np.unique(np.stack([docs, pattern], 1), axis=0)
-        item, of = expand(first[pairs[:, 1]], first[pairs[:, 1] + 1])
-        for d, i in np.unique(np.stack([pairs[of, 0], owners[item]], 1), axis=0):
-            found[d].append(int(i))
-    return hit, found
 
 
 def _pass(batches: Iterator[pa.RecordBatch], text: str, phrases: Phrases, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -231,5 +202,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         block = items.where(F.col("b") == b) if blocks > 1 else items
         phrases = Phrases([(r["id"], r["text"]) for r in block.select("id", "text").toLocalIterator()], window)
         if b + 1 < blocks:
-            out = written(out.mapInArrow(lambda batches, p=phrases: _pass(batches, text, p, arrow), state), "contamination-pass")
-    return out.mapInArrow(lambda batches: _finish(_pass(batches, text, phrases, arrow), text, final, cut), result)
+            out = written(out.mapInArrow(lambda batches, p=phrases: lean(_pass(batches, text, p, arrow)), state), "contamination-pass")
+    return out.mapInArrow(lambda batches: lean(_finish(_pass(batches, text, phrases, arrow), text, final, cut)), result)

@@ -12,39 +12,44 @@ import numpy as np
 
 #: Symbols below this are reserved: 0 ends the sequence, 1 parts its texts.
 FIRST_SYMBOL = 2
+_ONE = np.uint64(1)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The sorted suffixes of s, whose last symbol is 0 and occurs once."""
     n = len(s)
+    place = np.int32 if n < 1 << 30 else np.int64  # a place and as many steps more fit
     bits = max(1, int(s.max()).bit_length())
     h = max(1, 62 // bits)
-    padded = np.concatenate([s.astype(np.int64), np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(h):
         key <<= bits
-        key |= padded[j : j + n]
-    order = np.argsort(key).astype(np.int64)
+        key[: max(n - j, 0)] |= s[j:]
+    order = np.argsort(key).astype(place)
     head = np.empty(n, bool)
     head[0] = True
-    k = key[order]
-    np.not_equal(k[1:], k[:-1], out=head[1:])
+    key = key[order]
+    np.not_equal(key[1:], key[:-1], out=head[1:])
+    del key
     # A group is ranked by its first slot; only groups of several are sorted on.
-    rank = np.full(n + 1, -1, np.int64)
-    at = np.flatnonzero(head)
+    rank = np.full(n + 1, -1, place)
+    at = np.flatnonzero(head).astype(place)
     size = np.diff(np.append(at, n))
     group = np.repeat(at, size)
     rank[order] = group
     slots = np.flatnonzero(np.repeat(size > 1, size))
     while len(slots):
         who = order[slots]
-        pair = group[slots] * (n + 1) + (rank[np.minimum(who + h, n)] + 1)
+        pair = group[slots].astype(np.int64)
+        pair *= n + 1
+        pair += rank[np.minimum(who + h, n)] + 1
         by = np.argsort(pair)
         who, pair = who[by], pair[by]
         order[slots] = who
         fresh = np.empty(len(slots), bool)
         fresh[0] = True
         np.not_equal(pair[1:], pair[:-1], out=fresh[1:])
+        del by, pair
         at = np.flatnonzero(fresh)
         size = np.diff(np.append(at, len(slots)))
         group[slots] = np.repeat(slots[at], size)
@@ -55,25 +60,33 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: per bit plane, the ones before each place."""
+    """Ranks of symbols in a sequence: per bit plane, its bits in words of 64 and the ones before each word."""
 
     def __init__(self, s: np.ndarray, bits: int) -> None:
         self.bits, self.n = bits, len(s)
-        self.ones: list[np.ndarray] = []
+        self.planes: list[np.ndarray] = []
+        self.before: list[np.ndarray] = []
         self.zeros: list[int] = []
         for level in range(bits):
-            bit = (s >> (bits - 1 - level)) & 1
-            ones = np.zeros(self.n + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(self.n - int(ones[-1]))
-            bit = bit.astype(bool)
+            bit = ((s >> (bits - 1 - level)) & 1).astype(bool)
+            plane = np.zeros(self.n // 64 + 1, "<u8")
+            plane.view(np.uint8)[: -(-self.n // 8)] = np.packbits(bit, bitorder="little")
+            before = np.zeros(len(plane), np.int64)
+            np.cumsum(np.bitwise_count(plane[:-1]), out=before[1:])
+            self.planes.append(plane)
+            self.before.append(before)
+            self.zeros.append(self.n - int(bit.sum()))
             s = np.concatenate([s[~bit], s[bit]])
 
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """The ones of a plane before the given places."""
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        return self.before[level][word] + np.bitwise_count(self.planes[level][word] & ((_ONE << bit) - _ONE))
+
     def walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where place ``at`` ends up on the way down for the given symbols."""
         for level in range(self.bits):
-            ones = self.ones[level][at]
+            ones = self._ones(level, at)
             bit = (symbols >> (self.bits - 1 - level)) & 1
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return at
@@ -82,8 +95,8 @@ class WaveletMatrix:
         """The symbols at the given places, and where those places end up."""
         symbols = np.zeros(len(at), np.int64)
         for level in range(self.bits):
-            ones = self.ones[level][at]
-            bit = self.ones[level][at + 1] - ones
+            ones = self._ones(level, at)
+            bit = ((self.planes[level][at >> 6] >> (at & 63).astype(np.uint64)) & _ONE).astype(np.int64)
             symbols = symbols * 2 + bit
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return symbols, at
@@ -104,7 +117,7 @@ class FMIndex:
         self.base = self.tree.walk(np.arange(sigma), np.zeros(sigma, np.int64))
         marked = sa % every == 0
         self.marked = marked
-        self.mark_rank = np.cumsum(marked) - 1
+        self.mark_rank = np.cumsum(marked, dtype=sa.dtype) - 1
         self.sampled = sa[marked]
 
     def _back(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -138,8 +151,14 @@ class FMIndex:
         return out
 
 
+def numbers(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [lo, hi)."""
+    size = hi - lo
+    out = np.repeat(lo - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
+
+
 def expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges [lo, hi), and of which range each is."""
-    size = hi - lo
-    which = np.repeat(np.arange(len(lo)), size)
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[which], which
+    return numbers(lo, hi), np.repeat(np.arange(len(lo)), hi - lo)

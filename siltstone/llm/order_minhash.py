@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .fm_index import expand
 from .store import scratch, ship_code, shuffle_partitions, written
 from .substring import whole_hashes
-from .words import SPACES, find_words, mix, rolling, sliced, text_bytes, whole_windows
+from .words import SPACES, find_words, lean, mix, rolling, sliced, text_bytes, whole_windows
 
 K, SKETCHES, DEPTH, SIMILARITY = 5, 32, 2, 0.8
 #: K-mers of a text among which the smallest ones are looked for, about.
@@ -269,7 +269,7 @@ def _links(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     two = two.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b", "wa", "wb")
     # A pair costs much more to align than to read, so pairs are dealt out by number, not by bytes.
     two = two.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")
-    return written(two.mapInArrow(lambda t: _verify(t, least), LINK).where("similarity > 0"), "links")
+    return written(two.mapInArrow(lambda t: lean(_verify(t, least)), LINK).where("similarity > 0"), "links")
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def _neighbours(rows: DataFrame, keys: DataFrame, least: float) -> DataFrame:
         at = F.pmod(F.xxhash64("key", F.lit(i)), F.lit(SKETCHES)).cast("int")
         order = F.concat(F.slice("keys", at + 1, F.lit(SKETCHES)), F.slice("keys", F.lit(1), at))
         dealt = full.select("key", order.alias("order"), "id", "class", "n").repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id")
-        pairs = dealt.select("key", "id", "class", "n").mapInArrow(lambda t: _adjacent(t, least), PAIR)
+        pairs = dealt.select("key", "id", "class", "n").mapInArrow(lambda t: lean(_adjacent(t, least)), PAIR)
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()
 
@@ -519,7 +519,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     ship_code(spark)
     with scratch() as keep:
-        known = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: _sketch(b, "text", "id"), SKETCH), "sketches").where("id IS NOT NULL")
+        known = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: lean(_sketch(b, "text", "id")), SKETCH), "sketches").where("id IS NOT NULL")
         first = written(known.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "texts")
         copies = written(known.select("id", "whole").join(first.where("n > 1").hint("merge"), "whole").where("id <> rep").select("id", "rep").distinct(), "copies")
         links = _rounds(known, first.select(F.col("rep").alias("id")).distinct(), least)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .store import ship_code, written
 from .tokens import chunk_tokenizer
-from .words import sliced, text_bytes
+from .words import lean, sliced, text_bytes
 
 PIECE = T.StructType(
     [
@@ -178,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "spaced", end: i
     """
     ship_code(docs.sparkSession)
     schema = T.StructType([*PIECE.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])])
-    pieces = written(docs.select(doc_id, text).mapInArrow(lambda b: _pieces(b, text, doc_id, tokenizer, kind, end, size, keep_ids), schema), "pieces")
+    pieces = written(docs.select(doc_id, text).mapInArrow(lambda b: lean(_pieces(b, text, doc_id, tokenizer, kind, end, size, keep_ids)), schema), "pieces")
     by_task = written(pieces.groupBy("length", "_task").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     places = Places(pack_lengths(histogram, size))
@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "spaced", end: i
     numbered = pieces.join(base, ["length", "_task"]).withColumn("_nth", F.col("_nth") + F.col("_base"))
     names = [f.name for f in schema.fields if f.name not in ("_task", "_nth")]
     out = T.StructType([*[schema[n] for n in names], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.select(*names, "_nth").mapInArrow(lambda b: _place(b, places), out)
+    return numbered.select(*names, "_nth").mapInArrow(lambda b: lean(_place(b, places)), out)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

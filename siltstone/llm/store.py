@@ -40,7 +40,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch at most; the JVM and the Python worker each hold a few at a time.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def ship_code(spark: SparkSession) -> None:

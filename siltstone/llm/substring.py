@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import ship_code, shuffle_partitions, written
-from .words import BASE_A, BASE_B, SPACES, Words, find_words, mix, powers, rolling, sliced, spans, text_bytes, whole_windows
+from .words import BASE_A, BASE_B, SPACES, Words, find_words, lean, mix, powers, rolling, sliced, spans, text_bytes, whole_windows
 
 _U = np.uint64
 _NO_ID = np.iinfo(np.int64).max
@@ -340,20 +340,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", doc_id
     tasks = shuffle_partitions(spark)
     buckets = 8 * tasks
 
-    batches = written(docs.mapInArrow(lambda t: _batches(t, text, doc_id, batch_bytes), BATCH), "batches", "none")
+    batches = written(docs.mapInArrow(lambda t: lean(_batches(t, text, doc_id, batch_bytes)), BATCH), "batches", "none")
 
     # Documents that are, as a whole, copies of one with a smaller id: they take part in the index, but are gone at once.
     whole = batches.select("batch", F.posexplode(F.arrays_zip("ids", "whole")).alias("pos", "x")).select("batch", "pos", F.col("x.ids").alias("id"), F.col("x.whole").alias("h"))
     first = written(whole.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-copies")
     copies = whole.join(first, "h").where("id > first OR (id IS NULL AND first IS NOT NULL)").groupBy("batch").agg(F.collect_list("pos").alias("copies"))
 
-    probes = batches.select("batch", "rows", "ids").mapInArrow(lambda r: _probe(r, text, block, buckets), PROBE)
-    marks = probes.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_blocks, ANSWER)
+    probes = batches.select("batch", "rows", "ids").mapInArrow(lambda r: lean(_probe(r, text, block, buckets)), PROBE)
+    marks = probes.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda r: lean(_match_blocks(r)), ANSWER)
     marks = written(marks, "block-hits").groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
 
     dealt = batches.select("batch", "rows", "ids").repartition(tasks, "batch")
     marked = dealt.join(marks.hint("shuffle_hash"), "batch", "left").join(copies.hint("shuffle_hash"), "batch", "left")
-    full = marked.mapInArrow(lambda r: _candidates(r, text, window, block, buckets, tasks), PROBE)
-    earlier = full.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows, ANSWER)
+    full = marked.mapInArrow(lambda r: lean(_candidates(r, text, window, block, buckets, tasks)), PROBE)
+    earlier = full.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda r: lean(_match_windows(r)), ANSWER)
     earlier = earlier.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("earlier"))
-    return marked.join(earlier.hint("shuffle_hash"), "batch", "left").mapInArrow(lambda r: _kept(r, text, window, block, buckets, tasks, arrow, rejoin), schema)
+    return marked.join(earlier.hint("shuffle_hash"), "batch", "left").mapInArrow(lambda r: lean(_kept(r, text, window, block, buckets, tasks, arrow, rejoin)), schema)

@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .fm_index import expand
+from .fm_index import numbers
 from .words import SPACES, Words, find_words
 
 #: Chunks that a worker remembers at most; beyond, it starts afresh.
@@ -117,7 +117,8 @@ class ChunkTokenizer:
 
     def _fresh(self, w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given chunks in a row, and how many each has."""
-        bad = np.concatenate([[0], np.cumsum(self.odd[w.buf])])
+        bad = np.zeros(len(w.buf) + 1, np.int32 if len(w.buf) < 1 << 31 else np.int64)
+        np.cumsum(self.odd[w.buf], out=bad[1:])
         starts, ends = w.starts[which], w.ends[which]
         inner = starts + (w.buf[starts] == 0x20)  # a leading space is no reason to single a chunk out
         single = (bad[ends] - bad[np.minimum(inner, ends)] > 0) | (inner >= ends)
@@ -127,10 +128,9 @@ class ChunkTokenizer:
         ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(which)
         plain = np.flatnonzero(~single)
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        glued = self._ids([self.glue.join(chunks[i] for i in g) + self.glue for g in groups])
         out, order = [], []
-        for g, e in zip(groups, glued, strict=True):
-            e = np.array(e, np.uint32)
+        for g in groups:  # one by one, as the library's encodings take many times the memory of their ids
+            e = np.array(self._ids([self.glue.join(chunks[i] for i in g) + self.glue])[0], np.uint32)
             at = np.flatnonzero(e == self.mark)
             if len(at) != len(g):
                 raise RuntimeError("glued chunks don't come apart")
@@ -138,16 +138,17 @@ class ChunkTokenizer:
             out.append(e[e != self.mark])
             order.append(g)
         alone = np.flatnonzero(single)
-        for i, e in zip(alone, self._ids([chunks[i] for i in alone]), strict=True):
-            sizes[i] = len(e)
-            out.append(np.array(e, np.uint32))
+        for some in (alone[i : i + 1000] for i in range(0, len(alone), 1000)):
+            for i, e in zip(some, self._ids([chunks[i] for i in some]), strict=True):
+                sizes[i] = len(e)
+                out.append(np.array(e, np.uint32))
         order.append(alone)
         order = np.concatenate(order) if order else np.empty(0, np.int64)
         flat = np.concatenate(out) if out else np.empty(0, np.uint32)
         end = np.cumsum(sizes[order])
         lo, hi = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
         lo[order], hi[order] = end - sizes[order], end
-        return flat[expand(lo, hi)[0]], sizes
+        return flat[numbers(lo, hi)], sizes
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 places where texts begin in them."""
@@ -173,7 +174,7 @@ class ChunkTokenizer:
             at = np.searchsorted(self.keys, keys)
         lo, hi = self.lo[at][chunk], self.hi[at][chunk]
         ends = np.concatenate([[0], np.cumsum(hi - lo)])
-        return self.ids[expand(lo, hi)[0]], ends[w.first]
+        return self.ids[numbers(lo, hi)], ends[w.first]
 
 
 @functools.lru_cache(maxsize=4)

@@ -9,6 +9,7 @@ bytes of whole texts (a longer text is a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-SLICE = 4 << 20
-_PIECE = 1 << 20
+SLICE = 2 << 20
+_PIECE = 1 << 16
 _U = np.uint64
 
 #: True for the bytes that separate words: space and \t \n \v \f \r.
@@ -147,6 +148,22 @@ def spans(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library keep of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that a task makes; at its end the worker, which waits for other tasks, keeps no freed memory."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column (null as empty) and the n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
